@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than this many rows and more than total / MAX_HOT of them.
@@ -50,21 +50,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def null_safe(*cols: str) -> list[Column]:
-    """Columns that make equal keys out of equal values, null counting as a value of its own."""
-    return [c for name in cols for c in (F.col(name).isNull(), F.col(name))]
+def hot_of(counts: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """The rows of a table of counts per key whose `count` exceeds max(hot_rows, total / max_hot): at most max_hot rows."""
+    total = counts.agg(F.sum("count").alias("__total"))
+    limit = F.greatest(F.lit(hot_rows).cast("double"), F.coalesce(F.col("__total"), F.lit(0)) / F.lit(max_hot))
+    return cut_lineage(counts.join(F.broadcast(total), F.col("count") > limit).drop("__total"))
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
     """Keys with more than max(hot_rows, total / max_hot) rows, with their count: never more than max_hot of them."""
-    counts = df.groupBy(*keys).count()
-    return cut_lineage(_above(counts, hot_rows, max_hot))
+    return hot_of(df.groupBy(*keys).count(), hot_rows, max_hot)
 
 
-def _above(counts: DataFrame, hot_rows: int, max_hot: int) -> DataFrame:
-    total = counts.agg(F.sum("count").alias("total"))
-    limit = F.greatest(F.lit(hot_rows).cast("double"), F.coalesce(F.col("total"), F.lit(0)) / F.lit(max_hot))
-    return counts.join(F.broadcast(total), F.col("count") > limit).drop("total")
-
-
-__all__ = ["HOT_ROWS", "MAX_HOT", "checkpoint_dir", "cut_lineage", "hot_keys", "local_session", "null_safe"]
+__all__ = ["HOT_ROWS", "MAX_HOT", "checkpoint_dir", "cut_lineage", "hot_keys", "hot_of", "local_session"]

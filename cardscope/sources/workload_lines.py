@@ -152,10 +152,14 @@ def classify_lines(df: DataFrame, line_col: str = "raw_line", number_col: str =
 
 def rejected_lines(df: DataFrame, id_col: str = "line_id") -> DataFrame:
     """(id, reason) of every non-blank line that cannot be loaded; lines delivered twice count once."""
-    return classify_lines(df).where("reason is not null").select(id_col, "reason").distinct()
+    # exploding keeps the rows with a reason; a filter would be pushed down and compute every reason twice
+    reasons = F.when(F.col("reason").isNotNull(), F.array("reason"))
+    return classify_lines(df).select(id_col, F.explode(reasons).alias("reason")).distinct()
 
 
 def loaded_queries(df: DataFrame, id_col: str = "line_id") -> DataFrame:
     """The lines that load, as queries; a line delivered twice comes out once."""
     cols = [id_col, "file_name", "file_format", "query_line", "query_id", "query_sql", "actual_cardinality"]
-    return classify_lines(df).where("reason is null").select(cols).dropDuplicates([id_col])
+    rows = classify_lines(df)
+    kept = F.when(F.col("reason").isNull(), F.array(F.struct(*cols)))
+    return rows.select(F.explode(kept).alias("q")).select("q.*").dropDuplicates([id_col])
