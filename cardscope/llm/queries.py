@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardscope.llm import copies
+from cardscope.llm import copies, leakage, residue
 from cardscope.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,24 @@ def p1_statements(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), fields=("item_text",))
+
+
+def p6_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_records(table(spark, d, "documents"))
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_passages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statements)}
+    return {f.__name__: f for f in (p1_found, p1_statements, p6_found, p6_passages, p8_found, p8_passages)}
 
 
 _CLASSES = """
@@ -51,8 +67,25 @@ WITH records AS (
 )"""
 
 
+_P6_FOUND = """
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS w FROM eval_items
+), shingles AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM item_words)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM doc_words)
+)
+SELECT DISTINCT doc_id, item_id FROM doc_shingles JOIN shingles USING (s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": _P6_FOUND,
         "p1_found": f"{_CLASSES} SELECT record_set, first_key, key AS copy_key FROM classes WHERE key <> first_key",
         "p1_statements": f"{_CLASSES} SELECT record_set, run_id, first_key, count(*) AS copies FROM classes GROUP BY ALL",
     }
