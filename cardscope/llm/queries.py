@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardscope.llm import copies, leakage, residue
+from cardscope.llm import copies, digests, leakage, residue
 from cardscope.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,25 @@ def p1_statements(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: Percentiles of the result.
+_FRACTIONS = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def _daily_digests(spark: SparkSession, d: str) -> DataFrame:
+    keys, values = ["query_template", "table"], ["learned_q_error", "native_q_error"]
+    once = table(spark, d, "experiment_2_failures").select("result_id", "run_day", *keys, *values).dropDuplicates(["result_id"])
+    return digests.digests(once, [*keys, "run_day"], values)
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    found = digests.percentiles(_daily_digests(spark, d), ["query_template", "table"], _FRACTIONS)
+    return found.select(*(F.round(c, 6).alias(c) if c in _FRACTIONS else c for c in found.columns))
+
+
+def p3_digests(spark: SparkSession, d: str) -> DataFrame:
+    return _daily_digests(spark, d)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), fields=("item_text",))
 
@@ -42,7 +61,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statements, p6_found, p6_passages, p8_found, p8_passages)}
+    return {f.__name__: f for f in (p1_found, p1_statements, p3_percentiles, p3_digests, p6_found, p6_passages, p8_found, p8_passages)}
 
 
 _CLASSES = """
@@ -83,8 +102,33 @@ SELECT DISTINCT doc_id, item_id FROM doc_shingles JOIN shingles USING (s)
 """
 
 
+_LEAVES = """
+WITH once AS (
+  SELECT DISTINCT ON (result_id) * FROM experiment_2_failures
+), measured AS (
+  SELECT query_template, "table", run_day, 'learned_q_error' AS metric, learned_q_error AS x FROM once
+  UNION ALL SELECT query_template, "table", run_day, 'native_q_error', native_q_error FROM once
+), leaves AS (
+  SELECT query_template, "table", run_day, metric, CAST(least(floor(ln(x) / ln(2.0) * 4096 + 1e-9), 262143) AS INTEGER) AS leaf
+  FROM measured WHERE NOT isnan(x) AND x >= 1 AND isfinite(x)
+)"""
+#: Groups of up to 18,000 rows aren't compressed at a rank error of 0.001, so the result is the exact percentile of the leaves.
+_P3_PERCENTILES = f"""{_LEAVES}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_template, "table", metric ORDER BY leaf) AS r,
+         count(*) OVER (PARTITION BY query_template, "table", metric) AS n FROM leaves
+)
+SELECT query_template, "table", metric, n,
+       {", ".join(f"round(pow(2.0, max(CASE WHEN r = greatest(ceil({q} * n - 1e-9), 1) THEN leaf END) / 4096.0), 6) AS {c}" for c, q in _FRACTIONS.items())},
+       0.001::DOUBLE AS rank_error, pow(2.0, 1 / 4096.0) - 1 AS value_error
+FROM ranked GROUP BY query_template, "table", metric, n"""
+_P3_DIGESTS = f"""{_LEAVES}
+SELECT query_template, "table", run_day, metric, CAST(leaf + 262144 AS INTEGER) AS node, count(*) AS n FROM leaves GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_percentiles": _P3_PERCENTILES,
+        "p3_digests": _P3_DIGESTS,
         "p6_found": _P6_FOUND,
         "p1_found": f"{_CLASSES} SELECT record_set, first_key, key AS copy_key FROM classes WHERE key <> first_key",
         "p1_statements": f"{_CLASSES} SELECT record_set, run_id, first_key, count(*) AS copies FROM classes GROUP BY ALL",
