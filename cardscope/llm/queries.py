@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardscope.llm import copies, digests, leakage, residue
+from cardscope.llm import copies, digests, leakage, mixture, residue
 from cardscope.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def p6_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_records(table(spark, d, "documents"))
 
@@ -61,7 +69,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statements, p3_percentiles, p3_digests, p6_found, p6_passages, p8_found, p8_passages)}
+    return {f.__name__: f for f in (p1_found, p1_statements, p3_percentiles, p3_digests, p6_found, p6_passages, p7_mixture, p7_shares, p8_found, p8_passages)}
 
 
 _CLASSES = """
