@@ -1,14 +1,14 @@
-"""Exact medians per group that survive a group holding a third of all rows.
+"""Exact percentiles per group that survive a group holding a third of all rows.
 
 Groups up to a size limit are aggregated in one shuffle. Each larger group is a hot key, of which there are boundedly many
-(cardscope.session.hot_keys), and its middle order statistics are found by selection: the range that holds the wanted rank
-is cut into BUCKETS equal parts, counts per part are combined map-side, and the part with the rank becomes the next range,
-until its smallest and largest value are equal.
+(cardscope.session.hot_keys), and its order statistics are found by selection: the range that holds a wanted rank is cut
+into BUCKETS equal parts, counts per part are combined map-side, and the part with the rank becomes the next range, until
+its smallest and largest value are equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,31 +18,59 @@ from cardscope.session import HOT_ROWS, MAX_HOT, cut_lineage, hot_keys
 BUCKETS = 4096
 
 
-def group_medians(df: DataFrame, keys: list[str], values: list[str], hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
-    """One row per group (nulls in a key form a group) with `<value>_median` of every value column.
+def group_percentiles(
+    df: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]], plain: list[Column] | None = None, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT,
+) -> DataFrame:
+    """One row per group (nulls in a key form a group): keys, the plain aggregates, and each wanted percentile.
 
-    The median of an even number of values is the mean of the two in the middle; nulls are left out, and a group without
-    values has a null median. Values must be finite. Ties and repeated rows count as often as they occur. hot: the keys to
-    treat as hot, a bounded table; found from hot_rows and max_hot if not given.
+    wanted: (name, value column, fraction). A percentile between two ranks is interpolated linearly; nulls are left out, and a
+    group without values has null. Values must be finite. Ties and repeated rows count as often as they occur. hot: the keys
+    to treat as hot, a bounded table; found from hot_rows and max_hot if not given. Without keys the whole table is a group,
+    which is always selected, never gathered.
     """
+    plain = plain or []
+    by_value: dict[str, list[float]] = {}
+    for _, v, q in wanted:
+        by_value.setdefault(v, []).append(q)
+    # one digest of a group's values answers all its fractions
+    direct = [F.percentile(v, F.array(*(F.lit(q) for q in qs))).alias(f"__p_{v}") for v, qs in by_value.items()]
+    spread = [F.get(f"__p_{v}", F.lit(by_value[v].index(q))).alias(name) for name, v, q in wanted]
+
+    def together(rows: DataFrame) -> DataFrame:
+        done = rows.groupBy(*keys).agg(*plain, *direct)
+        return done.select(*(c for c in done.columns if not c.startswith("__p_")), *spread)
+
+    if not keys:
+        one = df.withColumn("__all", F.lit(True))
+        rest = one.groupBy("__all").agg(*plain) if plain else one.select("__all").limit(1)
+        return _with_selected(one, rest, ["__all"], wanted).drop("__all")
     hot = (hot_keys(df, keys, hot_rows, max_hot) if hot is None else hot).select(*keys)
-    plain = [F.percentile(v, 0.5).alias(f"{v}_median") for v in values]
     if hot.isEmpty():
-        return df.groupBy(*keys).agg(*plain)
-    cold = keyed_join(df, hot, keys, "left_anti", small=True).groupBy(*keys).agg(*plain)
+        return together(df)
+    cold = together(keyed_join(df, hot, keys, "left_anti", small=True))
     rows = keyed_join(df, hot, keys, "left_semi", small=True)
-    found = hot
-    for v in values:
-        found = keyed_join(found, _selected(rows, keys, v), keys, "left", small=True)
-    return cold.unionByName(found)
+    found = rows.groupBy(*keys).agg(*plain) if plain else hot
+    return cold.unionByName(_with_selected(rows, found, keys, wanted))
+
+
+def group_medians(df: DataFrame, keys: list[str], values: list[str], hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """(keys, `<value>_median` of each value column), as group_percentiles."""
+    return group_percentiles(df, keys, [(f"{v}_median", v, 0.5) for v in values], None, hot, hot_rows, max_hot)
+
+
+def _with_selected(rows: DataFrame, found: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
+    for value in dict.fromkeys(v for _, v, _ in wanted):
+        found = keyed_join(found, _selected(rows, keys, value, {n: q for n, v, q in wanted if v == value}), keys, "left", small=True)
+    return found.select(*keys, *(c for c in found.columns if c not in keys and c not in {n for n, _, _ in wanted}), *(n for n, _, _ in wanted))
 
 
-def _selected(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, `<value>_median`) of hot groups only."""
+def _selected(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """(keys, a column per fraction) of hot groups only."""
     x = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
     whole = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    ranks = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))
-    state = cut_lineage(whole.select(*keys, F.posexplode(ranks).alias("target", "rank"), "lo", "hi"))
+    places = F.array(*(f(F.lit(q) * (F.col("n") - 1)) for q in fractions.values() for f in (F.floor, F.ceil)))
+    sizes = cut_lineage(whole.select(*keys, "n"))
+    state = cut_lineage(whole.select(*keys, F.posexplode(places).alias("target", "rank"), "lo", "hi"))
     while not (open_ := state.where("lo < hi")).isEmpty():
         near = keyed_join(x, open_, keys, small=True).where(F.col("x").between(F.col("lo"), F.col("hi")))
         part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS), F.lit(BUCKETS - 1))
@@ -51,4 +79,12 @@ def _selected(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         parts = parts.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
         narrowed = parts.select(*keys, "target", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi")
         state = cut_lineage(narrowed.unionByName(state.where("lo >= hi")))
-    return state.groupBy(*keys).agg(F.avg("lo").alias(f"{value}_median"))
+    at = [F.max(F.when(F.col("target") == i, F.col("lo"))) for i in range(2 * len(fractions))]
+    ends = state.groupBy(*keys).agg(*(a.alias(f"__{i}") for i, a in enumerate(at)))
+    ends = keyed_join(ends, sizes, keys, small=True)
+
+    def between(i: int, q: float) -> Column:
+        share = F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+        return F.col(f"__{2 * i}") * (1 - share) + F.col(f"__{2 * i + 1}") * share
+
+    return ends.select(*keys, *(between(i, q).alias(name) for i, (name, q) in enumerate(fractions.items())))
