@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardscope.plans.requests import QueryGraph
+from cardscope.sources.workload_lines import trimmed
 
 _MASK = r"'[^']*+'(?:'[^']*+')*+"
 _BLANK = r"[\s\u00a0]"
@@ -15,10 +16,13 @@ _BLANK = r"[\s\u00a0]"
 _JOIN = r"^\(*+\s*+\"?[A-Za-z_]\w*+\"?\.\"?[A-Za-z_]\w*+\"?\s*+=\s*+\"?[A-Za-z_]\w*+\"?\.\"?[A-Za-z_]\w*+\"?\s*+\)*+$"
 
 
+_NUMBER = r"^[-+]?(?:(?:[0-9](?:_?[0-9])*+\.?(?:[0-9](?:_?[0-9])*+)?|\.[0-9](?:_?[0-9])*+)(?:[eE][-+]?[0-9]++)?|(?i:inf|infinity|nan))$"
+
+
 def detect_format(line: Column) -> Column:
     """complete, single_table or subquery by the look of the fields between ||; null where none fits."""
-    parts = F.transform(F.split(line, r"\|\|"), lambda p: F.trim(p))
-    number = lambda i: F.get(parts, F.lit(i)).try_cast("double").isNotNull()
+    parts = F.transform(F.split(line, r"\|\|"), trimmed)
+    number = lambda i: F.get(parts, F.lit(i)).rlike(_NUMBER)
     select = lambda i: F.lower(F.get(parts, F.lit(i))).startswith("select")
     return F.when(number(0) & select(1), "complete").when(select(0) & number(2), "single_table").when(select(0) & (F.size(parts) >= 2), "subquery")
 
