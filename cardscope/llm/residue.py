@@ -94,11 +94,41 @@ def is_trusted(passage: str) -> bool:
     return "§" in passage and any(f"§{n}" in passage for n in _SURE) and "§quote" not in passage and "§code" not in passage
 
 
+def _names(passage: str) -> set:
+    """The features of a passage by name: words, and pairs of neighbouring words. Numbers count by their length, marks of quotes
+    and code not at all."""
+    words = [w if not w.isdigit() else f"0{len(w)}" for w in _WORD.findall(passage.lower())]
+    if "§" in passage:
+        words = [w for w in words if w != "§quote" and w != "§code"]
+    return {*words, *zip(words, words[1:])}
+
+
+def _slot(name: str | tuple[str, str]) -> int:
+    return zlib.crc32((name if isinstance(name, str) else " ".join(name)).encode()) % FEATURES
+
+
 def features_of(passage: str) -> np.ndarray:
-    """Hashed words and neighbouring words of a passage; numbers count by their length, marks of quotes and code not at all."""
-    words = [f"0{len(w)}" if w.isdigit() else w for w in _WORD.findall(passage.lower()) if w not in ("§quote", "§code")]
-    names = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
-    return np.fromiter((zlib.crc32(n.encode()) % FEATURES for n in sorted(names)), dtype=np.int32, count=len(names))
+    """The hashed features of a passage."""
+    return np.array(sorted(map(_slot, _names(passage))), dtype=np.int32)
+
+
+class Scorer:
+    """Log odds of passages under fitted weights; remembers the weights of the features it met last."""
+
+    def __init__(self, weights: np.ndarray, remember: int = 500_000) -> None:
+        self.weights, self.prior, self.remember = weights, float(weights[-1]), remember
+        self.known: dict = {}
+
+    def __call__(self, passage: str) -> float:
+        total, known = self.prior, self.known
+        for name in _names(passage):
+            w = known.get(name)
+            if w is None:
+                if len(known) >= self.remember:
+                    known.clear()
+                w = known[name] = float(self.weights[_slot(name)])
+            total += w
+        return total
 
 
 def fit(trusted: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndarray | None = None, rounds: int = 8, background: float = 200.0) -> np.ndarray:
@@ -134,7 +164,7 @@ def fit(trusted: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndar
 
 def score(passage: str, weights: np.ndarray) -> float:
     """Log odds that the passage is residue."""
-    return float(weights[features_of(passage)].sum() + weights[-1])
+    return Scorer(weights)(passage)
 
 
 def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> np.ndarray:
@@ -173,11 +203,11 @@ def residue_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
     id_type = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        scorer = Scorer(shared.value)
         for batch in batches:
             at, best, sure, which = [], [], [], []
             for n, text in enumerate(batch.column(1)):
-                judged = [(score(p, w), is_trusted(p), p) for p in passages_of(text.as_py())]
+                judged = [(scorer(p), is_trusted(p), p) for p in passages_of(text.as_py())]
                 judged = [j for j in judged if j[1] or j[0] > threshold]
                 if judged:
                     top = max(judged, key=lambda j: (j[1], j[0]))
