@@ -30,8 +30,8 @@ _built: dict[str, ItemAutomaton] = {}
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and digits, in lower case."""
-    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+    """Runs of letters and digits, without regard to case."""
+    return _WORD.findall(text.lower()) if text.isascii() else [w.casefold() for w in _WORD.findall(text)]
 
 
 class ItemAutomaton:

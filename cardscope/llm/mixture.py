@@ -84,6 +84,22 @@ def total_in_reach(targets: dict[str, tuple[float, int]], available: dict[str, i
     return max(min(reach), least * sum(available.values())) if reach else 0.0
 
 
+def _capped_rates(rows: DataFrame, least: dict[str, float], cap: dict[str, int], need: dict[str, float], steps: int = 64, rounds: int = 4) -> dict[str, float]:
+    """For each source the rate c at which sum(min(c * weight, cap) * tokens) is what it has to give. Caps only take away, so
+    c is at least `least`; each round sums over `steps` rates between the known bounds in one pass."""
+    found = rows.groupBy("source").agg(F.min("weight").alias("w")).collect()
+    bounds = {r["source"]: (least[r["source"]], max(least[r["source"]], cap[r["source"]] / r["w"])) for r in found}
+    for _ in range(rounds):
+        grid = {s: [lo * (hi / lo) ** (k / (steps - 1)) if lo > 0 else 0.0 for k in range(steps)] for s, (lo, hi) in bounds.items()}
+        at = [_by_source({s: g[k] for s, g in grid.items()}, "double") for k in range(steps)]
+        got = rows.groupBy("source").agg(*(F.sum(F.least(c * F.col("weight"), _by_source(cap, "double")) * F.col("tokens")).alias(f"s{k}") for k, c in enumerate(at))).collect()
+        for r in got:
+            s = r["source"]
+            above = next((k for k in range(steps) if r[f"s{k}"] >= need[s] * (1 - 1e-12)), steps - 1)
+            bounds[s] = (grid[s][max(above - 1, 0)], grid[s][above])
+    return {s: hi for s, (_, hi) in bounds.items()} if bounds else least
+
+
 def mixture(
     documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None,
     total_tokens: float | None = None, least: float = 0.5, seed: int = 1, tokenizer: str = TOKENIZER,
@@ -109,15 +125,18 @@ def mixture(
     need = {s: min(w * total, float(available.get(s, 0)) * r) for s, (w, r) in wanted.items()}
 
     # expected copies by document; their whole part is certain, their fraction the inclusion probability of one more
-    rate = {s: need[s] / sums[s]["wt"] for s in sums}
     cap = {s: wanted[s][1] for s in sums}
+    rate = {s: need[s] / sums[s]["wt"] for s in sums}
+    if weight_col:
+        rate = _capped_rates(rows, rate, cap, need)
     expected = F.least(_by_source(rate, "double") * F.col("weight"), _by_source(cap, "double"))
     rows = rows.withColumn("expected", expected).withColumn("whole", F.floor(F.col("expected") + 1e-12).cast("int"))
     u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11).cast("double") + 0.5) * 2.0**-53
     p = F.greatest(F.col("expected") - F.col("whole"), F.lit(1e-12))
     quotient = (u / (1 - u)) / (p / (1 - p))
     rows = rows.withColumn("place", F.when(F.col("whole") < _by_source(cap, "int"), quotient / (1 + quotient)))
-    rows = rows.withColumn("part", F.least(F.floor(F.col("place") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).drop("expected", "weight")
+    part = F.when(F.col("place").isNotNull(), F.least(F.floor(F.col("place") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    rows = rows.withColumn("part", part).drop("expected", "weight")
 
     certain = rows.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("certain"))
     parts = rows.where("part is not null").groupBy("source", "part").agg(F.sum("tokens").alias("in_part"))

@@ -6,7 +6,8 @@ start as negative and are re-weighted by their posterior in every round. Every p
 a record is residue when one of its passages is.
 
 Text in quotation marks, back-ticks or code is spoken about, not shown; it is replaced by a mark before anything else, which
-the classifier sees as the feature it is. A whole line that is a payload itself (`{"error": …`, `<html>…`) is not quoting.
+makes its passage one that tells: a known negative of the fit, and residue only by its form. A whole line that is a payload
+itself (`{"error": …`, `<html>…`) is not quoting.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from cardscope.session import cut_lineage
 FEATURES = 1 << 18
 #: Documents that the classifier is fitted to, at most; which ones is decided by a hash of the whole text.
 FIT_DOCUMENTS = 20_000
-#: Log odds from which a passage is residue.
-THRESHOLD = 0.0
+#: Log odds beyond which a passage is residue, and the largest prior odds that a fit may find.
+THRESHOLD, MOST_PRIOR = 3.0, 0.25
 
 # Notations of placeholders, one each.
 _PLACEHOLDERS = (
@@ -91,7 +92,12 @@ def is_trusted(passage: str) -> bool:
     """Whether the form of a passage proves it residue: an error envelope, a script notice, filler or a sure placeholder."""
     if _TRUSTED.match(passage) or is_filler(passage):
         return True
-    return "§" in passage and any(f"§{n}" in passage for n in _SURE) and "§quote" not in passage and "§code" not in passage
+    return "§" in passage and any(f"§{n}" in passage for n in _SURE) and not quotes(passage)
+
+
+def quotes(passage: str) -> bool:
+    """Whether a passage holds quoted text or code: what it says is told, not shown."""
+    return "§quote" in passage or "§code" in passage
 
 
 def _names(passage: str) -> set:
@@ -113,15 +119,18 @@ def features_of(passage: str) -> np.ndarray:
 
 
 class Scorer:
-    """Log odds of passages under fitted weights; remembers the weights of the features it met last."""
+    """Log odds of passages under fitted weights; remembers the weights of the features it met last. A passage without words
+    speaks for nothing."""
 
     def __init__(self, weights: np.ndarray, remember: int = 500_000) -> None:
         self.weights, self.prior, self.remember = weights, float(weights[-1]), remember
         self.known: dict = {}
 
     def __call__(self, passage: str) -> float:
-        total, known = self.prior, self.known
-        for name in _names(passage):
+        total, known, names = self.prior, self.known, _names(passage)
+        if not names:
+            return -np.inf
+        for name in names:
             w = known.get(name)
             if w is None:
                 if len(known) >= self.remember:
@@ -131,34 +140,39 @@ class Scorer:
         return total
 
 
-def fit(trusted: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndarray | None = None, rounds: int = 8, background: float = 200.0) -> np.ndarray:
+def fit(trusted: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndarray | None = None, told: np.ndarray | None = None, rounds: int = 8, mixed: float = 0.02) -> np.ndarray:
     """Weights by feature, with the log prior odds last.
 
-    trusted, unlabelled: the features of passages; counts: how often each unlabelled one occurs. Both classes are smoothed
-    towards the feature frequencies of everything, so that a feature unseen in the small class speaks for neither.
-    Without trusted passages every weight is 0 and the prior forbids residue.
+    trusted, unlabelled: the features of passages; counts: how often each unlabelled one occurs; told: which of them are known
+    to speak about residue, and stay negative. The feature frequencies of
+    both classes are mixed with those of everything (a share `mixed`), so a feature unseen in both speaks for neither, however
+    unequal the classes are, and one seen among unlabelled passages only speaks clearly against. Unlabelled passages start as
+    negative, so one that is like no other speaks against itself. Without trusted passages every weight is 0 and the prior forbids residue.
     """
     weights = np.zeros(FEATURES + 1)
     if not trusted:
         weights[-1] = -np.inf
         return weights
     counts = np.ones(len(unlabelled)) if counts is None else counts
-    flat = lambda xs: (np.concatenate(xs) if xs else np.zeros(0, np.int32), np.repeat(np.arange(len(xs)), [len(x) for x in xs]))
-    (pf, _), (uf, ui) = flat(trusted), flat(unlabelled)
+    pf = np.concatenate(trusted) if trusted else np.zeros(0, np.int32)
+    uf = np.concatenate(unlabelled) if unlabelled else np.zeros(0, np.int32)
+    ui = np.repeat(np.arange(len(unlabelled)), [len(x) for x in unlabelled])
     sure = np.bincount(pf, minlength=FEATURES).astype(float)
-    share = sure + np.bincount(uf, counts[ui], minlength=FEATURES) + 1e-3
-    share /= share.sum()
+    every = sure + np.bincount(uf, counts[ui], minlength=FEATURES)
+    total = max(every.sum(), 1.0)
+
+    common = mixed * (every + 1e-3) / total
     posterior = np.zeros(len(unlabelled))
     for _ in range(rounds):
         mass = posterior * counts
-        pos = sure + np.bincount(uf, mass[ui], minlength=FEATURES)
-        neg = np.bincount(uf, ((1 - posterior) * counts)[ui], minlength=FEATURES)
-        p = (pos + background * share) / (pos.sum() + background)
-        n = (neg + background * share) / (neg.sum() + background)
+        pos, neg = sure + np.bincount(uf, mass[ui], minlength=FEATURES), np.bincount(uf, (counts - mass)[ui], minlength=FEATURES)
+        p, n = ((1 - mixed) * c / max(c.sum(), 1.0) + common for c in (pos, neg))
         weights[:-1] = np.log(p / n)
-        weights[-1] = np.log((len(trusted) + mass.sum()) / max((counts - mass).sum(), 1.0))
-        score = np.bincount(ui, weights[uf], minlength=len(unlabelled)) + weights[-1]
-        posterior = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        weights[-1] = np.log(min((len(trusted) + mass.sum()) / max((counts - mass).sum(), 1.0), MOST_PRIOR))
+        odds = np.bincount(ui, weights[uf], minlength=len(unlabelled)) + weights[-1]
+        posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        if told is not None:
+            posterior[told] = 0.0
     return weights
 
 
@@ -182,14 +196,15 @@ def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FI
             yield pa.RecordBatch.from_arrays(cols, ["passage", "trusted"])
 
     seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage", "trusted").count().orderBy("passage", "trusted").toPandas()
-    trusted, rest, counts = [], [], []
+    trusted, rest, counts, told = [], [], [], []
     for p, sure, n in zip(seen["passage"], seen["trusted"], seen["count"]):
         if sure:
             trusted += [features_of(p)] * min(int(n), 3)
         else:
             rest.append(features_of(p))
             counts.append(float(n))
-    return fit(trusted, rest, np.array(counts))
+            told.append(quotes(p))
+    return fit(trusted, rest, np.array(counts), np.array(told, dtype=bool))
 
 
 def residue_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -208,7 +223,7 @@ def residue_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
             at, best, sure, which = [], [], [], []
             for n, text in enumerate(batch.column(1)):
                 judged = [(scorer(p), is_trusted(p), p) for p in passages_of(text.as_py())]
-                judged = [j for j in judged if j[1] or j[0] > threshold]
+                judged = [j for j in judged if j[1] or j[0] > threshold and not quotes(j[2])]
                 if judged:
                     top = max(judged, key=lambda j: (j[1], j[0]))
                     at.append(n), best.append(top[0]), sure.append(top[1]), which.append(top[2])
