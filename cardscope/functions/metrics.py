@@ -145,11 +145,11 @@ def censored(value: Column, timeout: Column, timeout_seconds: Column) -> Column:
 
 def wilson(successes: Column, total: Column, z: float = WILSON_Z) -> Column:
     """Struct (rate, ci_low, ci_high) of the Wilson interval, clipped to [0, 1]; nulls for a total of 0."""
-    n = total.cast("double")
-    p = F.when(total > 0, successes / n)
+    n = F.nullif(total.cast("double"), F.lit(0.0))
+    p = successes / n
     scale = 1 + z * z / n
     centre, margin = (p + z * z / (2 * n)) / scale, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return F.struct(p.alias("rate"), F.greatest(F.lit(0.0), centre - margin).alias("ci_low"), F.least(F.lit(1.0), centre + margin).alias("ci_high"))
+    return F.struct(p.alias("rate"), F.when(p.isNotNull(), F.greatest(F.lit(0.0), centre - margin)).alias("ci_low"), F.when(p.isNotNull(), F.least(F.lit(1.0), centre + margin)).alias("ci_high"))
 
 
 def geometric_mean(x: Column) -> Column:
@@ -163,7 +163,7 @@ def summary(x: Column, prefix: str) -> list[Column]:
     out += [F.percentile(x, q).alias(f"{prefix}_p{round(q * 100)}") for q in (0.75, 0.9, 0.95, 0.99)] + [F.max(x).alias(f"{prefix}_max")]
     for name, op, edge in THRESHOLDS:
         hit = F.count_if(x <= edge) if op == "<=" else F.count_if(x > edge)
-        out += [hit.alias(f"{prefix}_{name}_count"), (hit / F.count(x)).alias(f"{prefix}_{name}_fraction"), (hit * 100.0 / F.count(x)).alias(f"{prefix}_{name}_percent")]
+        out += [hit.alias(f"{prefix}_{name}_count"), F.try_divide(hit, F.count(x)).alias(f"{prefix}_{name}_fraction"), F.try_divide(hit * 100.0, F.count(x)).alias(f"{prefix}_{name}_percent")]
     return out
 
 
@@ -171,6 +171,6 @@ def estimator_summary(error: Column, ratio: Column, prefix: str) -> list[Column]
     """`summary` with the median signed ratio and the rates of over- and underestimation."""
     return [
         *summary(error, prefix), F.median(ratio).alias(f"{prefix}_median_signed_ratio"),
-        (F.count_if(ratio > 1 + EQUALITY_TOLERANCE) / F.count(ratio)).alias(f"{prefix}_overestimation_rate"),
-        (F.count_if(ratio < 1 - EQUALITY_TOLERANCE) / F.count(ratio)).alias(f"{prefix}_underestimation_rate"),
+        F.try_divide(F.count_if(ratio > 1 + EQUALITY_TOLERANCE), F.count(ratio)).alias(f"{prefix}_overestimation_rate"),
+        F.try_divide(F.count_if(ratio < 1 - EQUALITY_TOLERANCE), F.count(ratio)).alias(f"{prefix}_underestimation_rate"),
     ]

@@ -73,7 +73,9 @@ def _selected(rows: DataFrame, keys: list[str], value: str, fractions: dict[str,
     state = cut_lineage(whole.select(*keys, F.posexplode(places).alias("target", "rank"), "lo", "hi"))
     while not (open_ := state.where("lo < hi")).isEmpty():
         near = keyed_join(x, open_, keys, small=True).where(F.col("x").between(F.col("lo"), F.col("hi")))
-        part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS), F.lit(BUCKETS - 1))
+        width = F.col("hi") / 2 - F.col("lo") / 2  # halved, as the difference of two doubles may be too large for one
+        equal = F.floor((F.col("x") / 2 - F.col("lo") / 2) / width * BUCKETS)
+        part = F.when(width > 0, F.least(equal, F.lit(BUCKETS - 1))).otherwise((F.col("x") > F.col("lo")).cast("bigint"))
         parts = near.groupBy(*keys, "target", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy(*keys, "target").orderBy("part"))
         parts = parts.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))

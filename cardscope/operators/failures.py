@@ -86,8 +86,8 @@ def section_summary(rows: DataFrame, order: list[str] | None = None) -> DataFram
     for p in ("learned", "native"):
         x, r = F.col(f"{p}_q_error"), F.col(f"{p}_signed_error_ratio")
         plain += [F.avg(x).alias(f"{p}_mean"), M.geometric_mean(x).alias(f"{p}_geometric_mean"), F.max(x).alias(f"{p}_max")]
-        plain += [(F.count_if(x <= e if op == "<=" else x > e) / F.count(x)).alias(f"{p}_{n}_fraction") for n, op, e in M.THRESHOLDS]
-        plain += [(F.count_if(r > 1 + M.EQUALITY_TOLERANCE) / F.count(r)).alias(f"{p}_overestimation_rate"), (F.count_if(r < 1 - M.EQUALITY_TOLERANCE) / F.count(r)).alias(f"{p}_underestimation_rate")]
+        plain += [F.try_divide(F.count_if(x <= e if op == "<=" else x > e), F.count(x)).alias(f"{p}_{n}_fraction") for n, op, e in M.THRESHOLDS]
+        plain += [F.try_divide(F.count_if(r > 1 + M.EQUALITY_TOLERANCE), F.count(r)).alias(f"{p}_overestimation_rate"), F.try_divide(F.count_if(r < 1 - M.EQUALITY_TOLERANCE), F.count(r)).alias(f"{p}_underestimation_rate")]
         wanted += [(f"{p}_{n}", f"{p}_q_error", q) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
         wanted.append((f"{p}_median_signed_ratio", f"{p}_signed_error_ratio", 0.5))
     out = group_percentiles(every, ["section"], wanted, plain)

@@ -51,7 +51,7 @@ def histogram(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
     Without bins there are min(30, max(5, n // 3)). Equal values are put in the middle of a range of 1. Nulls are left out.
     """
     x = df.select(F.col(value).cast("double").alias("x")).where("x is not null")
-    facts = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    facts = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n > 0")
     number = F.lit(bins) if bins else F.least(F.lit(30), F.greatest(F.lit(5), F.floor(F.col("n") / 3))).cast("int")
     flat = F.col("lo") == F.col("hi")
     facts = facts.select(number.alias("k"), F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))

@@ -49,7 +49,7 @@ def seed_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     e.enumeration_cap = 0
     request = [Predicate("p_size", "<=", value=20), Predicate("p_retailprice", ">=", value=500.0)]
     rows = density.estimates(spark, e, {"part_range": request}, seeds=[123, 124, 125, 126, 127])
-    spread = rows.groupBy("query_id").agg(F.avg("cardinality").alias("mean"), (F.stddev("cardinality") / F.avg("cardinality") * 100).alias("variation_percent"))
+    spread = rows.groupBy("query_id").agg(F.avg("cardinality").alias("mean"), (F.try_divide(F.stddev("cardinality"), F.avg("cardinality")) * 100).alias("variation_percent"))
     return rows.join(F.broadcast(spread), "query_id")
 
 

@@ -82,7 +82,7 @@ def test_repeats_runs_and_empty_table(spark):
 
 def test_percentiles_of_hot_groups_are_exact(spark):
     rng = random.Random(5)
-    rows = [(rng.choice(["x", "x", "y", None]), rng.choice([rng.gauss(0, 1), 1.0, 1e300, -1e-300, None])) for _ in range(3000)]
+    rows = [(rng.choice(["x", "x", "y", None]), rng.choice([rng.gauss(0, 1), 1.0, 1e300, -1e-300, 5e-324, 1e-323, None])) for _ in range(3000)]
     df = spark.createDataFrame(rows, "k string, v double")
     wanted = [("a", "v", 0.5), ("b", "v", 0.9), ("c", "v", 0.0)]
     for hot in (10**6, 100):
