@@ -160,6 +160,6 @@ def _report(chosen: DataFrame, wanted: dict, sums: dict, need: dict, total: floa
     spark = chosen.sparkSession
     out = spark.createDataFrame(facts, schema).join(F.broadcast(mixed), "source", "left").fillna(0, ["mixed_tokens", "most_copies"])
     whole = mixed.agg(F.sum("mixed_tokens").alias("whole"))
-    return out.join(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.col("mixed_tokens") / F.col("whole"), F.lit(0.0))).drop("whole")
+    return out.join(F.broadcast(whole)).withColumn("actual_share", F.coalesce(F.try_divide("mixed_tokens", "whole"), F.lit(0.0))).drop("whole")
 
 
