@@ -59,10 +59,11 @@ _PAYLOAD = re.compile(r"^\s*(?:\{\"|<\w|<!|Traceback|  File \"|KeyError)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])")
 _MARKS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _PLACEHOLDERS), re.I)
 _TRUSTED = re.compile("|".join(f"(?:{e[1:]})" for e in _ENVELOPES), re.I)
-_MAY_MARK, _MAY_QUOTE = re.compile(r"[{$#<%@_\[*&]|xxx", re.I), re.compile("[`\"'“„«]")
+_MAY_MARK, _MAY_QUOTE = re.compile(r"[{$#@%]|__|<[<%]|[<\[]\W?[^\W\d_]|\[\[|\*\||&lt;|xxx", re.I), re.compile("[`\"'“„«]")
 # Beginnings of the words of the usual Latin filler text.
 _FILLER = frozenset("lore ipsu dolo sit amet cons adip elit sed eius temp inci labo magn aliq enim mini veni quis nost exer ulla nisi comm duis aute irur repr volu veli esse cill fugi null pari exce sint occa cupi non proi sunt culp qui offi dese moll anim est ut et in ex ea id".split())
 _WORD = re.compile(r"[^\W\d_]+|\d+|§\w+")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def passages_of(text: str | None) -> list[str]:
@@ -70,7 +71,8 @@ def passages_of(text: str | None) -> list[str]:
     if not text:
         return []
     out = []
-    for line in _FENCE.sub("\n§code\n", text.replace("\xa0", " ")).split("\n"):
+    text = text.replace("\xa0", " ")
+    for line in (_FENCE.sub("\n§code\n", text) if "```" in text else text).split("\n"):
         line = _CHAT.sub("", line).strip()
         if not line:
             continue
@@ -83,7 +85,9 @@ def passages_of(text: str | None) -> list[str]:
 
 
 def is_filler(passage: str) -> bool:
-    """Whether at least five words, and seven in ten, are Latin filler."""
+    """Whether at least five words, seven in ten and three of the first five are Latin filler."""
+    if sum(w[:4] in _FILLER for w in _WORD.findall(passage[:80].lower())[:5]) < 3:
+        return False
     words = _WORD.findall(passage.lower())
     return len(words) >= 5 and sum(w[:4] in _FILLER for w in words) >= 0.7 * len(words)
 
@@ -119,14 +123,23 @@ def features_of(passage: str) -> np.ndarray:
 
 
 class Scorer:
-    """Log odds of passages under fitted weights; remembers the weights of the features it met last. A passage without words
-    speaks for nothing."""
+    """Log odds of passages under fitted weights; remembers the features and the passages, but for their digits, that it met
+    last. A passage without words speaks for nothing."""
 
     def __init__(self, weights: np.ndarray, remember: int = 500_000) -> None:
         self.weights, self.prior, self.remember = weights, float(weights[-1]), remember
         self.known: dict = {}
+        self.scored: dict[str, float] = {}
 
     def __call__(self, passage: str) -> float:
+        key = _DIGIT.sub("0", passage)
+        if key not in self.scored:
+            if len(self.scored) >= self.remember // 4:
+                self.scored.clear()
+            self.scored[key] = self._score(passage)
+        return self.scored[key]
+
+    def _score(self, passage: str) -> float:
         total, known, names = self.prior, self.known, _names(passage)
         if not names:
             return -np.inf
@@ -192,7 +205,7 @@ def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [p for t in batch.column(0) for p in passages_of(t.as_py())]
-            cols = [pa.array([re.sub(r"\d", "0", p) for p in found], pa.string()), pa.array([is_trusted(p) for p in found], pa.bool_())]
+            cols = [pa.array([_DIGIT.sub("0", p) for p in found], pa.string()), pa.array([is_trusted(p) for p in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["passage", "trusted"])
 
     seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage", "trusted").count().orderBy("passage", "trusted").toPandas()
