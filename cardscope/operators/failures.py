@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from cardscope.functions import metrics as M
 from cardscope.operators.exact_median import group_percentiles
+from cardscope.session import cut_lineage
 
 # When a category is a systematic failure, and the conclusions about a single failure.
 SYSTEMATIC_ROWS, SYSTEMATIC_FACTOR = 5, 2.0
@@ -72,6 +73,7 @@ def section_summary(rows: DataFrame, order: list[str] | None = None) -> DataFram
     valid = rows.where("status = 'ok'").select(
         "normalized_sql_id", "is_filtered", "learned_q_error", "native_q_error", "learned_signed_error_ratio", "native_signed_error_ratio", *order
     )
+    valid = cut_lineage(valid)  # read by every section and pass
     filtered = F.coalesce("is_filtered", F.lit(False))
     parts = [valid, keep_first(valid, "normalized_sql_id", order), valid.where(filtered), keep_first(valid.where(filtered), "normalized_sql_id", order), valid.where(~filtered)]
     every = None
@@ -80,7 +82,9 @@ def section_summary(rows: DataFrame, order: list[str] | None = None) -> DataFram
         every = part if every is None else every.unionByName(part)
     result = M.outcome(F.col("learned_q_error"), F.col("native_q_error"), ("learned_better", "native_better", "equal"))
     every = every.withColumn("__outcome", result)
-    plain = [F.count("*").alias("rows"), F.countDistinct("normalized_sql_id").alias("statements")]
+    # distinct statements are counted beside the other aggregates: with them, every row would be sent once more
+    statements = every.where("normalized_sql_id is not null").select("section", "normalized_sql_id").distinct().groupBy("section").agg(F.count("*").alias("statements"))
+    plain = [F.count("*").alias("rows")]
     plain += [F.count_if(F.col("__outcome") == o).alias(o) for o in ("learned_better", "native_better", "equal")]
     wanted = []
     for p in ("learned", "native"):
@@ -90,7 +94,7 @@ def section_summary(rows: DataFrame, order: list[str] | None = None) -> DataFram
         plain += [F.try_divide(F.count_if(r > 1 + M.EQUALITY_TOLERANCE), F.count(r)).alias(f"{p}_overestimation_rate"), F.try_divide(F.count_if(r < 1 - M.EQUALITY_TOLERANCE), F.count(r)).alias(f"{p}_underestimation_rate")]
         wanted += [(f"{p}_{n}", f"{p}_q_error", q) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
         wanted.append((f"{p}_median_signed_ratio", f"{p}_signed_error_ratio", 0.5))
-    out = group_percentiles(every, ["section"], wanted, plain)
+    out = group_percentiles(every, ["section"], wanted, plain).join(F.broadcast(statements), "section", "left").fillna(0, ["statements"])
     difference = lambda c: (F.col(f"learned_{c}") - F.col(f"native_{c}")).alias(f"{c}_learned_minus_native")
     return out.select("*", *(difference(c) for c in ("median", "geometric_mean", "le2_fraction")))
 
@@ -118,22 +122,31 @@ def categories(df: DataFrame) -> Column:
     return F.concat(F.array(*(pair(d, v) for d, v in single)), *per_column)
 
 
+_CATEGORY_COLUMNS = frozenset((
+    "table", "query_template", "predicate_count", "operator_class", "equality_range_shape", "involved_columns", "exact_cardinality", "selectivity", "estimate_direction", "inference_mode",
+    "has_null_sensitive_column", "encoding_types", "normalized_sql_id", "learned_q_error", "native_q_error", "learned_signed_error_ratio",
+))
+
+
 def category_metrics(rows: DataFrame) -> DataFrame:
     """Error metrics of every (dimension, value) among the valid rows, and whether it is a systematic failure: at least
     SYSTEMATIC_ROWS rows and a median of at least SYSTEMATIC_FACTOR times the overall one."""
     valid = rows.where("status = 'ok'")
+    valid = cut_lineage(valid.select([c for c in valid.columns if c in _CATEGORY_COLUMNS]))  # read by every pass below
     wide = valid.select("normalized_sql_id", "learned_q_error", "native_q_error", "learned_signed_error_ratio", F.explode(categories(valid)).alias("c"))
     wide = wide.select("c.dimension", "c.value", *wide.columns[:-1])
     x, n, r = F.col("learned_q_error"), F.col("native_q_error"), F.col("learned_signed_error_ratio")
     share = lambda c, edge: (F.count_if(c > edge) * 100.0 / F.count("*"))
     plain = [
-        F.count("*").alias("group_size"), F.countDistinct("normalized_sql_id").alias("unique_query_count"), M.geometric_mean(x).alias("learned_geometric_mean_q_error"),
+        F.count("*").alias("group_size"), M.geometric_mean(x).alias("learned_geometric_mean_q_error"),
         F.max(x).alias("learned_max_q_error"), share(x, 10).alias("learned_gt10_percent"), share(x, 100).alias("learned_gt100_percent"),
         share(r, 1 + M.EQUALITY_TOLERANCE).alias("learned_overestimation_percent"), M.geometric_mean(n).alias("native_geometric_mean_q_error"), share(n, 10).alias("native_gt10_percent"),
     ]
     wanted = [(f"learned_{k}_q_error", "learned_q_error", q) for k, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
     wanted += [("learned_median_signed_ratio", "learned_signed_error_ratio", 0.5), ("native_median_q_error", "native_q_error", 0.5), ("native_p95_q_error", "native_q_error", 0.95)]
-    grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain)
+    # distinct statements are counted beside the other aggregates: with them, every row would be sent once more
+    named = wide.where("normalized_sql_id is not null").select("dimension", "value", "normalized_sql_id").distinct().groupBy("dimension", "value").agg(F.count("*").alias("unique_query_count"))
+    grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain).join(named, ["dimension", "value"], "left").fillna(0, ["unique_query_count"])
     overall = group_percentiles(valid.select(F.lit(1).alias("one"), "learned_q_error"), ["one"], [("overall_learned_median_q_error", "learned_q_error", 0.5)]).drop("one")
     out = grouped.withColumnsRenamed({"dimension": "group_dimension", "value": "group_value"}).join(F.broadcast(overall))
     systematic = (F.col("group_size") >= SYSTEMATIC_ROWS) & (F.col("overall_learned_median_q_error") > 0) & (F.col("learned_median_q_error") >= SYSTEMATIC_FACTOR * F.col("overall_learned_median_q_error"))

@@ -469,7 +469,7 @@ _SQL_CATEGORIES = f"""{_CATEGORIES} SELECT group_dimension, group_value, group_s
 def worst_queries(spark: SparkSession, d: str) -> DataFrame:
     out = failures.worst_queries(_evaluated(spark, d))
     return rounded(out.select(
-        "result_id", "occurrence_id", "learned_q_error", "native_q_error", "learned_native_q_error_ratio", "worst_learned_q_error", "worst_learned_native_disadvantage", "candidate_classification", "classification_status",
+        "result_id", "occurrence_id", "learned_q_error", "native_q_error", _round(F.col("learned_native_q_error_ratio"), 2).alias("learned_native_q_error_ratio"), "worst_learned_q_error", "worst_learned_native_disadvantage", "candidate_classification", "classification_status",
         F.array_join(F.transform("matching_systematic_groups", lambda g: F.concat_ws("=", g["dimension"], g["value"])), ";").alias("systematic_groups"),
     ))
 
@@ -478,7 +478,7 @@ _SQL_WORST = f"""{_CATEGORIES}, byq AS (SELECT result_id FROM v ORDER BY learned
 picked AS (SELECT *, result_id IN (FROM byq) AS worst_learned_q_error, result_id IN (FROM byr) AS worst_learned_native_disadvantage FROM v WHERE result_id IN (FROM byq) OR result_id IN (FROM byr)),
 hits AS (SELECT result_id, array_to_string(list_sort(list(DISTINCT {{'a': c.d, 'b': c.x}})).list_transform(lambda g: g.a || '=' || g.b), ';') AS s FROM cats
   JOIN flagged ON group_dimension = c.d AND group_value = c.x WHERE systematic_failure_candidate AND result_id IN (SELECT result_id FROM picked) GROUP BY 1)
-SELECT result_id, occurrence_id, round(learned_q_error, 6) AS learned_q_error, round(native_q_error, 6) AS native_q_error, round(learned_q_error / native_q_error, 6) AS learned_native_q_error_ratio,
+SELECT result_id, occurrence_id, round(learned_q_error, 6) AS learned_q_error, round(native_q_error, 6) AS native_q_error, round(learned_q_error / native_q_error, 2) AS learned_native_q_error_ratio,
   worst_learned_q_error, worst_learned_native_disadvantage,
   CASE WHEN s IS NOT NULL THEN 'systematic category failure' WHEN coalesce(fallback_used, false) THEN 'preprocessing/translation issue' WHEN inference_mode = 'progressive_sampling' THEN 'sampling instability'
        WHEN learned_q_error > 10 AND native_q_error < learned_q_error THEN 'likely model limitation' ELSE 'isolated outlier' END AS candidate_classification,

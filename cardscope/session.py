@@ -58,7 +58,11 @@ def hot_of(counts: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT)
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
-    """Keys with more than max(hot_rows, total / max_hot) rows, with their count: never more than max_hot of them."""
+    """Keys with more than max(hot_rows, total / max_hot) rows, with their count: never more than max_hot of them.
+
+    A table of at most hot_rows rows has none, which a count without a shuffle tells."""
+    if df.count() <= hot_rows:
+        return df.sparkSession.createDataFrame([], df.select(*keys).withColumn("count", F.lit(0).cast("bigint")).schema)
     return hot_of(df.groupBy(*keys).count(), hot_rows, max_hot)
 
 
