@@ -87,6 +87,35 @@ def test_bootstrap_resamples_rows_and_clusters(spark):
         bootstrap.paired_bootstrap(spark, df, "l", "r", samples=0)
 
 
+def test_bootstrap_over_many_blocks_is_exact(spark):
+    from statistics import geometric_mean, median
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), None if c == 0 else f"c{c}") for a, b, c in zip(np.round(rng.lognormal(1, 1, 1500), 2) + 1, rng.lognormal(1, 1, 1500) + 1, rng.integers(0, 40, 1500) * rng.integers(0, 2, 1500))]
+    rows += [(1.0, 1.5, "hot")] * 700 + [(3.0, 1.25, None)] * 20
+    df = spark.createDataFrame(rows, "l double, r double, c string")
+    same = {"median_q_error": median, "geometric_mean_q_error": geometric_mean, "fraction_q_error_le2": lambda x: sum(v <= 2 for v in x) / len(x)}
+    by = {}
+    for a, b, c in rows:
+        by.setdefault(c, []).append((a, b))
+    for unit in (None, "c"):
+        # blocks far below the number of pairs: more cells than any block or single value list holds
+        got = {r["metric"]: r for r in bootstrap.paired_bootstrap(spark, df, "l", "r", clusters=unit, samples=400, block_rows=128).collect()}
+        groups = list(by.values()) if unit else [[(a, b)] for a, b, _ in rows]
+        assert {r["cluster_count"] for r in got.values()} == {len(by) if unit else None}
+        draws = {m: [] for m in same}
+        for _ in range(400):
+            drawn = [p for k in rng.integers(0, len(groups), len(groups)) for p in groups[k]]
+            for m, f in same.items():
+                draws[m].append(f([a for a, _ in drawn]) - f([b for _, b in drawn]))
+        for m, f in same.items():
+            assert got[m]["observed_delta"] == pytest.approx(f([a for a, _, _ in rows]) - f([b for _, b, _ in rows]))
+            low, high = np.quantile(draws[m], [0.025, 0.975])
+            assert abs(got[m]["ci_low"] - low) < 0.3 * (high - low) and abs(got[m]["ci_high"] - high) < 0.3 * (high - low)
+        other = {r["metric"]: r for r in bootstrap.paired_bootstrap(spark, df.repartition(7), "l", "r", clusters=unit, samples=400, block_rows=128).collect()}
+        assert other == got
+
+
 def test_sections_take_the_first_row_of_a_statement(spark):
     schema = "result_id int, normalized_sql_id string, is_filtered boolean, learned_q_error double, native_q_error double, learned_signed_error_ratio double, native_signed_error_ratio double, status string"
     rows = [(1, "same", True, 2.0, 4.0, 2.0, 0.5, "ok"), (2, "same", True, 8.0, 4.0, 2.0, 0.5, "ok"), (3, "other", False, 1.0, 1.0, 1.0, 1.0, "ok"), (4, "x", True, 1.0, 1.0, 1.0, 1.0, "invalid")]
