@@ -5,7 +5,7 @@ import pytest
 
 from cardscope.operators import density, encoding
 from cardscope.operators.encoding import ColumnEncoder, Predicate, PredicateError, TableEncoder, allowed_ids, allowed_tokens, intersected, predicate_row
-from cardscope.plans import explain
+from cardscope.plans import explain, model_queries
 from cardscope.plans.native import Catalog, roundtrip_ok
 from cardscope.plans.requests import COMPLEX, CROSS, NOT_SINGLE, QueryGraph, normalize_sql
 from cardscope.plans.seed_workload import STATEMENTS
@@ -185,3 +185,14 @@ def test_reports_registry_and_runs(spark, tmp_path):
     with pytest.raises(ValueError):
         artifacts.RunContext.create(tmp_path, "../r1")
     assert json.loads(run.write_manifest(["--password", "x", "--dsn=y", "--k", "v"]).read_text())["argv"] == ["--password", "***", "--dsn=***", "--k", "v"]
+
+
+def test_registered_models_are_the_operator_s_own(spark):
+    e = model_queries._estimator(spark, SMALL, "part")
+    assert (e.samples, e.model.embedding, e.model.hidden) == (8000, 16, (64, 64))
+    single = {n for n, s in STATEMENTS.items() if len(QueryGraph.parse(spark, s).relations) == 1}
+    rows = model_queries.made_estimates(spark, SMALL).collect()
+    assert len(single) == 6 and sorted(r["query_id"] for r in rows) == sorted(single)
+    rows = model_queries.seed_sensitivity(spark, SMALL).collect()
+    assert len(rows) == 50 and len({r["query_id"] for r in rows}) == 10 and {r["inference_mode"] for r in rows} == {"progressive_sampling"}
+    assert {(r["rank"], r["seed"]) for r in rows} == {(k, s) for k in range(1, 11) for s in range(123, 128)}
