@@ -84,11 +84,14 @@ def seed_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Differences learned - native of three error metrics: rows resampled, and statements resampled as clusters."""
+    """Differences learned - native of three error metrics: rows resampled, and statements and templates as clusters."""
     rows = failures.evaluated(table(spark, d, "experiment_2_failures"), table(spark, d, "base_queries")).where("status = 'ok'")
-    plain = bootstrap.paired_bootstrap(spark, rows, "learned_q_error", "native_q_error", samples=200)
-    clusters = bootstrap.paired_bootstrap(spark, rows, "learned_q_error", "native_q_error", clusters="query_template", samples=200)
-    return plain.withColumn("unit", F.lit("occurrence")).unionByName(clusters.withColumn("unit", F.lit("query_template")))
+    rows = cut_lineage(rows.select("learned_q_error", "native_q_error", "normalized_sql_id", "query_template"))  # read by every unit
+    out = None
+    for unit in ("occurrence", "normalized_sql_id", "query_template"):
+        part = bootstrap.paired_bootstrap(spark, rows, "learned_q_error", "native_q_error", clusters=None if unit == "occurrence" else unit).withColumn("unit", F.lit(unit))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def plan_facts(spark: SparkSession, d: str) -> DataFrame:

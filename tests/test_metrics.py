@@ -116,6 +116,20 @@ def test_bootstrap_over_many_blocks_is_exact(spark):
         assert other == got
 
 
+def test_bootstrap_query_has_three_units_of_10000_resamples(spark, monkeypatch):
+    from cardscope.plans import model_queries
+
+    real, asked = bootstrap.paired_bootstrap, []
+
+    def few(*args, samples=10_000, **options):
+        asked.append(samples)
+        return real(*args, samples=2, **options)
+
+    monkeypatch.setattr(bootstrap, "paired_bootstrap", few)
+    rows = model_queries.bootstrap_ci(spark, "/root/testdata/sf0.001").collect()
+    assert asked == [10_000] * 3 and len(rows) == 9 and {r["unit"] for r in rows} == {"occurrence", "normalized_sql_id", "query_template"}
+
+
 def test_sections_take_the_first_row_of_a_statement(spark):
     schema = "result_id int, normalized_sql_id string, is_filtered boolean, learned_q_error double, native_q_error double, learned_signed_error_ratio double, native_signed_error_ratio double, status string"
     rows = [(1, "same", True, 2.0, 4.0, 2.0, 0.5, "ok"), (2, "same", True, 8.0, 4.0, 2.0, 0.5, "ok"), (3, "other", False, 1.0, 1.0, 1.0, 1.0, "ok"), (4, "x", True, 1.0, 1.0, 1.0, 1.0, "invalid")]
