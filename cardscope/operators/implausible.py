@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from cardscope.operators.exact_median import group_medians
 from cardscope.operators.joins import attach, keyed_join
+from cardscope.operators.ranking import with_running
 from cardscope.session import HOT_ROWS, MAX_HOT, cut_lineage, hot_keys
 
 #: Fixed values of the runtime protocol: limit in median distances, shortest constant run.
@@ -168,27 +169,47 @@ def decompose(x: np.ndarray, period: int = 0, window: int = 15, rounds: int = 2)
     return trend, season
 
 
-def decomposed_outliers(df: DataFrame, keys: list[str], order: list[str], value: str, id_col: str, period: int = 0, window: int = 15, alpha: float = 0.001, piece_rows: int = 4096) -> DataFrame:
+def estimated_period(x: np.ndarray, window: int = 15, longest: int = 366, least: float = 0.5) -> int:
+    """The shortest lag whose autocorrelation, without trend and with clipped outliers, is near the best; 0 if none is strong.
+    Three whole periods must be there, and 12 readings."""
+    if len(x) < 12:
+        return 0
+    rest = x - decompose(x, 0, window)[0]
+    rest = rest - np.median(rest)
+    limit = 3 * 1.4826 * np.median(np.abs(rest))
+    if limit <= 0:
+        return 0
+    rest = np.clip(rest, -limit, limit)
+    rest = rest - rest.mean()
+    lags = np.arange(2, min(len(x) // 3, longest) + 1)
+    match = np.array([np.mean(rest[k:] * rest[:-k]) for k in lags]) / np.mean(rest * rest)
+    return int(lags[match >= 0.9 * match.max()][0]) if match.max() >= least else 0
+
+
+def decomposed_outliers(df: DataFrame, keys: list[str], order: list[str], value: str, id_col: str, period: int | None = 0, window: int = 15, alpha: float = 0.001, piece_rows: int = 4096) -> DataFrame:
     """(id, trend, season, residual, outlier) by robust seasonal-trend decomposition per source and generalised ESD limits.
 
-    A source is looked at in successive pieces of at most about piece_rows rows, cut by the value of order[0] in ranges of
-    piece_rows, so a source with a third of all rows is many tasks; a trend needs only a window of neighbours. Readings
-    that are null or not finite are left out. order[0] must be a whole number; null sorts first, as piece 0.
+    A source is looked at in successive pieces of piece_rows rows by their rank in its order, so a source with a third of
+    all rows is many tasks whatever its values of order; a piece sees the 2 * window rows before and behind it for its
+    trend and season. period: None estimates it from each piece, 0 has no season. Readings that are null or not finite are
+    left out; null sorts first.
     """
     rows = df.select(*dict.fromkeys([id_col, *keys, *order]), F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x) and abs(x) < double('inf')")
-    piece = F.floor(F.coalesce(F.col(order[0]), F.lit(0)) / piece_rows).alias("piece")
-    rows = rows.select("*", piece)
+    ranked = with_running(rows, keys, [F.col(c) for c in order], "__rank").select(id_col, *keys, "x", (F.col("__rank") - 1).alias("at"))
+    own, beside = F.floor(F.col("at") / piece_rows), 2 * window
+    near = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("at") - beside, F.lit(0)) / piece_rows), F.floor((F.col("at") + beside) / piece_rows)))
+    pieces = ranked.select("*", own.alias("own"), F.explode(near).alias("piece"))
     id_type = df.schema[id_col].dataType.simpleString()
-    names = list(order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, kind="stable")
+        pdf = pdf.sort_values("at", kind="stable")
+        mine = (pdf["own"] == pdf["piece"]).to_numpy()
         x = pdf["x"].to_numpy()
-        trend, season = decompose(x, period, window)
-        rest = x - trend - season
-        return pd.DataFrame({id_col: pdf[id_col].to_numpy(), "trend": trend, "season": season, "residual": rest, "outlier": esd_outliers(rest, alpha)})
+        trend, season = decompose(x, estimated_period(x, window) if period is None else period, window)
+        rest = (x - trend - season)[mine]
+        return pd.DataFrame({id_col: pdf[id_col].to_numpy()[mine], "trend": trend[mine], "season": season[mine], "residual": rest, "outlier": esd_outliers(rest, alpha)})
 
-    return rows.groupBy(*keys, "piece").applyInPandas(run, f"{id_col} {id_type}, trend double, season double, residual double, outlier boolean")
+    return pieces.groupBy(*keys, "piece").applyInPandas(run, f"{id_col} {id_type}, trend double, season double, residual double, outlier boolean")
 
 
 __all__ = ["decomposed_outliers", "flag_implausible"]

@@ -102,3 +102,21 @@ def test_decomposition_finds_spikes_on_a_trend_and_a_season(spark):
     rows = [row(i, float(v), q=None) for i, v in enumerate(x)] + [row(999, None)]
     got = decomposed_outliers(spark.createDataFrame(rows, SCHEMA), ["query_id"], ["repetition"], "execution_time_ms", "measurement_id", period=4).where("outlier").collect()
     assert {30, 120} <= {r["measurement_id"] for r in got} and len(got) <= 6
+
+
+def test_decomposition_finds_season_wall_clock_and_pieces_by_rank(spark, monkeypatch):
+    from cardscope.plans import data_queries
+
+    schema = "measurement_id int, query_id string, configuration string, repetition int, warmup boolean, status string, timeout boolean, timeout_seconds double, execution_time_ms double, wall_clock_duration_ms double"
+    season = lambda i: 100.0 + 20 * (i % 6) + (i * 7 % 5) / 10
+    rows = [(i, "q", "c", None if i % 2 else 1, False, "ok", False, 300.0, season(i // 2), season(i // 2) + (500 if i == 101 else 10)) for i in range(600)]
+    monkeypatch.setattr(data_queries, "table", lambda *_: spark.createDataFrame(rows, schema))
+    got = data_queries.p5_decomposed(spark, "").collect()
+    assert len(got) == 1200 and {r["season"] for r in got} != {0.0}
+    assert (101, "wall_clock_duration_ms") in {(r["measurement_id"], r["reading"]) for r in got if r["outlier"]}
+    # one value of repetition only: pieces are cut by rank all the same
+    df = spark.createDataFrame([(i, "q", 1, float(i)) for i in range(1000)], "id int, k string, repetition int, x double")
+    many = decomposed_outliers(df, ["k"], ["repetition", "id"], "x", "id", piece_rows=100)
+    assert many.count() == 1000 and many.select("id").distinct().count() == 1000
+    inner = [r for r in many.collect() if 20 < r["id"] < 980]
+    assert all(r["residual"] == 0 for r in inner)  # neighbours across the cuts are seen, so a straight line has no residual
