@@ -131,9 +131,8 @@ def injection_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def catalyst_join_choice(spark: SparkSession, d: str) -> DataFrame:
     """First joins that Spark chooses with its own estimates, with exact base cardinalities, and the exact size of both."""
-    names = ("customer_orders_lineitem", "lineitem_part_supplier")
-    graphs = {n: QueryGraph.parse(spark, STATEMENTS[n]) for n in names}
-    tables = {t: table(spark, d, t) for t in ("customer", "orders", "lineitem", "part", "supplier")}
+    graphs = {n: g for n, s in STATEMENTS.items() if len((g := QueryGraph.parse(spark, s)).relations) > 1}
+    tables = {t: table(spark, d, t) for t in {r.table for g in graphs.values() for r in g.relations}}
     counts = workload.ExactCounts(spark, tables)
     rows = []
     with Catalog(spark, d) as catalog:

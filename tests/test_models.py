@@ -196,3 +196,9 @@ def test_registered_models_are_the_operator_s_own(spark):
     rows = model_queries.seed_sensitivity(spark, SMALL).collect()
     assert len(rows) == 50 and len({r["query_id"] for r in rows}) == 10 and {r["inference_mode"] for r in rows} == {"progressive_sampling"}
     assert {(r["rank"], r["seed"]) for r in rows} == {(k, s) for k in range(1, 11) for s in range(123, 128)}
+
+
+def test_join_choice_covers_every_joined_statement(spark):
+    rows = model_queries.catalyst_join_choice(spark, SMALL).collect()
+    assert sorted(r["query_id"] for r in rows) == ["customer_orders", "customer_orders_lineitem", "lineitem_part_supplier", "region_to_lineitem"]
+    assert all(r["native_first_join"] and r["exact_first_join"] and r["native_output"] is not None for r in rows)
