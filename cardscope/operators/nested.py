@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 _SCALAR = re.compile(rb"(?:(?:true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)\n)*")
 _OPEN_OBJECT, _CLOSE_OBJECT, _OPEN_LIST, _CLOSE_LIST, _COMMA, _COLON, _QUOTE = b"{}[],:\""
+_HALF = re.compile("[\ud800-\udfff]")
 _WORD = ord("s")  # a number, true, false or null
 
 
@@ -106,7 +108,8 @@ class StructuralIndex:
         commas = np.flatnonzero(kind == _COMMA)
         comma_keys = np.sort(self.container[commas] * wide + commas)
         self.place = np.searchsorted(comma_keys, self.container * wide + np.arange(n)) - np.searchsorted(comma_keys, self.container * wide)
-        self.pos, self.end, self.kind, self.doc, self.buf = pos, end, kind, doc, buf
+        self.pos, self.end, self.kind, self.doc, self.buf, self.level = pos, end, kind, doc, buf, level
+        self.slashes = np.concatenate([[0], np.cumsum(buf == 92)])
 
     def _bad(self, docs: np.ndarray) -> None:
         self.ok[docs] = False
@@ -149,12 +152,27 @@ class StructuralIndex:
         self._bad(doc[~good])
 
     def text(self, token: int) -> str:
-        """The string of a token, decoded, or the raw text of any other value."""
+        """The string of a token, decoded, or the raw text of any other value. Half a surrogate pair becomes U+FFFD."""
         raw = self.buffer[self.pos[token] : self.end[token if self.close[token] < 0 else self.close[token]]]
         if self.kind[token] == _QUOTE:
-            return json.loads(raw) if b"\\" in raw else raw[1:-1].decode("utf-8", "replace")
+            return _HALF.sub("\ufffd", json.loads(raw)) if b"\\" in raw else raw[1:-1].decode("utf-8", "replace")
         return raw.decode("utf-8", "replace")
 
+    def strings(self, tokens: np.ndarray) -> pa.Array:
+        """`text` of many tokens, cut out of the buffer at once; only strings with escapes are decoded one by one."""
+        quoted = (self.kind[tokens] == _QUOTE).astype(np.int64)
+        starts = self.pos[tokens] + quoted
+        stops = self.end[np.where(self.close[tokens] < 0, tokens, self.close[tokens])] - quoted
+        sizes = stops - starts
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32 if sizes.sum() < 2**31 else np.int64)
+        data = self.buf[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)]
+        kind = pa.StringArray if offsets.dtype == np.int32 else pa.LargeStringArray
+        out = kind.from_buffers(len(tokens), pa.py_buffer(offsets), pa.py_buffer(data))
+        escaped = (self.slashes[stops] > self.slashes[starts]) & (quoted == 1)
+        if escaped.any():
+            out = pc.replace_with_mask(out, pa.array(escaped), pa.array([self.text(t) for t in tokens[escaped]], out.type))
+        return out.cast(pa.string())
+
     def named(self, tokens: np.ndarray, name: str) -> np.ndarray:
         """Those of the tokens that are values of a member with this name."""
         tokens = tokens[tokens >= 2]
@@ -164,65 +182,118 @@ class StructuralIndex:
         same = length == len(raw)
         for k, b in enumerate(raw):
             same &= self.buf[np.minimum(self.pos[keys] + 1 + k, len(self.buf) - 1)] == b
-        longer = np.flatnonzero(length > len(raw))
-        for i in longer[[b"\\" in self.buffer[self.pos[keys[j]] : self.end[keys[j]]] for j in longer]] if len(longer) else []:
+        # a longer key may be the same name with escapes
+        for i in np.flatnonzero((length > len(raw)) & (self.slashes[self.end[keys]] > self.slashes[self.pos[keys]])):
             same[i] = self.text(keys[i]) == name
         return tokens[same]
 
+    def values(self) -> np.ndarray:
+        """The tokens of good documents that are values of members of objects."""
+        tokens = np.flatnonzero(self.ok[self.doc] & np.isin(self.kind, [_QUOTE, _WORD, _OPEN_OBJECT, _OPEN_LIST]))
+        tokens = tokens[tokens >= 2]
+        return tokens[self.kind[tokens - 1] == _COLON]
 
-def plan_records(texts: list[bytes], attributes: bool = False) -> list[tuple[int, str, str, str, dict | None]]:
-    """(document, record kind, path, parent path, attributes) of the plan nodes and workers of each document."""
-    index = StructuralIndex(texts)
-    out: list[tuple[int, str, str, str, dict | None]] = []
-    live = index.ok[index.doc]
-    tokens = np.arange(len(index.doc))
-    objects = tokens[live & (index.kind == _OPEN_OBJECT)]
-    lists = tokens[live & (index.kind == _OPEN_LIST)]
-
-    # a document inside a string is decoded and indexed again
-    tops = tokens[live & (index.kind == _QUOTE)]
-    tops = tops[(index.container[tops] < 0) | ((index.kind[index.container[tops]] == _OPEN_LIST) & (index.container[index.container[tops]] < 0))]
-    if len(tops):
-        inner = plan_records([index.text(t).encode("utf-8", "replace") for t in tops], attributes)
-        out += [(int(index.doc[tops[d]]), *rest) for d, *rest in inner]
-
-    roots = index.named(objects, "Plan")
-    roots = roots[np.unique(index.doc[roots], return_index=True)[1]]
-    children = {name: _members(index, index.named(lists, name), objects) for name in ("Plans", "Workers")}
-    members = _scalars(index, tokens[live]) if attributes else {}
-    frontier = [(int(t), "0", "") for t in roots]
-    while frontier:
-        after = []
-        for token, path, parent in frontier:
-            d = int(index.doc[token])
-            out.append((d, "node", path, parent, members.get(token) if attributes else None))
-            out += [(d, "worker", f"{path}.w{i}", path, members.get(t) if attributes else None) for i, t in children["Workers"].get(token, ())]
-            after += [(t, f"{path}.{i}", path) for i, t in children["Plans"].get(token, ())]
-        frontier = after
-    return out
 
+def layers(texts: list[bytes]) -> Iterator[tuple[StructuralIndex, np.ndarray]]:
+    """(index, number of each of its documents) of the documents, then of those that stand inside their strings, and so on."""
+    numbers = np.arange(len(texts))
+    while len(numbers):
+        index = StructuralIndex(texts)
+        yield index, numbers
+        opened = np.cumsum((index.kind == _OPEN_OBJECT).astype(np.int64) - (index.kind == _CLOSE_OBJECT))
+        before = np.concatenate([[0], opened])[np.searchsorted(index.doc, index.doc)]
+        tops = np.flatnonzero(index.ok[index.doc] & (index.kind == _QUOTE) & (opened == before))  # in no object, maybe in lists
+        texts, numbers = [index.text(t).encode("utf-8", "replace") for t in tops], numbers[index.doc[tops]]
 
-def _members(index: StructuralIndex, lists: np.ndarray, objects: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """For each object that owns one of the lists, the (position, token) of the objects in that list."""
-    inside = objects[np.isin(index.container[objects], lists)]
-    out: dict[int, list[tuple[int, int]]] = {}
-    for t, owner, i in zip(inside.tolist(), index.container[index.container[inside]].tolist(), index.place[inside].tolist()):
-        out.setdefault(owner, []).append((i, t))
-    return out
 
+def _spread(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which key, place in sorted_keys) of every match."""
+    low, high = np.searchsorted(sorted_keys, keys), np.searchsorted(sorted_keys, keys, side="right")
+    which = np.repeat(np.arange(len(keys)), high - low)
+    first = np.cumsum(high - low) - (high - low)
+    return which, np.arange(len(which)) - first[which] + low[which]
+
+
+class PlanTree:
+    """The plan nodes and workers of the documents of an index, as arrays: token (of the object), worker, path and parent.
+
+    The root of a document is its least deep object `Plan`, the first of equally deep ones. Levels are made one after the other,
+    each as a whole: the members of a level's lists are found by search in arrays, and their paths by joining columns of text.
+    """
 
-def _scalars(index: StructuralIndex, tokens: np.ndarray) -> dict[int, dict[str, str]]:
-    """For each object, its members other than Plans and Workers: strings decoded, anything else as written."""
-    values = tokens[tokens >= 2]
-    values = values[(index.kind[values - 1] == _COLON) & np.isin(index.kind[values], [_QUOTE, _WORD, _OPEN_OBJECT, _OPEN_LIST])]
-    out: dict[int, dict[str, str]] = {}
-    for t in values.tolist():
-        if (name := index.text(t - 2)) not in ("Plans", "Workers"):
-            out.setdefault(int(index.container[t]), {})[name] = index.text(t)
+    def __init__(self, index: StructuralIndex, skip: np.ndarray | None = None) -> None:
+        live = index.ok[index.doc]
+        if skip is not None:
+            live &= ~skip[index.doc]
+        objects, lists = (np.flatnonzero(live & (index.kind == k)) for k in (_OPEN_OBJECT, _OPEN_LIST))
+        roots = index.named(objects, "Plan")
+        roots = roots[np.lexsort((roots, index.level[roots], index.doc[roots]))]
+        roots = roots[np.unique(index.doc[roots], return_index=True)[1]]
+        members = {}
+        for name in ("Plans", "Workers"):
+            inside = objects[np.isin(index.container[objects], index.named(lists, name))]
+            owner = index.container[index.container[inside]]
+            order = np.argsort(owner, kind="stable")
+            members[name] = (inside[order], owner[order])
+        self.index, self.roots = index, roots
+        tokens, workers, paths, parents = [], [], [], []
+        level, path, parent = roots, pa.array(["0"] * len(roots), pa.string()), pa.array([""] * len(roots), pa.string())
+        while len(level):
+            tokens.append(level), workers.append(np.zeros(len(level), dtype=bool)), paths.append(path), parents.append(parent)
+            below = {}
+            for name, mark in (("Workers", ".w"), ("Plans", ".")):
+                found, owners = members[name]
+                which, at = _spread(level, owners)
+                place = pa.array(index.place[found[at]]).cast(pa.string())
+                up = path.take(pa.array(which))
+                below[name] = (found[at], pc.binary_join_element_wise(up, place, mark), up)
+            token, at_path, up = below["Workers"]
+            tokens.append(token), workers.append(np.ones(len(token), dtype=bool)), paths.append(at_path), parents.append(up)
+            level, path, parent = below["Plans"]
+        self.token = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
+        self.worker = np.concatenate(workers) if workers else np.zeros(0, bool)
+        text = lambda parts: pa.concat_arrays([x.cast(pa.string()) for x in parts]) if parts else pa.array([], pa.string())
+        self.path, self.parent = text(paths), text(parents)
+        self.doc = index.doc[self.token]
+
+    def attributes(self) -> pa.Array:
+        """For each record its members other than Plans and Workers as a map of text: strings decoded, anything else as written. Of
+        members named alike the last stands."""
+        index, values = self.index, self.index.values()
+        keys = index.strings(values - 2)
+        coded = keys.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = [i for i, k in enumerate(coded.dictionary.to_pylist()) if k in ("Plans", "Workers")]
+        owner = index.container[values]
+        last = len(values) - 1 - np.unique((owner * (len(coded.dictionary) + 1) + code)[::-1], return_index=True)[1]
+        at = np.sort(last)[~np.isin(code[np.sort(last)], lists)]
+        at = at[np.argsort(owner[at], kind="stable")]
+        which, place = _spread(self.token, owner[at])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(self.token)))])
+        chosen = pa.array(at[place])
+        return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), keys.take(chosen), index.strings(values).take(chosen))
+
+
+def plan_trees(texts: list[bytes]) -> Iterator[tuple[PlanTree, np.ndarray]]:
+    """(tree, number of each of its documents) over the layers of documents; a document found in one layer is not looked for in
+    the strings of the next."""
+    seen = np.zeros(len(texts), dtype=bool)
+    for index, numbers in layers(texts):
+        tree = PlanTree(index, seen[numbers])
+        seen[numbers[index.doc[tree.roots]]] = True
+        yield tree, numbers
+
+
+def plan_records(texts: list[bytes]) -> list[tuple[int, str, str, str]]:
+    """(document, record kind, path, parent path) of the plan nodes and workers of each document."""
+    out: list[tuple[int, str, str, str]] = []
+    for tree, numbers in plan_trees(texts):
+        kinds = ["worker" if w else "node" for w in tree.worker]
+        out += zip(numbers[tree.doc].tolist(), kinds, tree.path.to_pylist(), tree.parent.to_pylist())
     return out
 
 
-def _chunks(ids: list, texts: list) -> Iterator[tuple[list, list[bytes]]]:
+def chunks(ids: list, texts: list) -> Iterator[tuple[list, list[bytes]]]:
     keys: list = []
     docs: list[bytes] = []
     size = 0
@@ -255,15 +326,14 @@ def plan_tables(df: DataFrame, id_col: str, document_col: str, attributes: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for keys, docs in _chunks(list(range(len(texts))), texts):
-                rows = plan_records(docs, attributes)
-                at = pa.array([keys[r[0]] for r in rows], pa.int64())
-                cols = [ids.take(at), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2, 3))]
-                names = ["id", "record_kind", "path", "parent_path"]
-                if attributes:
-                    cols.append(pa.array([list((r[4] or {}).items()) for r in rows], pa.map_(pa.string(), pa.string())))
-                    names.append("attributes")
-                yield pa.RecordBatch.from_arrays(cols, names)
+            for keys, docs in chunks(list(range(len(texts))), texts):
+                for tree, numbers in plan_trees(docs):
+                    at = pa.array(np.array(keys, dtype=np.int64)[numbers[tree.doc]])
+                    kind = pc.if_else(pa.array(tree.worker), "worker", "node")
+                    cols, names = [ids.take(at), kind, tree.path, tree.parent], ["id", "record_kind", "path", "parent_path"]
+                    if attributes:
+                        cols, names = [*cols, tree.attributes()], [*names, "attributes"]
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     found = df.select(F.col(id_col).alias("id"), F.col(document_col).alias("document")).where(F.col("document").isNotNull()).mapInArrow(run, schema)
     return found.dropDuplicates(["id", "record_kind", "path"]).withColumnRenamed("id", id_col)

@@ -31,13 +31,21 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("attributes")
     return rows.select(
         "treatment_id", "path", "parent_path", a["Node Type"].alias("node_type"), a["Relation Name"].alias("relation_name"), a["Alias"].alias("alias"),
-        a["Join Type"].alias("join_type"), a["Plan Rows"].try_cast("double").alias("plan_rows"), a["Total Cost"].try_cast("double").alias("total_cost"), F.to_json(a).alias("attributes"),
+        a["Join Type"].alias("join_type"), a["Plan Rows"].try_cast("double").alias("plan_rows"), a["Total Cost"].try_cast("double").alias("total_cost"),
     )
 
 
 def p4_workers(spark: SparkSession, d: str) -> DataFrame:
     rows = nested.plan_tables(table(spark, d, "treatment_results"), "treatment_id", "document", attributes=True).where("record_kind = 'worker'")
-    return rows.select("treatment_id", "path", "parent_path", F.col("attributes")["Worker Number"].try_cast("int").alias("worker_number"), F.to_json("attributes").alias("attributes"))
+    return rows.select("treatment_id", "path", "parent_path", F.col("attributes")["Worker Number"].try_cast("int").alias("worker_number"))
+
+
+def p4_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Every member of every node and worker but their lists of these, as one more linked table; a nested value is named only."""
+    rows = nested.plan_tables(table(spark, d, "treatment_results"), "treatment_id", "document", attributes=True)
+    long = rows.select("treatment_id", "record_kind", "path", F.explode("attributes").alias("name", "value"))
+    inner = F.col("value").rlike(r"^[{\[]")
+    return long.select("treatment_id", "record_kind", "path", "name", F.when(~inner, F.col("value")).alias("value"))
 
 
 def p4_joins(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +71,7 @@ def p5_decomposed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_nodes, p4_workers, p4_joins, p4_relations, p5_found, p5_decomposed)}
+    return {f.__name__: f for f in (p2_found, p2_loaded, p4_found, p4_nodes, p4_workers, p4_attributes, p4_joins, p4_relations, p5_found, p5_decomposed)}
 
 
 _JOINS = """
@@ -79,32 +87,44 @@ _RELATIONS = """
               FROM (SELECT treatment_id, unnest(all_joins) AS j, generate_subscripts(all_joins, 1) AS i FROM treatment_results)
               WHERE j IS NOT NULL))
   WHERE relation IS NOT NULL"""
-_P4_FOUND = f"""
+#: The plan nodes and workers of the documents; for other statements to build on.
+PLAN_TREE = """
 WITH RECURSIVE texts AS (
   SELECT DISTINCT treatment_id, CASE WHEN json_type(document) = 'VARCHAR' THEN document::JSON ->> '$' ELSE document END AS t
   FROM treatment_results WHERE json_valid(document)
 ), good AS (
   SELECT treatment_id, t::JSON AS j FROM texts WHERE json_valid(t)
 ), tree AS (
-  SELECT treatment_id, '0' AS path, '' AS parent_path, plan FROM (
-    SELECT treatment_id, coalesce(j -> '$.Plan', (j -> '$[*].Plan')[1], (j -> '$[*][*].Plan')[1]) AS plan FROM good
-  ) WHERE json_type(plan) = 'OBJECT'
+  SELECT treatment_id, '0' AS path, '' AS parent_path, [0::BIGINT] AS pos, plan, around FROM (
+    SELECT treatment_id, unnest([j, list_filter(json_extract(j, '$[*]'), lambda x: json_type(x, '$.Plan') = 'OBJECT')[1], list_filter(json_extract(j, '$[*][*]'), lambda x: json_type(x, '$.Plan') = 'OBJECT')[1]]) AS around, around -> '$.Plan' AS plan, unnest([1, 2, 3]) AS depth FROM good
+  ) WHERE json_type(plan) = 'OBJECT' QUALIFY row_number() OVER (PARTITION BY treatment_id ORDER BY depth) = 1
   UNION ALL
-  SELECT treatment_id, path || '.' || (i - 1), path, child FROM (
-    SELECT treatment_id, path, unnest((plan -> '$.Plans')::JSON[]) AS child, generate_subscripts((plan -> '$.Plans')::JSON[], 1) AS i
+  SELECT treatment_id, path || '.' || (i - 1), path, list_append(pos, i - 1), child, NULL FROM (
+    SELECT treatment_id, path, pos, unnest((plan -> '$.Plans')::JSON[]) AS child, generate_subscripts((plan -> '$.Plans')::JSON[], 1) AS i
     FROM tree WHERE json_type(plan, '$.Plans') = 'ARRAY'
   ) WHERE json_type(child) = 'OBJECT'
 ), workers AS (
-  SELECT treatment_id, path || '.w' || (i - 1) AS path, path AS parent_path FROM (
+  SELECT treatment_id, path || '.w' || (i - 1) AS path, path AS parent_path, child AS plan FROM (
     SELECT treatment_id, path, unnest((plan -> '$.Workers')::JSON[]) AS child, generate_subscripts((plan -> '$.Workers')::JSON[], 1) AS i
     FROM tree WHERE json_type(plan, '$.Workers') = 'ARRAY'
   ) WHERE json_type(child) = 'OBJECT'
-)
+)"""
+_P4_FOUND = f"""{PLAN_TREE}
 SELECT treatment_id, 'node' AS record_kind, path, parent_path FROM tree
 UNION SELECT treatment_id, 'worker', path, parent_path FROM workers
 UNION SELECT treatment_id, 'join', path, parent_path FROM ({_JOINS})
 UNION SELECT treatment_id, 'relation', path, parent_path FROM ({_RELATIONS})
 """
+_P4_NODES = f"""{PLAN_TREE}
+SELECT treatment_id, path, parent_path, plan ->> '$."Node Type"' AS node_type, plan ->> '$."Relation Name"' AS relation_name, plan ->> '$.Alias' AS alias, plan ->> '$."Join Type"' AS join_type,
+  TRY_CAST(plan ->> '$."Plan Rows"' AS DOUBLE) AS plan_rows, TRY_CAST(plan ->> '$."Total Cost"' AS DOUBLE) AS total_cost FROM tree"""
+_P4_WORKERS = f"""{PLAN_TREE} SELECT treatment_id, path, parent_path, TRY_CAST(plan ->> '$."Worker Number"' AS INTEGER) AS worker_number FROM workers"""
+_P4_ATTRIBUTES = f"""{PLAN_TREE}, records AS (
+  SELECT treatment_id, 'node' AS record_kind, path, plan FROM tree UNION ALL SELECT treatment_id, 'worker', path, plan FROM workers
+), members AS (
+  SELECT treatment_id, record_kind, path, plan, unnest(json_keys(plan)) AS name FROM records
+), named AS (SELECT *, plan -> ('$."' || name || '"') AS v FROM members WHERE name NOT IN ('Plans', 'Workers'))
+SELECT treatment_id, record_kind, path, name, CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN coalesce(v ->> '$', 'null') END AS value FROM named"""
 _P5_FOUND = """
 WITH once AS (
   SELECT DISTINCT ON (measurement_id) * FROM experiment_5_runtime
@@ -139,4 +159,4 @@ FROM sized WHERE coalesce(ea > 9 * es, false) OR coalesce(wa > 9 * ws, false) OR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p4_joins": _JOINS, "p4_relations": _RELATIONS, "p5_found": _P5_FOUND}
+    return {"p4_found": _P4_FOUND, "p4_nodes": _P4_NODES, "p4_workers": _P4_WORKERS, "p4_attributes": _P4_ATTRIBUTES, "p4_joins": _JOINS, "p4_relations": _RELATIONS, "p5_found": _P5_FOUND}

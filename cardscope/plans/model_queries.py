@@ -12,6 +12,7 @@ from cardscope.functions import metrics as M
 from cardscope.operators import bootstrap, density, encoding, failures, implausible, workload
 from cardscope.operators.encoding import Predicate
 from cardscope.plans import explain
+from cardscope.plans.data_queries import PLAN_TREE
 from cardscope.plans.native import Catalog, roundtrip_ok
 from cardscope.plans.requests import QueryGraph
 from cardscope.plans.seed_workload import STATEMENTS
@@ -95,7 +96,22 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plan_facts(spark: SparkSession, d: str) -> DataFrame:
-    return explain.plan_facts(table(spark, d, "treatment_results"), "treatment_id", "document")
+    facts = explain.plan_facts(table(spark, d, "treatment_results"), "treatment_id", "document")
+    return facts.withColumn("all_base_joins", F.array_join("all_base_joins", ";"))
+
+
+def plan_joins(spark: SparkSession, d: str) -> DataFrame:
+    """The joins that each recorded plan document says, next to nothing else: one row per join, inner ones first."""
+    rows = explain.plan_joins(table(spark, d, "treatment_results"), "treatment_id", "document")
+    return rows.withColumns({"relations": F.array_join("relations", "|"), "branch_relations": F.array_join(F.transform("branch_relations", lambda b: F.array_join(b, "|")), ";")})
+
+
+def plan_scans(spark: SparkSession, d: str) -> DataFrame:
+    return explain.plan_scans(table(spark, d, "treatment_results"), "treatment_id", "document")
+
+
+def plan_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return explain.plan_hashes(table(spark, d, "treatment_results"), "treatment_id", "document")
 
 
 def impossible_readings(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +165,7 @@ def catalyst_join_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (made_estimates, seed_sensitivity, bootstrap_ci, plan_facts, native_estimates, injection_roundtrip, catalyst_join_choice, impossible_readings)}
+    return {f.__name__: f for f in (made_estimates, seed_sensitivity, bootstrap_ci, plan_facts, plan_joins, plan_scans, plan_hashes, native_estimates, injection_roundtrip, catalyst_join_choice, impossible_readings)}
 
 
 _IMPOSSIBLE = """SELECT configuration, count(*) FILTER (coalesce(NOT isfinite(execution_time_ms) OR execution_time_ms <= 0, false) OR coalesce(NOT isfinite(wall_clock_duration_ms) OR wall_clock_duration_ms <= 0, false)
@@ -157,5 +173,38 @@ _IMPOSSIBLE = """SELECT configuration, count(*) FILTER (coalesce(NOT isfinite(ex
   count(*) AS readings FROM (SELECT DISTINCT ON (measurement_id) * FROM experiment_5_runtime) GROUP BY 1"""
 
 
+_FACTS = f"""{PLAN_TREE}, named AS (
+  SELECT treatment_id, path, parent_path, pos, plan, around, coalesce(plan ->> '$."Node Type"', '') AS node_type, plan ->> '$."Relation Name"' AS relation_name, plan ->> '$.Alias' AS alias,
+    contains(node_type, 'Join') OR node_type = 'Nested Loop' OR json_exists(plan, '$."Join Type"') AS joins FROM tree
+), scans AS (
+  SELECT *, CASE WHEN coalesce(alias, '') IN ('', relation_name) THEN relation_name ELSE relation_name || ':' || alias END AS key FROM named WHERE relation_name <> ''
+), sides AS (
+  SELECT j.treatment_id, j.path, c.path AS side, c.pos AS spot FROM named j JOIN named c ON c.treatment_id = j.treatment_id AND c.parent_path = j.path WHERE j.joins
+), leaves AS (
+  SELECT DISTINCT x.treatment_id, x.path, x.side, s.key FROM sides x JOIN scans s ON s.treatment_id = x.treatment_id AND starts_with(s.path || '.', x.side || '.')
+  WHERE NOT EXISTS (SELECT 1 FROM scans a WHERE a.treatment_id = s.treatment_id AND a.path <> s.path AND starts_with(s.path || '.', a.path || '.') AND starts_with(a.path || '.', x.side || '.'))
+), sided AS (
+  SELECT treatment_id, path, side, spot, coalesce(array_to_string(list_sort(list(key) FILTER (key IS NOT NULL)), '|'), '') AS relations, count(key) AS n FROM sides LEFT JOIN leaves USING (treatment_id, path, side) GROUP BY ALL
+), joined AS (
+  SELECT j.treatment_id, j.path, list_append(j.pos, 9223372036854775807) AS last, j.node_type, plan ->> '$."Join Type"' AS join_type, TRY_CAST(plan ->> '$."Plan Rows"' AS DOUBLE) AS plan_rows,
+    coalesce((SELECT array_to_string(list_sort(list(DISTINCT key)), '|') FROM leaves l WHERE l.treatment_id = j.treatment_id AND l.path = j.path), '') AS relations,
+    coalesce((SELECT string_agg(relations, ';' ORDER BY spot) FROM sided s WHERE s.treatment_id = j.treatment_id AND s.path = j.path), '') AS branch_relations,
+    (SELECT count(*) = 2 AND coalesce(bool_and(n = 1), false) FROM sided s WHERE s.treatment_id = j.treatment_id AND s.path = j.path) AS is_base_join
+  FROM named j WHERE j.joins
+), ordered AS (
+  SELECT *, CASE WHEN is_base_join THEN relations END AS base_join_key, row_number() OVER (PARTITION BY treatment_id ORDER BY last) - 1 AS place FROM joined
+)"""
+_PLAN_FACTS = f"""{_FACTS}
+SELECT n.treatment_id, TRY_CAST(plan ->> '$."Plan Rows"' AS DOUBLE) AS root_rows, f.first_base_join, coalesce(f.all_base_joins, '') AS all_base_joins,
+  (SELECT count(*) FROM scans s WHERE s.treatment_id = n.treatment_id)::INTEGER AS scans, coalesce(f.joins, 0)::INTEGER AS joins,
+  TRY_CAST(around ->> '$."Execution Time"' AS DOUBLE) AS execution_time_ms, TRY_CAST(around ->> '$."Planning Time"' AS DOUBLE) AS planning_time_ms, TRY_CAST(plan ->> '$."Actual Rows"' AS DOUBLE) AS actual_rows
+FROM named n LEFT JOIN (
+  SELECT treatment_id, min_by(base_join_key, place) FILTER (is_base_join) AS first_base_join, string_agg(base_join_key, ';' ORDER BY place) FILTER (is_base_join) AS all_base_joins, count(*) AS joins FROM ordered GROUP BY 1
+) f USING (treatment_id) WHERE n.path = '0'"""
+_PLAN_JOINS = f"{_FACTS} SELECT treatment_id, place::INTEGER AS place, node_type, join_type, relations, branch_relations, is_base_join, base_join_key, plan_rows FROM ordered"
+_PLAN_SCANS = f"""{_FACTS} SELECT treatment_id, (row_number() OVER (PARTITION BY treatment_id ORDER BY pos) - 1)::INTEGER AS place, key AS relation_key, relation_name, coalesce(alias, '') AS alias, node_type,
+  TRY_CAST(plan ->> '$."Plan Rows"' AS DOUBLE) AS plan_rows, plan ->> '$.Filter' AS filter, plan ->> '$."Index Cond"' AS index_cond FROM scans"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"impossible_readings": _IMPOSSIBLE}
+    return {"impossible_readings": _IMPOSSIBLE, "plan_facts": _PLAN_FACTS, "plan_joins": _PLAN_JOINS, "plan_scans": _PLAN_SCANS}

@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cardscope.operators import density, encoding
 from cardscope.operators.encoding import ColumnEncoder, Predicate, PredicateError, TableEncoder, allowed_ids, allowed_tokens, intersected, predicate_row
@@ -141,18 +142,28 @@ def test_estimates_react_to_injection_and_joins_flip(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cs_")]
 
 
-def test_explain_documents():
+def test_explain_documents(spark):
     scan = lambda r, a, **x: {"Node Type": "Seq Scan", "Relation Name": r, "Alias": a, "Plan Rows": 5, **x}
-    wrapped = {"Node Type": "Gather", "Plans": [{"Node Type": "Nested Loop", "Plans": [{"Node Type": "Materialize", "Plans": [scan("posts", "p")]}, scan("badges", "b")]}]}
+    wrapped = {"Plan": {"Node Type": "Gather", "Plans": [{"Node Type": "Nested Loop", "Plans": [{"Node Type": "Materialize", "Plans": [scan("posts", "p")]}, scan("badges", "b")]}]}}
     assert explain.base_join_keys(wrapped) == ["badges:b|posts:p"]
-    bushy = {"Node Type": "Hash Join", "Plans": [{"Node Type": "Nested Loop", "Plans": [scan("a", "a"), scan("b", "b")]}, {"Node Type": "Merge Join", "Plans": [scan("c", "c"), scan("d", "d")]}]}
+    bushy = {"Plan": {"Node Type": "Hash Join", "Plans": [{"Node Type": "Nested Loop", "Plans": [scan("a", "a"), scan("b", "b")]}, {"Node Type": "Merge Join", "Plans": [scan("c", "c"), scan("d", "d")]}]}}
     assert explain.base_join_keys(bushy) == ["a|b", "c|d"] and [j["is_base_join"] for j in explain.joins(bushy)] == [True, True, False]
+    # a node that names a relation hides what is below it, but not from joins below it
+    inner = {"Plan": {"Node Type": "Nested Loop", "Plans": [scan("v", "v", Plans=[{"Node Type": "Hash Join", "Plans": [scan("a", "a"), scan("b", "b"), None]}]), scan("c", "x")]}}
+    assert explain.base_join_keys([json.dumps(inner)]) == ["a|b", "c:x|v"] and [s["relation_key"] for s in explain.scans(inner)] == ["v", "a", "b", "c:x"]
     one, later = ({"Plan": scan("t", "t", **{"Actual Rows": n}), "Execution Time": n} for n in (1, 2))
     more = {"Plan": scan("t", "t", **{"Plan Rows": 43})}
     assert explain.plan_hash(one) == explain.plan_hash(later) != explain.plan_hash(more) and explain.plan_hash(one, False) == explain.plan_hash(more, False)
-    assert explain.unwrapped([[json.dumps({"Plan": {}})]]) == {"Plan": {}} and explain.unwrapped("{") is None and explain.unwrapped(None) is None
-    assert explain.analyze_metrics({"Plan": {"Actual Rows": float("inf")}, "Execution Time": "3"})["execution_time_ms"] == 3.0
-    assert explain.extract_hint("/*=x= Card(a #1) */ SELECT 1") == "/*=x= Card(a #1) */"
+    assert explain.plan_hash([[json.dumps({"Plan": {}})]]) == explain.plan_hash({"Plan": {}}) and explain.plan_hash("{") is None and explain.metrics("null") == {}
+    got = explain.metrics({"Plan": {"Actual Rows": "inf", "Plan Rows": None, "Shared Hit Blocks": 7}, "Execution Time": "3"})
+    assert (got["execution_time_ms"], got["actual_rows"], got["root_rows"], got["shared_hit_blocks"]) == (3.0, None, None, 7.0)
+    df = spark.createDataFrame([(1, json.dumps(wrapped)), (2, json.dumps([bushy])), (2, json.dumps([bushy])), (3, "{"), (4, None), (None, json.dumps(json.dumps(inner)))], "id int, d string")
+    facts = {r["id"]: (r["all_base_joins"], r["scans"], r["joins"], r["root_rows"]) for r in explain.plan_facts(df, "id", "d").collect()}
+    assert facts == {1: (["badges:b|posts:p"], 2, 1, None), 2: (["a|b", "c|d"], 4, 3, None), None: (["a|b", "c:x|v"], 4, 2, None)}
+    assert explain.plan_joins(df, "id", "d").count() == 6 and explain.plan_scans(df, "id", "d").count() == 10 and explain.plan_hashes(df, "id", "d").count() == 3
+    assert explain.plan_facts(df.where("false"), "id", "d").count() == 0
+    hints = spark.createDataFrame([("/*=x= Card(a #1) */ SELECT 1",), ("SELECT 1",), (None,)], "s string").select(explain.hint(F.col("s"))).collect()
+    assert [r[0] for r in hints] == ["/*=x= Card(a #1) */", "", ""]
 
 
 def test_reports_registry_and_runs(spark, tmp_path):

@@ -28,20 +28,20 @@ def of(value):
                 if isinstance(c, dict):
                     node(c, f"{path}.{i}", path) if kind == "Plans" else out.add(("worker", f"{path}.{mark}{i}", path))
 
-    def find(v):
+    todo = [value]  # breadth first: the least deep Plan is the root
+    while todo:
+        v = todo.pop(0)
         if isinstance(v, dict):
             if isinstance(v.get("Plan"), dict):
-                return v["Plan"]
+                node(v["Plan"], "0", "")
+                break
             v = list(v.values())
-        return next((p for x in v if isinstance(x, (dict, list)) and (p := find(x))), None) if isinstance(v, list) else None
-
-    if (root := find(value)) is not None:
-        node(root, "0", "")
+        todo += v if isinstance(v, list) else []
     return out
 
 
 def got(text):
-    return {(k, p, q) for _, k, p, q, _ in plan_records([text.encode()])}
+    return {(k, p, q) for _, k, p, q in plan_records([text.encode()])}
 
 
 NODE = st.recursive(
@@ -76,7 +76,7 @@ def test_validity_agrees_with_a_json_parser(value, data):
 def test_bad_documents_do_not_harm_their_neighbours():
     good = json.dumps({"Plan": {"Plans": [None, {"Plans": []}]}}).encode()
     rows = plan_records([b"", b'{"Plan":{"Plans":[{', good, b'"', b"}}", b'{"Plan": {"a": "\\"}}', good, b"[1,2"])
-    assert {(d, p) for d, _, p, _, _ in rows} == {(2, "0"), (2, "0.1"), (6, "0"), (6, "0.1")}
+    assert {(d, p) for d, _, p, _ in rows} == {(2, "0"), (2, "0.1"), (6, "0"), (6, "0.1")}
 
 
 JOIN = "struct<node_type:string,join_type:string,relations:array<string>,branch_relations:array<array<string>>,is_base_join:boolean,base_join_key:string,plan_rows:double>"
@@ -98,6 +98,16 @@ def test_tables_link_to_their_parents(spark):
     assert {(r["branch"], r["place"], r["relation"]) for r in relations.collect()} == {(0, 0, "a"), (2, 1, "b")}
 
 
+def test_the_least_deep_plan_is_the_root_and_half_pairs_do_no_harm(spark):
+    settings_first = '{"Settings":{"Plan":{}},"Plan":{"Plans":[{}],"Plan":{"Plans":[{},{}]}}}'
+    assert got(settings_first) == {("node", "0", ""), ("node", "0.0", "0")}
+    half = '{"Plan":{"Alias":"a\\ud800b","Node\\u0020Type":"Seq Scan","Alias":"\\ud83d\\ude00","\\ud800":1,"n":[1,{"x":"y"}],"Plans":[{"Filter":"\\udfff"}]}}'
+    df = spark.createDataFrame([(1, half), (2, json.dumps(half)), (3, "[[" + json.dumps(half) + ', {"Plan":{"z":1}}]]')], "id int, d string")
+    rows = {(r["id"], r["path"]): r["attributes"] for r in plan_tables(df, "id", "d", attributes=True).collect()}
+    want = {"Alias": "\U0001f600", "Node Type": "Seq Scan", "\ufffd": "1", "n": '[1,{"x":"y"}]'}
+    assert rows[(1, "0")] == rows[(2, "0")] == want and rows[(1, "0.0")] == {"Filter": "\ufffd"} and rows[(3, "0")] == {"z": "1"}
+
+
 def test_empty_table_and_deep_document(spark):
     assert linked_records(spark.createDataFrame([], SCHEMA), "treatment_id", "document", "all_joins").count() == 0
     deep = '{"Plan":' + '{"Plans":[' * 300 + "{}" + "]}" * 300 + "}"
