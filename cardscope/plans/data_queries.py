@@ -63,11 +63,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_decomposed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "experiment_5_runtime").dropDuplicates(["measurement_id"])
     rows = rows.where((F.col("status") == "ok") & ~F.coalesce("warmup", F.lit(False)) & ~implausible.impossible())
-    each = [
-        implausible.decomposed_outliers(rows, implausible.SOURCE, ["repetition", "measurement_id"], v, "measurement_id", period=None).withColumn("reading", F.lit(v))
-        for v in ("execution_time_ms", "wall_clock_duration_ms")
-    ]
-    return each[0].unionByName(each[1])
+    return implausible.decomposed_outliers(rows, implausible.SOURCE, ["repetition", "measurement_id"], ["execution_time_ms", "wall_clock_duration_ms"], "measurement_id", period=None)
 
 
 def queries() -> dict[str, Query]:

@@ -92,6 +92,40 @@ def test_percentiles_of_hot_groups_are_exact(spark):
             assert np.allclose(got[k], [np.quantile(xs, q) for q in (0.5, 0.9, 0.0)], rtol=1e-12)
 
 
+def test_runs_cross_any_number_of_pieces(spark):
+    rng = random.Random(8)
+    xs = [rng.choice([1.0, 2.0, None]) for _ in range(100)] + [5.0] * 900 + [rng.choice([5.0, 6.0]) for _ in range(1000)]
+    rows = [row(i, x, wall=9.0) for i, x in enumerate(xs)]
+    want = {i for i, k in brute(rows) if k == "stuck"}
+    assert len(want) > 900
+    assert {i for i, k in flags(spark, rows, hot_rows=100) if k == "stuck"} == want
+
+
+def test_extreme_deviates_agree_with_a_plain_reading():
+    from cardscope.operators.implausible import esd_limits
+
+    def plain(x, alpha=0.001, share=0.5):
+        left, order, passed, most = list(range(len(x))), [], 0, min(int(len(x) * share), len(x) - 2)
+        for k in range(most):
+            m = np.median(x[left])
+            away = np.abs(x[left] - m)
+            scale, worst = 1.4826 * np.median(away), away.max()
+            order.append(left.pop(int(np.argmax(away))))
+            passed = k + 1 if worst > 0 and worst > esd_limits(len(x), alpha, most)[k] * scale else passed
+        return set(order[:passed])
+
+    rng = np.random.default_rng(3)
+    for n in (3, 4, 7, 50, 101):
+        for far in (0, n // 3):
+            x = rng.normal(0, 1, n)
+            x[:far] += rng.choice([-40, 60], far)
+            assert set(np.flatnonzero(esd_outliers(x))) == plain(x), (n, far)
+    x = rng.normal(0, 1, 100)
+    x[:30] += 50
+    assert set(range(30)) <= set(np.flatnonzero(esd_outliers(x)))  # 30 of 100 planted, all found
+    assert not esd_outliers(np.array([1.0, 9.0])).any() and not esd_outliers(np.zeros(0)).any() and list(esd_outliers(np.array([1.0, 1.0, 1.0, 9.0]))) == [False] * 3 + [True]
+
+
 def test_decomposition_finds_spikes_on_a_trend_and_a_season(spark):
     rng = np.random.default_rng(1)
     x = np.arange(200) * 0.5 + 10 * (np.arange(200) % 4) + rng.normal(0, 1, 200)
