@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardscope.operators.encoding import Predicate, TableEncoder, enumeration_size, token_digest
+from cardscope.session import cut_lineage
 
-#: Rows a network is trained on, at most; which ones is decided by a hash of the row.
-TRAIN_ROWS = 200_000
+#: Different rows of tokens that are trained on the driver, and that a part holds otherwise; draws of an epoch, from all rows.
+LOCAL_CELLS, EPOCH_DRAWS = 200_000, 200_000
 #: Predicates that one pass over a histogram evaluates.
 BLOCK = 200
 
@@ -130,8 +132,12 @@ class Made:
             grads[f"e{i}"] = g
         return loss, grads
 
-    def loss(self, tokens: np.ndarray) -> float:
-        return -float(np.log(np.maximum(self.joint(tokens), 1e-300)).mean()) if len(tokens) else 0.0
+    def loss(self, tokens: np.ndarray, rows: np.ndarray | None = None) -> float:
+        """Mean negative log likelihood, of rows as often as they occur."""
+        if not len(tokens):
+            return 0.0
+        each = np.concatenate([np.log(np.maximum(self.joint(tokens[k : k + 8192]), 1e-300)) for k in range(0, len(tokens), 8192)])
+        return -float(np.average(each, weights=rows))
 
 
 @dataclass
@@ -143,35 +149,60 @@ class TrainingSummary:
     history: list[dict] = field(default_factory=list)
 
 
-def train(tokens: np.ndarray, domains: list[int], epochs: int = 20, batch: int = 1024, rate: float = 2e-3, validation: float = 0.1, embedding: int = 16, hidden: tuple[int, ...] = (64, 64), seed: int = 123, slow_epoch_seconds: float | None = None, least_epochs: int = 10) -> tuple[Made, TrainingSummary]:
+@dataclass
+class Adam:
+    """Moments of the gradients of a model's parameters."""
+
+    rate: float
+    step: int = 0
+    first: dict[str, np.ndarray] = field(default_factory=dict)
+    second: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def update(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
+        self.step += 1
+        for name, g in grads.items():
+            self.first[name] = 0.9 * self.first.get(name, 0.0) + 0.1 * g
+            self.second[name] = 0.999 * self.second.get(name, 0.0) + 0.001 * g * g
+            params[name] -= self.rate * (self.first[name] / (1 - 0.9**self.step)) / (np.sqrt(self.second[name] / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _epoch(model: Made, adam: Adam, tokens: np.ndarray, rows: np.ndarray | None, batch: int, draws: int, rng: np.random.Generator) -> list[float]:
+    """Losses of one epoch: batches of a permutation, or with counts so many draws from the cells by how often they occur."""
+    if rows is None:
+        order = rng.permutation(len(tokens))
+    else:
+        upto = np.cumsum(rows)
+        order = np.searchsorted(upto, rng.random(draws) * upto[-1], "right") if len(upto) and upto[-1] > 0 else np.zeros(0, np.int64)
+    losses = []
+    for k in range(0, len(order), batch):
+        loss, grads = model.loss_and_gradients(tokens[order[k : k + batch]])
+        losses.append(loss)
+        adam.update(model.params, grads)
+    return losses
+
+
+def train(tokens: np.ndarray, domains: list[int], epochs: int = 20, batch: int = 1024, rate: float = 2e-3, validation: float = 0.1, embedding: int = 16, hidden: tuple[int, ...] = (64, 64), seed: int = 123, slow_epoch_seconds: float | None = None, least_epochs: int = 10, rows: np.ndarray | None = None, draws: int = EPOCH_DRAWS) -> tuple[Made, TrainingSummary]:
     """Adam on a random split; the parameters with the best validation loss are kept. After least_epochs an epoch slower
-    than slow_epoch_seconds ends the training."""
+    than slow_epoch_seconds ends the training. rows: how often each combination of tokens occurs; an epoch then draws at most
+    `draws` rows from all of them."""
     if tokens.ndim != 2:
         raise ValueError("tokens have the shape (rows, columns)")
     rng = np.random.default_rng(seed)
-    model, note = Made(domains, embedding, hidden, seed), TrainingSummary()
-    order = rng.permutation(len(tokens))
-    held = int(len(tokens) * validation)
-    check, rows = tokens[order[:held]], tokens[order[held:]]
-    m, v = ({k: np.zeros_like(p) for k, p in model.params.items()} for _ in range(2))
-    step = 0
+    model, note, adam = Made(domains, embedding, hidden, seed), TrainingSummary(), Adam(rate)
+    if rows is None:
+        order = rng.permutation(len(tokens))
+        held = int(len(tokens) * validation)
+        check, used, counts, check_rows = tokens[order[:held]], tokens[order[held:]], None, np.ones(held)
+    else:
+        check_rows = rng.binomial(rows, validation)
+        check, used, counts, draws = tokens, tokens, rows - check_rows, min(draws, int(rows.sum() - check_rows.sum()))
     best = {k: p.copy() for k, p in model.params.items()}
     for epoch in range(1, epochs + 1):
-        began, losses = time.time(), []
-        shuffled = rows[rng.permutation(len(rows))]
-        for k in range(0, len(shuffled), batch):
-            loss, grads = model.loss_and_gradients(shuffled[k : k + batch])
-            losses.append(loss)
-            step += 1
-            for name, g in grads.items():
-                m[name] = 0.9 * m[name] + 0.1 * g
-                v[name] = 0.999 * v[name] + 0.001 * g * g
-                model.params[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-        now = model.loss(check) if held else float(np.mean(losses)) if losses else 0.0
-        note.history.append({"epoch": epoch, "train_loss": float(np.mean(losses)) if losses else 0.0, "validation_loss": now})
-        note.epochs = epoch
-        if now < note.best_validation_loss:
-            note.best_validation_loss, note.best_epoch = now, epoch
+        began = time.time()
+        losses = _epoch(model, adam, used, counts, batch, draws, rng)
+        trained = float(np.mean(losses)) if losses else 0.0
+        now = model.loss(check, check_rows) if check_rows.sum() else trained
+        if _noted(note, epoch, trained, now):
             best = {k: p.copy() for k, p in model.params.items()}
         if slow_epoch_seconds is not None and epoch >= least_epochs and time.time() - began > slow_epoch_seconds:
             note.stopped_early = True
@@ -180,17 +211,83 @@ def train(tokens: np.ndarray, domains: list[int], epochs: int = 20, batch: int =
     return model, note
 
 
-def train_table(df: DataFrame, encoder: TableEncoder, rows: int = TRAIN_ROWS, **options) -> tuple[Made, TrainingSummary]:
-    """A network for a table, from at most `rows` encoded rows chosen by a hash; the encoder has seen all rows."""
+def _noted(note: TrainingSummary, epoch: int, trained: float, now: float) -> bool:
+    """Keeps the losses of an epoch; whether it is the best so far."""
+    note.history.append({"epoch": epoch, "train_loss": trained, "validation_loss": now})
+    note.epochs = epoch
+    if now < note.best_validation_loss:
+        note.best_validation_loss, note.best_epoch = now, epoch
+        return True
+    return False
+
+
+def train_parted(cells: DataFrame, domains: list[int], cells_count: int, epochs: int = 20, batch: int = 1024, rate: float = 2e-3, validation: float = 0.1, embedding: int = 16, hidden: tuple[int, ...] = (64, 64), seed: int = 123, part_cells: int = LOCAL_CELLS, draws: int = EPOCH_DRAWS) -> tuple[Made, TrainingSummary]:
+    """A network from cells (t0, t1, …, rows) of any number, by local training and averaging.
+
+    Cells are kept in parts of about part_cells. In an epoch every part goes on from the common parameters with draws from its own
+    rows, and the parameters and moments of all parts are averaged by their rows, in groups first, so that the driver
+    receives a bounded number of them. The validation loss is over a share of the rows of every part."""
+    names = [f"t{i}" for i in range(len(domains))]
+    number = max(1, -(-cells_count // part_cells))
+    parts = cut_lineage(cells.withColumn("part", F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(number)).cast("int")).repartition(number, "part"))
+    sc, groups = cells.sparkSession.sparkContext, max(1, int(number**0.5))
+    model, note, adam = Made(domains, embedding, hidden, seed), TrainingSummary(), Adam(rate)
+    best = model.params
+
+    def averaged(found: Iterator[tuple[float, bytes]]) -> tuple[float, tuple]:
+        """Rows, and the mean by rows of (parameters, first, second, train loss, validation loss)."""
+        total, mean = 0.0, None
+        for rows, blob in found:
+            params, first, second, *losses = pickle.loads(blob)
+            flat = {("p", k): v for k, v in params.items()} | {("f", k): v for k, v in first.items()} | {("s", k): v for k, v in second.items()} | {("l", k): v for k, v in enumerate(losses)}
+            total += rows
+            mean = flat if mean is None else {k: v + (flat[k] - v) * (rows / total) for k, v in mean.items()}
+        pick = lambda kind: {k: v for (x, k), v in mean.items() if x == kind}
+        return total, (pick("p"), pick("f"), pick("s"), pick("l")[0], pick("l")[1])
+
+    for epoch in range(1, epochs + 1):
+        shared = sc.broadcast((model.params, adam.first, adam.second, adam.step))
+
+        def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            params, first, second, step = shared.value
+            mine = Made(domains, embedding, hidden, seed)
+            mine.params = {k: v.copy() for k, v in params.items()}
+            moments = Adam(rate, step, dict(first), dict(second))
+            pdf = pdf.sort_values(names)
+            tokens, rows = pdf[names].to_numpy(np.int64), pdf["rows"].to_numpy(np.int64)
+            held = np.random.default_rng([seed, key[0]]).binomial(rows, validation)  # the same rows in every epoch
+            left = rows - held
+            # parts differ in rows only as far as hashing does; each takes its share of an epoch's draws, a batch at least
+            losses = _epoch(mine, moments, tokens, left, batch, max(batch, draws // number), np.random.default_rng([seed, key[0], epoch]))
+            here = mine.loss(tokens, held) if held.sum() else float(np.mean(losses or [0.0]))
+            blob = pickle.dumps((mine.params, moments.first, moments.second, float(np.mean(losses or [0.0])), here))
+            return pd.DataFrame({"grp": [key[0] % groups], "n": [float(max(left.sum(), 1))], "found": [blob]})
+
+        def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            total, mean = averaged(zip(pdf["n"], pdf["found"]))
+            return pd.DataFrame({"grp": [key[0]], "n": [total], "found": [pickle.dumps(mean)]})
+
+        schema = "grp int, n double, found binary"
+        got = parts.groupBy("part").applyInPandas(local, schema).groupBy("grp").applyInPandas(join, schema).orderBy("grp").collect()
+        _, (model.params, adam.first, adam.second, trained, now) = averaged((r["n"], r["found"]) for r in got)
+        adam.step += -(-max(batch, draws // number) // batch)
+        if _noted(note, epoch, trained, now):
+            best = model.params
+    model.params = best
+    return model, note
+
+
+def train_table(df: DataFrame, encoder: TableEncoder, local_cells: int = LOCAL_CELLS, **options) -> tuple[Made, TrainingSummary]:
+    """A network for a table, from all of its rows: equal rows of tokens are one cell with a count, which loses nothing. Up to
+    local_cells cells it is trained on the driver, beyond that in parts by the executors."""
     names = [f"t{i}" for i in range(len(encoder.columns))]
-    kept = df
-    if encoder.row_count > rows:
-        columns = [c.column for c in encoder.columns]
-        kept = df.where(F.pmod(F.xxhash64(*columns, F.lit("train")), F.lit(1_000_003)) < int(1_000_003 * rows / encoder.row_count))
-    tokens = encoder.encode(kept).select(*names).toPandas().to_numpy(dtype=np.int64)
-    # rows come in no particular order; sorted, equal data and seed give an equal network
-    tokens = tokens[np.lexsort(tokens.T[::-1])] if len(tokens) else tokens
-    return train(tokens, encoder.domain_sizes, **options)
+    cells = cut_lineage(token_histogram(df, encoder))
+    number = cells.count()
+    if number > local_cells:
+        return train_parted(cells, encoder.domain_sizes, number, part_cells=local_cells, **options)
+    # sorted, equal data and seed give an equal network
+    found = cells.orderBy(*names).toPandas()
+    return train(found[names].to_numpy(dtype=np.int64), encoder.domain_sizes, rows=found["rows"].to_numpy(dtype=np.int64), **options)
 
 
 @dataclass

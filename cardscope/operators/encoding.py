@@ -10,19 +10,22 @@ import json
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cardscope.operators.exact_median import group_percentiles
+from cardscope.operators.exact_median import column_percentiles
+from cardscope.session import cut_lineage
 
 #: Numeric columns with more distinct values, null counting as one, get bins.
 DICTIONARY_LIMIT, BIN_POINTS = 64, 64
-#: A column that would need a larger dictionary is left out of the model and named in `skipped`.
+#: A column that would need a larger dictionary is an error, or left out by intent.
 MAX_TOKENS = 100_000
-#: Fixed value: stands for null in serialised dictionaries.
-NULL_TEXT = "__NULL__"
+#: An estimated number of values beyond which a column has more than DICTIONARY_LIMIT for certain.
+SKETCH_SURE = 1_000
 
 KINDS = {"smallint": "integer", "int": "integer", "bigint": "integer", "tinyint": "integer", "float": "float", "double": "float", "string": "text", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp"}
 NUMERIC = ("integer", "numeric", "float")
@@ -56,16 +59,21 @@ def _supported(df: DataFrame, columns: list[str] | None = None) -> list[tuple[st
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, kind, value, num, rows): the distinct values of all supported columns by one pass and one shuffle."""
+    """(column, kind, value, num, rows): the distinct values of all supported columns by one pass and one shuffle, combined
+    map-side; a number travels as a double alone."""
+    known = _supported(df, columns)
     cells = F.array(*(
-        F.struct(F.lit(n).alias("column"), F.lit(k).alias("kind"), canonical(F.col(n), k).alias("value"), (F.col(n).cast("double") if k in NUMERIC else F.lit(None).cast("double")).alias("num"))
-        for n, k in _supported(df, columns)
+        F.struct(F.lit(i).cast("smallint").alias("i"), (F.col(n).cast("double") if k in NUMERIC else F.lit(None).cast("double")).alias("num"), (F.lit(None).cast("string") if k in NUMERIC else canonical(F.col(n), k)).alias("text"))
+        for i, (n, k) in enumerate(known)
     ))
-    return df.select(F.explode(cells).alias("c")).select("c.*").groupBy("column", "kind", "value", "num").agg(F.count("*").alias("rows"))
+    counts = df.select(F.explode(cells).alias("c")).select("c.*").groupBy("i", "num", "text").agg(F.count("*").alias("rows"))
+    pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("i") + 1)
+    return counts.select(pick([n for n, _ in known]).alias("column"), pick([k for _, k in known]).alias("kind"), F.coalesce("text", F.col("num").cast("string")).alias("value"), "num", "rows")
 
 
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct values with null, nulls and rows of each supported column, and the encoding it gets."""
+    """Distinct values with null, nulls and rows of each supported column, and the encoding it gets. A report: all distinct values
+    are counted exactly, and so shuffled once. `TableEncoder.fit` decides by `encodings`, which does not do that."""
     out = value_counts(df, columns).groupBy("column", "kind").agg(
         F.count("*").alias("distinct_with_null"), F.sum(F.when(F.col("value").isNull(), F.col("rows")).otherwise(0)).alias("nulls"), F.sum("rows").alias("rows"),
     )
@@ -73,32 +81,56 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return out.withColumn("encoding", F.when(bins, "numeric_discretizer").otherwise("dictionary"))
 
 
-def dictionary_tokens(counts: DataFrame, profile: DataFrame) -> DataFrame:
-    """(column, token, value, num): dense ids of the sorted distinct values of dictionary columns. Numbers sort as numbers,
-    other values as text; null comes last, as its own value. Columns beyond MAX_TOKENS have none."""
-    kept = profile.where(f"encoding = 'dictionary' and distinct_with_null <= {MAX_TOKENS}").select("column")
-    rows = counts.join(F.broadcast(kept), "column")
-    order = Window.partitionBy("column").orderBy(F.col("value").isNull(), "num", "value")  # at most MAX_TOKENS rows
-    return rows.select("column", (F.row_number().over(order) - 1).alias("token"), "value", "num")
+def _sketched(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
+    """Rows of a table and about how many values each column has, by one aggregate of sketches.
+
+    A sketch tells for certain that there are more than DICTIONARY_LIMIT values: so few touch as many of its 512 registers at
+    most, which makes an estimate of 68 at most. So one beyond SKETCH_SURE needs no exact count."""
+    got = df.agg(F.count("*"), *(F.approx_count_distinct(c, 0.05) for c in columns)).first()
+    return got[0], dict(zip(columns, got[1:]))
+
+
+def dictionary_tokens(counts: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """(column, token, value, num): dense ids of the sorted distinct values of dictionary columns: those that profile says, else
+    all of counts. Numbers sort as numbers, other values as text; null comes last, as its own value. A column of more than
+    MAX_TOKENS values is an error."""
+    rows = counts if profile is None else counts.join(F.broadcast(profile.where("encoding = 'dictionary'").select("column")), "column")
+    order = Window.partitionBy("column").orderBy(F.col("value").isNull(), "num", "value")
+    many = F.raise_error(F.concat("column", F.lit(f" has more than {MAX_TOKENS} values"))).cast("int")
+    token = F.when(F.col("token") < MAX_TOKENS, F.col("token")).otherwise(many)
+    return rows.withColumn("token", F.row_number().over(order) - 1).select("column", token.alias("token"), "value", "num")
 
 
 def quantile_edges(df: DataFrame, columns: list[str], points: int = BIN_POINTS) -> DataFrame:
     """(column, edges): the distinct linear quantiles at min(points, distinct values) even fractions. One edge v becomes
-    [v, v + 1]; a column without numbers gets [0, 1]. Nulls and NaN are left out."""
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))
-    long = df.select(F.explode(cells).alias("c")).select("c.column", F.when(~F.isnan("c.x"), F.col("c.x")).alias("x"))
-    facts = long.where("x is not null").groupBy("column", "x").count().groupBy("column").agg(F.count("*").alias("d")).collect()
-    distinct = {r["column"]: r["d"] for r in facts}
-    out: DataFrame | None = None
-    for number in sorted({min(points, max(distinct.get(c, 0), 2)) for c in columns}):
-        some = [c for c in columns if min(points, max(distinct.get(c, 0), 2)) == number]
-        names = [(f"q{i}", "x", i / (number - 1)) for i in range(number)]
-        part = group_percentiles(long.where(F.col("column").isin(some)), ["column"], names)
-        edges = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.col(n) for n, _, _ in names)))))
-        fixed = F.when(F.size(edges) == 0, F.array(F.lit(0.0), F.lit(1.0))).when(F.size(edges) == 1, F.array(edges[0], edges[0] + 1.0)).otherwise(edges)
-        part = part.select("column", fixed.alias("edges"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else df.sparkSession.createDataFrame([], "column string, edges array<double>")
+    [v, v + 1]; a column without numbers gets [0, 1]. Values that are not finite are left out.
+
+    Columns of few values are counted by value; the others are never shuffled whole, their quantiles are selected."""
+    spark, schema = df.sparkSession, "column string, edges array<double>"
+    if not columns:
+        return spark.createDataFrame([], schema)
+    double = {c: F.col(c).cast("double") for c in columns}
+    numbers = df.select(*(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias(c) for c, x in double.items()))
+    _, about = _sketched(numbers, columns)
+    wide = [c for c in columns if about[c] > max(SKETCH_SURE, 2 * points)]
+    found: dict[str, list[float]] = {}
+    if wide:
+        found |= {r["column"]: list(r["values"]) for r in column_percentiles(numbers, wide, [i / (points - 1) for i in range(points)]).collect()}
+    if few := [c for c in columns if c not in wide]:
+        counted: dict[str, list[tuple[float, int]]] = {}
+        for r in value_counts(numbers, few).where("num is not null").collect():  # at most about SKETCH_SURE values a column
+            counted.setdefault(r["column"], []).append((r["num"], r["rows"]))
+        for c, pairs in counted.items():
+            values, rows = zip(*sorted(pairs))
+            upto, number = np.cumsum(rows), min(points, max(len(values), 2))
+            place = np.array([i / (number - 1) for i in range(number)]) * (upto[-1] - 1)
+            low, high = (np.array(values)[np.searchsorted(upto, f(place), "right")] for f in (np.floor, np.ceil))
+            found[c] = (low * (1 - (place - np.floor(place))) + high * (place - np.floor(place))).tolist()
+    out = []
+    for c in columns:
+        edges = sorted(set(found.get(c, [])))
+        out.append((c, [0.0, 1.0] if not edges else [edges[0], edges[0] + 1.0] if len(edges) == 1 else edges))
+    return spark.createDataFrame(out, schema)
 
 
 def row_bin(value: Column, edges: Column) -> Column:
@@ -107,6 +139,25 @@ def row_bin(value: Column, edges: Column) -> Column:
     return F.when(inside, F.greatest(F.size(F.filter(edges, lambda e: e < value)) - 1, F.lit(0))).otherwise(0)
 
 
+def with_row_bins(df: DataFrame, bins: dict[str, tuple[str, list[float]]]) -> DataFrame:
+    """df with `row_bin` of several columns, {result: (column of doubles, edges)}, by binary search in the JVM.
+
+    Spark's bucketizer closes bins on the left; on mirrored values and edges that is the right. Null, NaN and values outside are
+    put on the first edge, which is in bin 0."""
+    if not bins:
+        return df
+    mirrored = {}
+    for name, (c, edges) in bins.items():
+        x = F.col(c)
+        inside = (x >= edges[0]) & (x <= edges[-1]) & ~F.isnan(x)
+        mirrored[f"__m_{name}"] = -F.when(inside, x).otherwise(edges[0])
+    splits = [[-float("inf"), *(-e for e in reversed(edges[1:-1])), float("inf")] if len(edges) > 2 else [-float("inf"), 0.0, float("inf")] for _, edges in bins.values()]
+    # the end bins are open outwards, so a table of two edges, one bin, is cut anywhere
+    made = Bucketizer(inputCols=list(mirrored), outputCols=[f"__b_{n}" for n in bins], splitsArray=splits).transform(df.withColumns(mirrored))
+    out = {n: (F.lit(len(edges) - 2) - F.col(f"__b_{n}").cast("int")) if len(edges) > 2 else F.lit(0) for n, (_, edges) in bins.items()}
+    return made.withColumns(out).drop(*mirrored, *(f"__b_{n}" for n in bins))
+
+
 def literal_bin(value: Column, edges: Column) -> Column:
     """The bin of a literal: bins are closed on the left; values outside are clamped to the end bins, null gets 0."""
     at = F.least(F.greatest(F.size(F.filter(edges, lambda e: e <= value)) - 1, F.lit(0)), F.size(edges) - 2)
@@ -131,13 +182,11 @@ class ColumnEncoder:
         return "numeric_discretizer" if self.edges is not None else "dictionary"
 
     def to_dict(self) -> dict:
-        values = None if self.values is None else [NULL_TEXT if v is None else v for v in self.values]
-        return {"column": self.column, "kind": self.kind, "edges": self.edges, "values": values}
+        return {"column": self.column, "kind": self.kind, "edges": self.edges, "values": self.values}  # a null value is a JSON null
 
     @classmethod
     def from_dict(cls, d: dict) -> ColumnEncoder:
-        values = None if d["values"] is None else [None if v == NULL_TEXT else v for v in d["values"]]
-        return cls(d["column"], d["kind"], d["edges"], values)
+        return cls(d["column"], d["kind"], d["edges"], d["values"])
 
 
 @dataclass
@@ -150,30 +199,35 @@ class TableEncoder:
     skipped: dict[str, str] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, df: DataFrame, table: str, columns: list[str] | None = None) -> TableEncoder:
-        """One pass for the distinct values, one for the quantiles; only dictionaries and edges, both bounded, are read to
-        the driver. The row count is that of df."""
-        if not _supported(df, columns):
+    def fit(cls, df: DataFrame, table: str, columns: list[str] | None = None, oversize: str = "error") -> TableEncoder:
+        """One pass of sketches, one that counts the values of columns that may get a dictionary, and the selection of quantiles;
+        only dictionaries and edges, both bounded, are read to the driver. The row count is that of df. A column that needs a
+        dictionary of more than MAX_TOKENS values is an error, or with oversize="skip" left out and named in `skipped`."""
+        known = _supported(df, columns)
+        if not known:
             raise ValueError(f"{table} has no column that can be encoded")
-        counts = value_counts(df, columns)
-        profile = column_profile(df, columns)
-        facts = {r["column"]: r for r in profile.collect()}
-        rows = max((r["rows"] for r in facts.values()), default=0)
-        binned = [c for c, r in facts.items() if r["encoding"] != "dictionary"]
-        edges = {r["column"]: list(r["edges"]) for r in quantile_edges(df, binned).collect()} if binned else {}
+        rows, about = _sketched(df, [n for n, _ in known])
+        wide = [n for n, k in known if k in NUMERIC and about[n] > SKETCH_SURE]
+        large = [n for n, k in known if k not in NUMERIC and about[n] > 2 * MAX_TOKENS]
         words: dict[str, list[str | None]] = {}
-        for r in dictionary_tokens(counts, profile).orderBy("column", "token").collect():
-            words.setdefault(r["column"], []).append(r["value"])
+        if counted := [n for n, _ in known if n not in wide and n not in large]:
+            counts = cut_lineage(value_counts(df, counted))
+            sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+            wide += [n for n, k in known if k in NUMERIC and sizes.get(n, 0) > DICTIONARY_LIMIT]
+            large += [n for n in counted if n not in wide and sizes.get(n, 0) > MAX_TOKENS]
+            for r in dictionary_tokens(counts.where(~F.col("column").isin([*wide, *large]))).orderBy("column", "token").collect():
+                words.setdefault(r["column"], []).append(r["value"])
+        if large and oversize != "skip":
+            raise ValueError(f"{table}: {', '.join(large)} would need a dictionary of more than {MAX_TOKENS} values")
+        edges = {r["column"]: list(r["edges"]) for r in quantile_edges(df, wide).collect()}
         encoders, skipped = [], {f.name: "unsupported type" for f in df.schema if kind_of(f.dataType) == "unknown" and (columns is None or f.name in columns)}
-        for name, kind in _supported(df, columns):
+        for name, kind in known:
             if name in edges:
                 encoders.append(ColumnEncoder(name, kind, edges=edges[name]))
-            elif name in words:
-                encoders.append(ColumnEncoder(name, kind, values=words[name]))
-            elif name in facts:
+            elif name in large:
                 skipped[name] = f"more than {MAX_TOKENS} values"
             else:
-                encoders.append(ColumnEncoder(name, kind, values=[None]))
+                encoders.append(ColumnEncoder(name, kind, values=words.get(name, [None])))
         return cls(table, encoders, int(rows), skipped)
 
     @property
@@ -191,13 +245,9 @@ class TableEncoder:
 
     def encode(self, df: DataFrame) -> DataFrame:
         """df as integer token columns `t0, t1, …` in encoder order. A value missing from a dictionary is an error."""
-        exprs, spark = [], df.sparkSession
-        for i, e in enumerate(self.columns):
-            if e.edges is not None:
-                exprs.append(row_bin(F.col(e.column).cast("double"), F.array(*(F.lit(x) for x in e.edges))).alias(f"t{i}"))
-            else:
-                exprs.append(canonical(F.col(e.column), e.kind).alias(f"v{i}"))
-        out = df.select(*exprs)
+        spark = df.sparkSession
+        out = df.select(*((F.col(e.column).cast("double") if e.edges is not None else canonical(F.col(e.column), e.kind)).alias(f"v{i}") for i, e in enumerate(self.columns)))
+        out = with_row_bins(out, {f"t{i}": (f"v{i}", e.edges) for i, e in enumerate(self.columns) if e.edges is not None})
         for i, e in enumerate(self.columns):
             if e.edges is None:
                 words = spark.createDataFrame([(t, v) for t, v in enumerate(e.values or [])], f"t{i} int, w{i} string")

@@ -1,13 +1,17 @@
 """Exact percentiles per group that survive a group holding a third of all rows.
 
 Groups up to a size limit are aggregated in one shuffle. Each larger group is a hot key, of which there are boundedly many
-(cardscope.session.hot_keys), and its order statistics are found by selection: the range that holds a wanted rank is cut
-into BUCKETS equal parts, counts per part are combined map-side, and the part with the rank becomes the next range, until
-its smallest and largest value are equal.
+(cardscope.session.hot_keys), and its order statistics are found by selection (`at_ranks`): a range of values is cut into BUCKETS
+equal parts, counts per part are combined map-side, and only the rows of parts that hold a wanted rank are kept, in a
+written table, for the next round. All value columns and all ranks are looked for together.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,34 +63,119 @@ def group_medians(df: DataFrame, keys: list[str], values: list[str], hot: DataFr
 
 
 def _with_selected(rows: DataFrame, found: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
-    for value in dict.fromkeys(v for _, v, _ in wanted):
-        found = keyed_join(found, _selected(rows, keys, value, {n: q for n, v, q in wanted if v == value}), keys, "left", small=True)
-    return found.select(*keys, *(c for c in found.columns if c not in keys and c not in {n for n, _, _ in wanted}), *(n for n, _, _ in wanted))
+    """found with the wanted percentiles of hot groups."""
+    values = list(dict.fromkeys(v for _, v, _ in wanted))
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.col(v).cast("double").alias("x")) for i, v in enumerate(values))))
+    x = cut_lineage(rows.select(*keys, cells.alias("c")).select(*keys, "c.v", "c.x").where("x is not null").withColumn("n", F.lit(1)))
+    by = [*keys, "v"]
+    sizes = cut_lineage(x.groupBy(*by).agg(F.count("*").alias("size")))
+    each = [(values.index(v), q, f) for _, v, q in wanted for f in (F.floor, F.ceil)]
+    ranks = F.array(*(F.struct(F.lit(i).alias("target"), F.lit(v).alias("of"), f(F.lit(q) * (F.col("size") - 1)).alias("rank")) for i, (v, q, f) in enumerate(each)))
+    targets = sizes.select(*by, F.explode(ranks).alias("t")).select(*by, "t.*").where("of = v").drop("of")
+    got = at_ranks(x, by, targets)
+    got = keyed_join(got, sizes, by, small=True)
+
+    def between(i: int, q: float) -> Column:
+        low, high = (F.max(F.when(F.col("target") == k, F.col("value"))) for k in (2 * i, 2 * i + 1))
+        size = F.max(F.when(F.col("target") == 2 * i, F.col("size")))
+        share = F.lit(q) * (size - 1) - F.floor(F.lit(q) * (size - 1))
+        return low * (1 - share) + high * share
 
+    ends = got.groupBy(*keys).agg(*(between(i, q).alias(name) for i, (name, _, q) in enumerate(wanted)))
+    found = keyed_join(found, ends, keys, "left", small=True)
+    return found.select(*keys, *(c for c in found.columns if c not in keys and c not in {n for n, _, _ in wanted}), *(n for n, _, _ in wanted))
 
-def _selected(rows: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """(keys, a column per fraction) of hot groups only."""
-    x = rows.select(*keys, F.col(value).cast("double").alias("x")).where("x is not null")
-    whole = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    places = F.array(*(f(F.lit(q) * (F.col("n") - 1)) for q in fractions.values() for f in (F.floor, F.ceil)))
-    sizes = cut_lineage(whole.select(*keys, "n"))
-    state = cut_lineage(whole.select(*keys, F.posexplode(places).alias("target", "rank"), "lo", "hi"))
-    while not (open_ := state.where("lo < hi")).isEmpty():
-        near = keyed_join(x, open_, keys, small=True).where(F.col("x").between(F.col("lo"), F.col("hi")))
-        width = F.col("hi") / 2 - F.col("lo") / 2  # halved, as the difference of two doubles may be too large for one
-        equal = F.floor((F.col("x") / 2 - F.col("lo") / 2) / width * BUCKETS)
-        part = F.when(width > 0, F.least(equal, F.lit(BUCKETS - 1))).otherwise((F.col("x") > F.col("lo")).cast("bigint"))
-        parts = near.groupBy(*keys, "target", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        upto = F.sum("n").over(Window.partitionBy(*keys, "target").orderBy("part"))
-        parts = parts.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
-        narrowed = parts.select(*keys, "target", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi")
-        state = cut_lineage(narrowed.unionByName(state.where("lo >= hi")))
-    at = [F.max(F.when(F.col("target") == i, F.col("lo"))) for i in range(2 * len(fractions))]
-    ends = state.groupBy(*keys).agg(*(a.alias(f"__{i}") for i, a in enumerate(at)))
-    ends = keyed_join(ends, sizes, keys, small=True)
 
-    def between(i: int, q: float) -> Column:
-        share = F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
-        return F.col(f"__{2 * i}") * (1 - share) + F.col(f"__{2 * i + 1}") * share
+def at_ranks(x: DataFrame, keys: list[str], targets: DataFrame, few: int = HOT_ROWS) -> DataFrame:
+    """(keys, target, value): the value at each wanted rank, counted from 0, of the rows of each group in order.
 
-    return ends.select(*keys, *(between(i, q).alias(name) for i, (name, q) in enumerate(fractions.items())))
+    x: (keys, x, n), n equal rows each; targets: (keys, target, rank), a bounded table, its ranks within the group. No group is
+    gathered: a round counts the rows of a range by parts and goes on with the parts that hold a rank. Once at most `few` rows are
+    left of all, they are ordered. Every round but the last reads x, or what is left of it, twice.
+    """
+    ends = x.groupBy(*keys).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+    state = cut_lineage(keyed_join(targets, ends, keys, small=True).withColumn("__range", F.lit("")))
+    done = state.where("__lo >= __hi").select(*keys, "target", F.col("__lo").alias("value"))
+    state, rows = state.where("__lo < __hi"), x
+    while not state.isEmpty():
+        ranges = state.select(*keys, "__range", "__lo", "__hi").distinct()
+        inside = rows if "__range" in rows.columns else rows.withColumn("__range", F.lit(""))
+        placed = keyed_join(inside, ranges, [*keys, "__range"], small=True)
+        width = F.col("__hi") / 2 - F.col("__lo") / 2  # halved, as the difference of two doubles may be too large for one
+        equal = F.floor((F.col("x") / 2 - F.col("__lo") / 2) / width * BUCKETS)
+        part = F.when(width > 0, F.least(equal, F.lit(BUCKETS - 1))).otherwise((F.col("x") > F.col("__lo")).cast("bigint"))
+        placed = placed.withColumn("__part", part)
+        parts = placed.groupBy(*keys, "__range", "__part").agg(F.sum("n").alias("n"), F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "__range").orderBy("__part"))  # at most BUCKETS rows
+        parts = parts.withColumns({"__upto": upto, "__before": upto - F.col("n")})
+        hits = keyed_join(parts, state.select(*keys, "__range", "target", "rank"), [*keys, "__range"], small=True).where("rank >= __before and rank < __upto")
+        next_ = F.concat_ws(".", "__range", "__part")
+        state = cut_lineage(hits.select(*keys, "target", (F.col("rank") - F.col("__before")).alias("rank"), "__lo", "__hi", next_.alias("__range"), F.col("n").alias("__left")))
+        done = done.unionByName(state.where("__lo >= __hi").select(*keys, "target", F.col("__lo").alias("value")))
+        state = state.where("__lo < __hi")
+        open_ = state.select(*keys, "__range", "__left").distinct()
+        rows = placed.withColumn("__range", next_).select(*keys, "__range", "x", "n")
+        rows = cut_lineage(keyed_join(rows, open_.drop("__left"), [*keys, "__range"], "left_semi", small=True))
+        if (open_.agg(F.sum("__left")).first()[0] or 0) <= few:
+            order = Window.partitionBy(*keys, "__range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+            ordered = rows.withColumn("__upto", F.sum("n").over(order)).withColumn("__before", F.col("__upto") - F.col("n"))
+            last = keyed_join(ordered, state.select(*keys, "__range", "target", "rank"), [*keys, "__range"], small=True).where("rank >= __before and rank < __upto")
+            done = done.unionByName(last.select(*keys, "target", F.col("x").alias("value")))
+            break
+    return cut_lineage(done)
+
+
+def column_percentiles(df: DataFrame, columns: list[str], fractions: list[float], few: int = HOT_ROWS) -> DataFrame:
+    """(column, values): the percentiles of whole numeric columns, linear between ranks; nulls and NaN are left out, and a column
+    without numbers has no row.
+
+    Three passes for all columns at once: ends, rows by BUCKETS equal parts of each column's range, and the rows of those parts that
+    hold a wanted rank, which are ordered if there are few of them and else searched by `at_ranks`. Only counts of parts, bounded
+    by BUCKETS a column, are read to the driver.
+    """
+    spark, schema = df.sparkSession, "column string, values array<double>"
+    numbers = df.select(*(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(columns)))
+    facts = numbers.agg(*(f(f"x{i}") for i in range(len(columns)) for f in (F.count, F.min, F.max))).first()
+    ends = {i: facts[3 * i : 3 * i + 3] for i in range(len(columns)) if facts[3 * i]}
+    if not ends:
+        return spark.createDataFrame([], schema)
+
+    def part(i: int) -> Column:
+        n, lo, hi = ends[i]
+        width, x = hi / 2 - lo / 2, F.col(f"x{i}")  # halved, as the difference of two doubles may be too large for one
+        return F.least(F.floor((x / 2 - lo / 2) / width * BUCKETS), F.lit(BUCKETS - 1)).cast("int") if width > 0 else (x > lo).cast("int")
+
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), part(i).alias("part"), F.col(f"x{i}").alias("x")) for i in ends)))
+    rows = numbers.select(cells.alias("c")).select("c.*").where("x is not null")
+    parts: dict[int, list] = {}
+    for r in rows.groupBy("v", "part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        parts.setdefault(r["v"], []).append((r["part"], r["n"], r["lo"], r["hi"]))
+    values: dict[tuple[int, int], float] = {}
+    targets, left = [], {}
+    for i, (n, _, _) in ends.items():
+        mine = sorted(parts[i])
+        upto = list(accumulate(p[1] for p in mine))
+        for k, q in enumerate(fractions):
+            for high in (0, 1):
+                rank = math.ceil(q * (n - 1)) if high else math.floor(q * (n - 1))
+                at = bisect_right(upto, rank)
+                name, size, lo, hi = mine[at]
+                if lo == hi:
+                    values[(i, 2 * k + high)] = lo
+                else:
+                    targets.append((i, name, 2 * k + high, rank - (upto[at] - size)))
+                    left[(i, name)] = size
+    if targets:
+        kept = rows.join(F.broadcast(spark.createDataFrame(list(left), "v int, part int")), ["v", "part"], "left_semi").select("v", "part", "x", F.lit(1).alias("n"))
+        wanted = spark.createDataFrame(targets, "v int, part int, target int, rank bigint")
+        if sum(left.values()) <= few:
+            place = (F.row_number().over(Window.partitionBy("v", "part").orderBy("x")) - 1).cast("bigint").alias("rank")
+            found = kept.select("v", "part", F.col("x").alias("value"), place).join(F.broadcast(wanted), ["v", "part", "rank"])
+        else:
+            found = at_ranks(cut_lineage(kept), ["v", "part"], wanted, few)
+        values |= {(r["v"], r["target"]): r["value"] for r in found.collect()}
+    out = []
+    for i, (n, _, _) in ends.items():
+        shares = [q * (n - 1) - math.floor(q * (n - 1)) for q in fractions]
+        out.append((columns[i], [values[(i, 2 * k)] * (1 - s) + values[(i, 2 * k + 1)] * s for k, s in enumerate(shares)]))
+    return spark.createDataFrame(out, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from cardscope.operators import density, encoding, failures, joinchoice, ranking
 from cardscope.operators.encoding import Predicate
 from cardscope.plans.requests import QueryGraph
 from cardscope.plans.seed_workload import STATEMENTS
+from cardscope.session import at_once
 from cardscope.sources.tables import table
 from cardscope.sources.workload_lines import trimmed
 
@@ -92,11 +94,8 @@ def _sql_dictionary(t: str, c: str) -> str:
 
 
 def quantile_edges(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for t, c in _BINNED.items():
-        part = encoding.quantile_edges(table(spark, d, t), [c]).select("column", F.posexplode("edges").alias("place", "edge"))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out)
+    parts = at_once([lambda t=t, c=c: encoding.quantile_edges(table(spark, d, t), [c]) for t, c in _BINNED.items()])
+    return rounded(reduce(DataFrame.unionByName, parts).select("column", F.posexplode("edges").alias("place", "edge")))
 
 
 def _sql_edges(t: str, c: str, points: int = 64) -> str:

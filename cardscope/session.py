@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: A key is hot when it holds more than this many rows and more than total / MAX_HOT of them.
 HOT_ROWS = 1_000_000
 #: At most so many keys can be hot, so a table of them may be broadcast.
@@ -50,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_once(tasks: list[Callable[[], T]], threads: int = 4) -> list[T]:
+    """The results of independent tasks, whose Spark jobs run beside each other."""
+    if len(tasks) < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(min(threads, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+
+
 def hot_of(counts: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
     """The rows of a table of counts per key whose `count` exceeds max(hot_rows, total / max_hot): at most max_hot rows."""
     total = counts.agg(F.sum("count").alias("__total"))
@@ -66,4 +79,4 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_hot:
     return hot_of(df.groupBy(*keys).count(), hot_rows, max_hot)
 
 
-__all__ = ["HOT_ROWS", "MAX_HOT", "checkpoint_dir", "cut_lineage", "hot_keys", "hot_of", "local_session"]
+__all__ = ["HOT_ROWS", "MAX_HOT", "at_once", "checkpoint_dir", "cut_lineage", "hot_keys", "hot_of", "local_session"]

@@ -93,6 +93,21 @@ def test_network_gradients_masks_and_sums():
     assert abs(single.conditionals(np.zeros((1, 1), int))[0][0][0] - 0.8) < 0.08
 
 
+def test_a_table_is_learned_whole_on_the_driver_or_in_parts(spark):
+    rows = [(i % 4, (i % 4 + (i // 4) % 2) % 4, i % 3) for i in range(2400)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    e = TableEncoder.fit(df, "t")
+    exact = {t: n / len(rows) for t, n in __import__("collections").Counter(rows).items()}
+    for cells, draws in ((1000, 6000), (12, 1000)):
+        model, note = density.train_table(df, e, local_cells=cells, epochs=20, batch=128, rate=0.01, hidden=(32, 32), draws=draws)
+        joint = model.joint(np.array(list(exact)))
+        assert note.epochs == 20 and note.history[-1]["validation_loss"] < note.history[0]["validation_loss"]
+        assert abs(joint.sum() - 1) < 0.15 and np.abs(joint - list(exact.values())).max() < 0.02, cells
+    again, _ = density.train_table(df, e, local_cells=5, epochs=2, batch=128, draws=600)
+    same, _ = density.train_table(df.orderBy("c"), e, local_cells=5, epochs=2, batch=128, draws=600)
+    assert np.allclose(again.params["w0"], same.params["w0"])
+
+
 def test_sampling_agrees_with_enumeration():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 5, 3000)
