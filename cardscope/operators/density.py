@@ -9,11 +9,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardscope.operators.encoding import Predicate, TableEncoder, enumeration_size, token_digest
-from cardscope.session import cut_lineage
+from cardscope.session import at_once, cut_lineage
 
 #: Different rows of tokens that are trained on the driver, and that a part holds otherwise; draws of an epoch, from all rows.
 LOCAL_CELLS, EPOCH_DRAWS = 200_000, 200_000
@@ -290,6 +290,33 @@ def train_table(df: DataFrame, encoder: TableEncoder, local_cells: int = LOCAL_C
     return train(found[names].to_numpy(dtype=np.int64), encoder.domain_sizes, rows=found["rows"].to_numpy(dtype=np.int64), **options)
 
 
+def train_many(spark: SparkSession, tables: dict[str, tuple[DataFrame, TableEncoder]], local_cells: int = LOCAL_CELLS, **options) -> dict[str, tuple[Made, TrainingSummary]]:
+    """`train_table` of many tables: the cells of each that has few go to one task, and those tasks run beside each other."""
+    cells = dict(zip(tables, at_once([lambda df=df, e=e: cut_lineage(token_histogram(df, e)) for df, e in tables.values()])))
+    numbers = dict(zip(tables, at_once([c.count for c in cells.values()])))
+    out, todo = {}, []
+    for t, (_, encoder) in tables.items():
+        names = [f"t{i}" for i in range(len(encoder.columns))]
+        if numbers[t] > local_cells:
+            out[t] = train_parted(cells[t], encoder.domain_sizes, numbers[t], part_cells=local_cells, **options)
+        else:
+            found = cells[t].orderBy(*names).toPandas()
+            todo.append((t, pickle.dumps((found[names].to_numpy(dtype=np.int32), encoder.domain_sizes, found["rows"].to_numpy(dtype=np.int64)))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for t, blob in zip(pdf["t"], pdf["data"]):
+                tokens, domains, rows = pickle.loads(blob)
+                done.append((t, pickle.dumps(train(tokens.astype(np.int64), domains, rows=rows, **options))))
+            yield pd.DataFrame(done, columns=["t", "model"])
+
+    if todo:
+        given = spark.createDataFrame(todo, "t string, data binary").repartitionByRange(len(todo), "t")
+        out |= {r["t"]: pickle.loads(r["model"]) for r in given.mapInPandas(run, "t string, model binary").collect()}
+    return out
+
+
 @dataclass
 class Estimate:
     table: str

@@ -42,6 +42,13 @@ def column_table(df: DataFrame, name: str) -> list[dict]:
     return [{"table": name, "column": f.name, "type": f.dataType.simpleString(), "kind": kind_of(f.dataType), "ordinal": i, "nullable": f.nullable, "supported": kind_of(f.dataType) != "unknown"} for i, f in enumerate(df.schema, 1)]
 
 
+def null_counts(df: DataFrame) -> DataFrame:
+    """(column, nulls) of every column, by one aggregate."""
+    names = df.columns
+    each = F.array(*(F.struct(F.lit(n).alias("column"), F.col(f"n{i}").alias("nulls")) for i, n in enumerate(names)))
+    return df.agg(*(F.count_if(F.col(n).isNull()).alias(f"n{i}") for i, n in enumerate(names))).select(F.explode(each).alias("c")).select("c.*")
+
+
 def canonical(c: Column, kind: str) -> Column:
     """The text by which a value is compared and kept: numbers as doubles, times in ISO form, null as null."""
     if kind in NUMERIC:

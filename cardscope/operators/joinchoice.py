@@ -28,6 +28,13 @@ def base_join_keys(all_joins: Column) -> Column:
     return F.transform(base, lambda j: F.coalesce(j["base_join_key"], join_key(j["relations"])))
 
 
+def cardinality_maps(rows: DataFrame, key: str, relation: str, value: str) -> DataFrame:
+    """(key, raw, injected): {relation: rows} of each key out of a row per relation, in order of the relations; injected ones are
+    at least 1. A missing value is left out."""
+    pairs = lambda v: F.map_from_entries(F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(F.col(relation).alias("k"), v.cast("double").alias("v"))))))
+    return rows.groupBy(key).agg(pairs(F.col(value)).alias("raw"), pairs(M.floored(F.col(value))).alias("injected"))
+
+
 def side_by_side(treatments: DataFrame) -> DataFrame:
     """One row per query with the first join, plan hash, estimates, root rows and validity of each configuration.
 

@@ -11,17 +11,20 @@ from cardscope.operators.exact_median import group_percentiles
 CONFIGURATIONS = {"native": "native", "learned": "learned_base", "exact": "exact_base"}
 
 
-def measured(rows: DataFrame) -> DataFrame:
+def measured(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Repetitions that count: no warm-ups, each delivery once, with censored times.
 
     A timeout counts as its limit. Rows that neither timed out nor have status ok and a finite positive time are left out of
-    the medians (their times are null) but stay as repetitions."""
+    the medians (their times are null) but stay as repetitions. With strict, a row with status ok that did not time out and
+    has no such time is an error."""
     once = rows.dropDuplicates(["measurement_id"]).where(~F.coalesce("warmup", F.lit(False)))
     timed_out = F.coalesce("timeout", F.lit(False))
 
     def time(name: str) -> Column:
         good = (F.col("status") == "ok") & M.finite(F.col(name)) & (F.col(name) > 0)
-        return F.when(timed_out, F.col("timeout_seconds") * 1000.0).when(good, F.col(name))
+        out = F.when(timed_out, F.col("timeout_seconds") * 1000.0).when(good, F.col(name))
+        missing = F.raise_error(F.concat(F.lit(f"no {name} in measurement "), F.coalesce(F.col("measurement_id").cast("string"), F.lit("null")))).cast("double")
+        return out.when(F.col("status") == "ok", missing) if strict else out
 
     return once.withColumns({"execution_ms": time("execution_time_ms"), "wall_ms": time("wall_clock_duration_ms")})
 

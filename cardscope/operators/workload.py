@@ -124,14 +124,14 @@ def exact_base_counts(tables: dict[str, DataFrame], graphs: dict[str, QueryGraph
     return reduce(DataFrame.unionByName, out)
 
 
-def fragment_counts(spark: SparkSession, graphs: dict[str, QueryGraph], tables: dict[str, DataFrame], base: bool = False) -> DataFrame:
+def fragment_counts(spark: SparkSession, graphs: dict[str, QueryGraph], tables: dict[str, DataFrame], base: bool = False, sizes: tuple[int, ...] = ()) -> DataFrame:
     """(query_id, relations, cardinality) of every connected set of relations of the statements, with its filters and joins;
-    without `base` only sets of two or more."""
+    without `base` only sets of two or more, with `sizes` only sets of so many."""
     out = []
     for name, g in graphs.items():
         keys = {r.alias: r.key for r in g.relations}
         for some in g.fragments():
-            if base or len(some) > 1:
+            if len(some) in sizes if sizes else base or len(some) > 1:
                 key = "|".join(sorted(keys[a] for a in some))
                 out.append(g.data(spark, tables, some).agg(F.lit(name).alias("query_id"), F.lit(key).alias("relations"), F.count("*").alias("cardinality")))
     return reduce(DataFrame.unionByName, out)

@@ -16,6 +16,7 @@ from cardscope.plans.data_queries import PLAN_TREE
 from cardscope.plans.native import Catalog, roundtrip_ok
 from cardscope.plans.requests import QueryGraph
 from cardscope.plans.seed_workload import STATEMENTS
+from cardscope.plans.treatments import train_tables
 from cardscope.session import cut_lineage
 from cardscope.sources.tables import table
 
@@ -30,11 +31,21 @@ _SINGLE = {
 _TARGETS, _SEEDS = 10, [123, 124, 125, 126, 127]
 
 
+_trained: dict[tuple[str, str], dict[str, density.Estimator]] = {}
+
+
+def estimators(spark: SparkSession, d: str) -> dict[str, density.Estimator]:
+    """The models of all modelled tables of a folder, trained once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _trained:
+        _trained.clear()
+        _trained[key] = train_tables(spark, {t: table(spark, d, t) for t in _MODELLED}, _MODELLED)
+    return _trained[key]
+
+
 def _estimator(spark: SparkSession, d: str, t: str) -> density.Estimator:
-    df = table(spark, d, t)
-    encoder = encoding.TableEncoder.fit(df, t, _MODELLED[t])
-    model, _ = density.train_table(df, encoder)
-    return density.Estimator(encoder, model)
+    e = estimators(spark, d)[t]
+    return density.Estimator(e.encoder, e.model)
 
 
 def made_estimates(spark: SparkSession, d: str) -> DataFrame:
@@ -136,13 +147,15 @@ def injection_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Injected cardinalities and what the optimizer then expects."""
     rows = []
     with Catalog(spark, d) as catalog:
-        g = QueryGraph.parse(spark, STATEMENTS["lineitem_part_supplier"])
-        s = catalog.statement(g)
-        for wanted in (0.25, 1.0, 42.0, 966.0):
-            got = s.inject({"p": wanted})["p"]
-            rows.append(("p", wanted, got, roundtrip_ok(wanted, got)))
-            s.restore()
-    return spark.createDataFrame(rows, "alias string, wanted double, got double, within_tolerance boolean")
+        for n, sql in STATEMENTS.items():
+            s = catalog.statement(QueryGraph.parse(spark, sql))
+            for r in s.graph.relations:
+                possible = s.base_estimate(r.alias) > 0  # an estimate of nothing cannot be scaled
+                for wanted in (0.25, 1.0, 42.0, 966.0) if possible else ():
+                    got = s.inject({r.alias: wanted})[r.alias]
+                    rows.append((n, r.key, wanted, got, roundtrip_ok(wanted, got)))
+                    s.restore()
+    return spark.createDataFrame(rows, "query_id string, relation string, wanted double, got double, within_tolerance boolean")
 
 
 def catalyst_join_choice(spark: SparkSession, d: str) -> DataFrame:

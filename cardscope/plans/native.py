@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark import __version__ as spark_version
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cardscope.plans import explain
 from cardscope.plans.requests import QueryGraph
 
 SETTINGS = {
@@ -109,6 +113,8 @@ class Catalog:
 
     def inject(self, clone: str, table: str, rows: int) -> None:
         """Sets the row count of a clone; its column statistics stay those of the table."""
+        if spark_version.split(".")[0] != "4":
+            raise RuntimeError(f"injection sets a field of Spark 4's catalog statistics; this is Spark {spark_version}")
         stats = self.facts[table]
         # Python cannot hand a big integer over, but a range of that length has one in its statistics
         big = self.spark.range(max(rows, 1))._jdf.queryExecution().optimizedPlan().stats().rowCount()
@@ -154,35 +160,55 @@ class Statement:
         for r in self.graph.relations:
             self.catalog._store(self.clones[r.alias], self.catalog.facts[r.table])
 
+    def final_estimate(self) -> float:
+        """The optimizer's estimate of the rows of the whole statement, before its count."""
+        return row_estimate(self.data()) or 0.0
+
+    def document(self, df: DataFrame | None = None) -> str:
+        """The optimised plan as an EXPLAIN document: nodes with their estimated rows, scans with relation and alias."""
+        return json.dumps({"Plan": self._node((df or self.data())._jdf.queryExecution().optimizedPlan())})
+
+    def executed(self) -> tuple[int, str]:
+        """The statement's count, and the physical plan that made it as an EXPLAIN document with actual rows and times."""
+        counted = self.data().agg(F.count("*").alias("n"))
+        began = time.perf_counter()
+        plan = counted._jdf.queryExecution().executedPlan()
+        planned = time.perf_counter()
+        n = counted.collect()[0]["n"]
+        done = time.perf_counter()
+        return n, json.dumps({"Plan": self._node(plan), "Planning Time": 1000 * (planned - began), "Execution Time": 1000 * (done - planned)})
+
+    def _node(self, plan) -> dict:
+        kind = plan.nodeName().partition(" (")[0].strip()
+        kids = plan.children()
+        below = [kids.apply(i) for i in range(kids.size())]
+        if kind in ("WholeStageCodegen", "InputAdapter"):  # how a stage is compiled, numbered anew in every plan
+            return self._node(below[0])
+        out: dict = {"Node Type": kind.split(" ")[0]}
+        of_java = plan.getClass().getSimpleName()
+        if hasattr(plan, "stats") and of_java != "AdaptiveSparkPlanExec" and not of_java.endswith("Exec"):
+            rows = plan.stats().rowCount()
+            out["Plan Rows"] = float(str(rows.get())) if rows.isDefined() else None
+        else:
+            metric = plan.metrics().get("numOutputRows")
+            out["Actual Rows"] = int(metric.get().value()) if metric.isDefined() else None
+        if "Join" in of_java:
+            out["Join Type"] = plan.joinType().toString()
+        name = None
+        if of_java == "LogicalRelation" and plan.catalogTable().isDefined():
+            name = plan.catalogTable().get().identifier().table()
+        elif of_java == "FileSourceScanExec" and plan.tableIdentifier().isDefined():
+            name = plan.tableIdentifier().get().table()
+        if name is not None:
+            alias = next(a for a, c in self.clones.items() if c.lower() == name.lower())
+            out |= {"Relation Name": next(r.table for r in self.graph.relations if r.alias == alias), "Alias": alias}
+        if below:
+            out["Plans"] = [self._node(c) for c in below]
+        return out
+
     def joins(self) -> list[dict]:
         """The joins of the optimised plan, inner ones first, with the relations below each branch."""
-        back = {c.lower(): next(r.key for r in self.graph.relations if r.alias == a) for a, c in self.clones.items()}
-        flat = json.loads(self.data()._jdf.queryExecution().optimizedPlan().toJSON())
-        at = 0
-
-        def read() -> dict:
-            nonlocal at
-            me = flat[at]
-            at += 1
-            return {"node": me, "children": [read() for _ in range(me["num-children"])]}
-
-        out: list[dict] = []
-
-        def walk(n: dict) -> frozenset[str]:
-            below = [walk(c) for c in n["children"]]
-            kind = n["node"]["class"].rpartition(".")[2]
-            if kind == "LogicalRelation":
-                name = n["node"].get("catalogTable") or {}
-                text = json.dumps(name) if not isinstance(name, str) else name
-                return frozenset(k for c, k in back.items() if re.search(rf"\b{re.escape(c)}\b", text.lower()))
-            if kind == "Join":
-                relations = sorted(frozenset().union(*below))
-                base = len(below) == 2 and all(len(b) == 1 for b in below)
-                out.append({"relations": relations, "is_base_join": base, "base_join_key": "|".join(relations) if base else None})
-            return frozenset().union(*below)
-
-        walk(read())
-        return out
+        return explain.joins(self.document())
 
     def first_base_join(self) -> str | None:
         return next((j["base_join_key"] for j in self.joins() if j["is_base_join"]), None)

@@ -34,7 +34,7 @@ def _round(c, digits: int = 6):
     return F.round(c + F.signum(c) * _NUDGE, digits)
 
 
-def _nudged(sql: str) -> str:
+def nudged(sql: str) -> str:
     """SQL in which every round(x, n) rounds as `rounded` does."""
     out, at = [], 0
     while (start := sql.find("round(", at)) >= 0:
@@ -43,7 +43,7 @@ def _nudged(sql: str) -> str:
             depth += {"(": 1, ")": -1}.get(sql[i], 0)
             comma = i if sql[i] == "," and depth == 1 else comma
             i += 1
-        inner = _nudged(sql[start + 6 : comma])
+        inner = nudged(sql[start + 6 : comma])
         out += [sql[at:start], f"round(({inner}) + sign({inner}) * {_NUDGE!r}", sql[comma:i]]
         at = i
     return "".join(out) + sql[at:]
@@ -98,7 +98,7 @@ def quantile_edges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reduce(DataFrame.unionByName, parts).select("column", F.posexplode("edges").alias("place", "edge")))
 
 
-def _sql_edges(t: str, c: str, points: int = 64) -> str:
+def sql_edges(t: str, c: str, points: int = 64) -> str:
     fractions = ", ".join(repr(i / (points - 1)) for i in range(points))
     return f"""SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY edge) - 1 AS INTEGER) AS place, edge
       FROM (SELECT DISTINCT round(unnest(quantile_cont({c}, [{fractions}])), 6) AS edge FROM {t})"""
@@ -170,7 +170,7 @@ def _sql_allowed(c: str, op: str, v: object) -> str:
     return f"""SELECT token FROM words WHERE "column" = '{c}' AND {where}"""
 
 
-_ORDER_TOKENS = f"""WITH edges AS ({_sql_edges("orders", "o_totalprice")}
+_ORDER_TOKENS = f"""WITH edges AS ({sql_edges("orders", "o_totalprice")}
 ), bins AS (
   SELECT a.place AS token, a.edge AS lo, b.edge AS hi, b.place = (SELECT max(place) FROM edges) AS last FROM edges a JOIN edges b ON b.place = a.place + 1
 ), words AS ({_sql_dictionary("orders", "o_orderstatus")} UNION ALL {_sql_dictionary("orders", "o_orderpriority")})"""
@@ -267,7 +267,7 @@ def exact_base_counts(spark: SparkSession, d: str) -> DataFrame:
     return workload.exact_base_counts(_tables(spark, d), _graphs(spark))
 
 
-_SHAPES = {
+SHAPES = {
     "customer_orders": ({"c": ("customer", "c_mktsegment='BUILDING'"), "o": ("orders", "o_orderstatus='F'")}, {("c", "o"): "c.c_custkey=o.o_custkey"}),
     "customer_orders_lineitem": ({"c": ("customer", "true"), "o": ("orders", "o_totalprice>300000"), "l": ("lineitem", "l_quantity<10")}, {("c", "o"): "c.c_custkey=o.o_custkey", ("o", "l"): "o.o_orderkey=l.l_orderkey"}),
     "lineitem_part_supplier": ({"l": ("lineitem", "true"), "p": ("part", "p_size<=10"), "s": ("supplier", "s_acctbal>0")}, {("l", "p"): "l.l_partkey=p.p_partkey", ("l", "s"): "l.l_suppkey=s.s_suppkey"}),
@@ -279,12 +279,12 @@ _SHAPES = {
 
 
 def join_fragment_counts(spark: SparkSession, d: str) -> DataFrame:
-    return workload.fragment_counts(spark, _graphs(spark, tuple(_SHAPES)), _tables(spark, d))
+    return workload.fragment_counts(spark, _graphs(spark, tuple(SHAPES)), _tables(spark, d))
 
 
 def _sql_fragments() -> str:
     parts = []
-    for name, (relations, joins) in _SHAPES.items():
+    for name, (relations, joins) in SHAPES.items():
         for n in range(2, len(relations) + 1):
             for some in combinations(relations, n):
                 used = [sql for pair, sql in joins.items() if set(pair) <= set(some)]
@@ -295,13 +295,13 @@ def _sql_fragments() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _sql_base_counts() -> str:
+def sql_base_counts(joined_only: bool = False) -> str:
     single = {
         "orders_status_price": ("orders", "o_orderstatus='F' AND o_totalprice BETWEEN 100000 AND 200000"), "orders_priority": ("orders", "o_orderpriority IN ('1-URGENT','2-HIGH') AND o_totalprice > 300000"),
         "lineitem_flags": ("lineitem", "l_returnflag='R' AND l_quantity < 10 AND l_discount >= 0.05"), "part_impossible": ("part", "p_size <= 10 AND p_retailprice >= 1500"),
         "customer_segment": ("customer", "c_mktsegment='BUILDING' AND c_acctbal < 0"), "events_clicks": ("events", "event_type='click' AND value > 50"),
     }
-    rows = [(q, t, t, w) for q, (t, w) in single.items()] + [(q, f"{t}:{a}", t, w) for q, (rs, _) in _SHAPES.items() for a, (t, w) in rs.items()]
+    rows = [(q, t, t, w) for q, (t, w) in single.items() if not joined_only] + [(q, f"{t}:{a}", t, w) for q, (rs, _) in SHAPES.items() for a, (t, w) in rs.items()]
     return " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{k}' AS relation, count(*) FILTER ({w}) AS exact_cardinality, count(*) AS table_cardinality FROM {t}" for q, k, t, w in rows)
 
 
@@ -357,11 +357,11 @@ SELECT label || '__' || replace(table_key, ':', '_') AS occurrence_id, label, qu
 # ---------------------------------------------------------------- errors of evaluated occurrences
 
 
-def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+def evaluated(spark: SparkSession, d: str) -> DataFrame:
     return failures.evaluated(table(spark, d, "experiment_2_failures"), table(spark, d, "base_queries"))
 
 
-_EVALUATED = r"""
+SQL_EVALUATED = r"""
 WITH once AS (
   SELECT DISTINCT ON (result_id) * FROM experiment_2_failures
 ), joined AS (
@@ -404,7 +404,7 @@ def _sql_q_error_rows() -> str:
 
 
 def section_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = failures.section_summary(_evaluated(spark, d))
+    out = failures.section_summary(evaluated(spark, d))
     # sums of values up to 1e11 agree to fewer digits
     return rounded(out).withColumns({f"{p}_mean": F.round(f"{p}_mean", 2) for p in ("learned", "native")})
 
@@ -425,18 +425,18 @@ def _sql_sections() -> str:
         cols += [f"round(quantile_cont({r}, 0.5), 6) AS {p}_median_signed_ratio"]
     cols += ["round(median(learned_q_error) - median(native_q_error), 6) AS median_learned_minus_native", "round(exp(avg(ln(learned_q_error))) - exp(avg(ln(native_q_error))), 6) AS geometric_mean_learned_minus_native"]
     cols += ["round(count(*) FILTER (learned_q_error <= 2) / count(*) - count(*) FILTER (native_q_error <= 2) / count(*), 6) AS le2_fraction_learned_minus_native"]
-    return _EVALUATED + " " + " UNION ALL ".join(f"SELECT '{n}' AS section, {', '.join(cols)} FROM ({s}) HAVING count(*) > 0" for n, s in parts)
+    return SQL_EVALUATED + " " + " UNION ALL ".join(f"SELECT '{n}' AS section, {', '.join(cols)} FROM ({s}) HAVING count(*) > 0" for n, s in parts)
 
 
 def failure_categories(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(failures.category_metrics(_evaluated(spark, d)))
+    return rounded(failures.category_metrics(evaluated(spark, d)))
 
 
 def _bucket_sql(x: str, edges, first: str, last: str) -> str:
     return f"CASE {first} " + " ".join(f"WHEN {x} <= {e} THEN '{n}'" for e, n in edges) + f" ELSE '{last}' END"
 
 
-_CATEGORIES = f"""{_EVALUATED}, cats AS (
+_CATEGORIES = f"""{SQL_EVALUATED}, cats AS (
   SELECT *, unnest([
     {{'d': 'table', 'x': coalesce("table", 'None')}}, {{'d': 'query_template', 'x': coalesce(query_template, 'None')}}, {{'d': 'predicate_count', 'x': predicate_count::VARCHAR}},
     {{'d': 'operator_class', 'x': operator_class}}, {{'d': 'equality_range_shape', 'x': shape}}, {{'d': 'constrained_column_count', 'x': len(involved_columns)::VARCHAR}},
@@ -466,15 +466,16 @@ _SQL_CATEGORIES = f"""{_CATEGORIES} SELECT group_dimension, group_value, group_s
 
 
 def worst_queries(spark: SparkSession, d: str) -> DataFrame:
-    out = failures.worst_queries(_evaluated(spark, d))
+    out = failures.worst_queries(evaluated(spark, d))
     return rounded(out.select(
         "result_id", "occurrence_id", "learned_q_error", "native_q_error", _round(F.col("learned_native_q_error_ratio"), 2).alias("learned_native_q_error_ratio"), "worst_learned_q_error", "worst_learned_native_disadvantage", "candidate_classification", "classification_status",
         F.array_join(F.transform("matching_systematic_groups", lambda g: F.concat_ws("=", g["dimension"], g["value"])), ";").alias("systematic_groups"),
     ))
 
 
-_SQL_WORST = f"""{_CATEGORIES}, byq AS (SELECT result_id FROM v ORDER BY learned_q_error DESC, result_id LIMIT 50), byr AS (SELECT result_id FROM v ORDER BY learned_q_error / native_q_error DESC, result_id LIMIT 50),
-picked AS (SELECT *, result_id IN (FROM byq) AS worst_learned_q_error, result_id IN (FROM byr) AS worst_learned_native_disadvantage FROM v WHERE result_id IN (FROM byq) OR result_id IN (FROM byr)),
+_WORST = f"""{_CATEGORIES}, byq AS (SELECT result_id FROM v ORDER BY learned_q_error DESC, result_id LIMIT 50), byr AS (SELECT result_id FROM v ORDER BY learned_q_error / native_q_error DESC, result_id LIMIT 50),
+picked AS (SELECT *, result_id IN (FROM byq) AS worst_learned_q_error, result_id IN (FROM byr) AS worst_learned_native_disadvantage FROM v WHERE result_id IN (FROM byq) OR result_id IN (FROM byr))"""
+_SQL_WORST = f"""{_WORST},
 hits AS (SELECT result_id, array_to_string(list_sort(list(DISTINCT {{'a': c.d, 'b': c.x}})).list_transform(lambda g: g.a || '=' || g.b), ';') AS s FROM cats
   JOIN flagged ON group_dimension = c.d AND group_value = c.x WHERE systematic_failure_candidate AND result_id IN (SELECT result_id FROM picked) GROUP BY 1)
 SELECT result_id, occurrence_id, round(learned_q_error, 6) AS learned_q_error, round(native_q_error, 6) AS native_q_error, round(learned_q_error / native_q_error, 2) AS learned_native_q_error_ratio,
@@ -486,10 +487,10 @@ FROM picked LEFT JOIN hits USING (result_id)"""
 
 
 def seed_targets(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(failures.seed_targets(_evaluated(spark, d), 10, "result_id").select("rank", "result_id", "occurrence_id", "normalized_sql_id", "learned_q_error"))
+    return rounded(failures.seed_targets(evaluated(spark, d), 10, "result_id").select("rank", "result_id", "occurrence_id", "normalized_sql_id", "learned_q_error"))
 
 
-_SQL_TARGETS = f"""{_EVALUATED}, each AS (
+_SQL_TARGETS = f"""{SQL_EVALUATED}, each AS (
   SELECT * FROM v WHERE is_filtered AND inference_mode = 'progressive_sampling' AND NOT coalesce(fallback_used, false)
   QUALIFY row_number() OVER (PARTITION BY normalized_sql_id ORDER BY learned_q_error DESC, result_id) = 1
 )
@@ -498,15 +499,15 @@ FROM each ORDER BY learned_q_error DESC, result_id LIMIT 10"""
 
 
 def single_table_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return failures.outcome_per_query(_evaluated(spark, d))
+    return failures.outcome_per_query(evaluated(spark, d))
 
 
-_SQL_OUTCOMES = f"""{_EVALUATED} SELECT original_query_label, CASE WHEN median(learned_q_error) < median(native_q_error) THEN 'improved' WHEN median(learned_q_error) > median(native_q_error) THEN 'worsened' ELSE 'unchanged' END
+_SQL_OUTCOMES = f"""{SQL_EVALUATED} SELECT original_query_label, CASE WHEN median(learned_q_error) < median(native_q_error) THEN 'improved' WHEN median(learned_q_error) > median(native_q_error) THEN 'worsened' ELSE 'unchanged' END
   AS single_table_estimate_outcome FROM v GROUP BY original_query_label"""
 
 
 def wilson_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = _evaluated(spark, d).where("status = 'ok'")
+    rows = evaluated(spark, d).where("status = 'ok'")
     better = M.outcome(F.col("learned_q_error"), F.col("native_q_error")) == "left_better"
     out = rows.groupBy("table").agg(F.count_if(better).alias("successes"), F.count("*").alias("total"))
     w = M.wilson(F.col("successes"), F.col("total"))
@@ -523,12 +524,12 @@ def _sql_wilson(s: str, n: str) -> str:
     return f"round({rate}, 6) AS rate, round(greatest(0, {centre} - {margin}), 6) AS ci_low, round(least(1, {centre} + {margin}), 6) AS ci_high"
 
 
-_SQL_WILSON = f"""{_EVALUATED}, g AS (SELECT "table", count(*) FILTER (abs(learned_q_error - native_q_error) > 1e-9 * greatest(learned_q_error, native_q_error, 1) AND learned_q_error < native_q_error) AS successes, count(*) AS total FROM v GROUP BY 1)
+_SQL_WILSON = f"""{SQL_EVALUATED}, g AS (SELECT "table", count(*) FILTER (abs(learned_q_error - native_q_error) > 1e-9 * greatest(learned_q_error, native_q_error, 1) AND learned_q_error < native_q_error) AS successes, count(*) AS total FROM v GROUP BY 1)
 SELECT "table", successes, total, {_sql_wilson("successes", "total")} FROM g"""
 
 
 def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _evaluated(spark, d).where("status = 'ok'")
+    rows = evaluated(spark, d).where("status = 'ok'")
     apart = M.abs_log_ratio(F.col("learned_estimate"), F.col("native_estimate"))
     pair = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("bucket"))
     three = F.array(pair("cardinality", M.cardinality_bucket(F.col("exact_cardinality"))), pair("selectivity", M.selectivity_bucket(F.col("selectivity"))), pair("divergence", M.divergence_bucket(apart)))
@@ -536,25 +537,26 @@ def bucket_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _APART = "abs(ln(greatest(learned_estimate, 1) / greatest(native_estimate, 1)))"
-_SQL_BUCKETS = f"""{_EVALUATED}
+_SQL_BUCKETS = f"""{SQL_EVALUATED}
 SELECT 'cardinality' AS kind, {_bucket_sql("exact_cardinality", M.CARDINALITY_EDGES, "WHEN exact_cardinality IS NULL THEN NULL WHEN exact_cardinality <= 0 THEN 'exactly_zero'", ">100k")} AS bucket, count(*) AS rows FROM v GROUP BY 1, 2
 UNION ALL SELECT 'selectivity', {_bucket_sql("selectivity", M.SELECTIVITY_EDGES, "WHEN selectivity IS NULL THEN 'unknown' WHEN selectivity = 0 THEN 'exactly_zero'", ">1")}, count(*) FROM v GROUP BY 1, 2
 UNION ALL SELECT 'divergence', CASE WHEN {_APART} IS NULL THEN NULL {" ".join(f"WHEN {_APART} < ln({e}) THEN '{n}'" for e, n in M.DIVERGENCE_EDGES)} ELSE '>=100x' END, count(*) FROM v GROUP BY 1, 2"""
 
 
 def ecdf_q_error(spark: SparkSession, d: str) -> DataFrame:
-    rows = _evaluated(spark, d).where("status = 'ok'")
+    rows = evaluated(spark, d).where("status = 'ok'")
     both = F.explode(F.array(*(F.struct(F.lit(s).alias("series"), F.col(f"{s}_q_error").alias("q_error")) for s in ("native", "learned")))).alias("p")
     out = ranking.ecdf(rows.select(both).select("p.*"), ["series"], "q_error")
     return rounded(out, 9)
 
 
-_SQL_ECDF = f"""{_EVALUATED}, s AS (SELECT 'native' AS series, native_q_error AS q_error FROM v UNION ALL SELECT 'learned', learned_q_error FROM v)
+_SQL_ECDF = f"""{SQL_EVALUATED}, s AS (SELECT 'native' AS series, native_q_error AS q_error FROM v UNION ALL SELECT 'learned', learned_q_error FROM v)
 SELECT series, round(q_error, 9) AS q_error, round(row_number() OVER (PARTITION BY series ORDER BY q_error) / count(*) OVER (PARTITION BY series), 9) AS cumulative_fraction FROM s"""
 
 
 def error_ratio_histogram(spark: SparkSession, d: str) -> DataFrame:
-    rows = _evaluated(spark, d).where("status = 'ok'").select(F.log10("learned_signed_error_ratio").alias("x"))
+    """Of the worst queries, as their report shows it."""
+    rows = failures.worst_queries(evaluated(spark, d)).select(F.log10("learned_signed_error_ratio").alias("x"))
     return rounded(ranking.histogram(rows, "x"))
 
 
@@ -566,7 +568,7 @@ SELECT CAST(e.bin AS INTEGER) AS bin, round(lo + e.bin * ((hi - lo) / k), 6) AS
 
 
 def worst_tables(spark: SparkSession, d: str) -> DataFrame:
-    rows = failures.category_metrics(_evaluated(spark, d)).where("group_dimension in ('table', 'constrained_column')")
+    rows = failures.category_metrics(evaluated(spark, d)).where("group_dimension in ('table', 'constrained_column')")
     return rounded(rows.orderBy(F.col("learned_median_q_error").desc(), "group_dimension", "group_value").limit(15).select("group_dimension", "group_value", "learned_median_q_error"))
 
 
@@ -668,16 +670,16 @@ def speedup_histogram(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- joins that plans choose
 
 
-def _treatments(spark: SparkSession, d: str) -> DataFrame:
+def treatments(spark: SparkSession, d: str) -> DataFrame:
     return joinchoice.influence(table(spark, d, "treatment_results"), table(spark, d, "workload_queries"))
 
 
 def base_join_influence(spark: SparkSession, d: str) -> DataFrame:
     cols = ["query_key", "native_first_base_join", "learned_first_base_join", "exact_first_base_join", "applicable", "base_join_changed", "full_plan_changed", "treatment_valid", "maximum_absolute_log_difference", "treatment_category", "decision_category", "status"]
-    return rounded(_treatments(spark, d).select(*cols, *(f"{s}_final_q_error" for s in ("native", "learned", "exact"))))
+    return rounded(treatments(spark, d).select(*cols, *(f"{s}_final_q_error" for s in ("native", "learned", "exact"))))
 
 
-_TREATED = """
+SQL_TREATED = """
 WITH once AS (SELECT DISTINCT ON (treatment_id) *, list_filter(all_joins, lambda j: j IS NOT NULL) AS js FROM treatment_results),
 one AS (SELECT *, js[-1].plan_rows AS root FROM once QUALIFY row_number() OVER (PARTITION BY query_key, config ORDER BY treatment_id) = 1),
 w AS (
@@ -693,17 +695,17 @@ w AS (
     CASE WHEN eroot >= 0 AND actual >= 0 AND isfinite(eroot) AND isfinite(actual) THEN greatest(greatest(eroot, 1) / greatest(actual, 1), greatest(actual, 1) / greatest(eroot, 1)) END AS eq
   FROM w
 )"""
-_SQL_INFLUENCE = f"""{_TREATED} SELECT query_key, nf AS native_first_base_join, lf AS learned_first_base_join, ef AS exact_first_base_join, applicable, base_join_changed, full_plan_changed, treatment_valid,
+_SQL_INFLUENCE = f"""{SQL_TREATED} SELECT query_key, nf AS native_first_base_join, lf AS learned_first_base_join, ef AS exact_first_base_join, applicable, base_join_changed, full_plan_changed, treatment_valid,
   round(apart, 6) AS maximum_absolute_log_difference, CASE WHEN base_join_changed THEN 'base join changed' WHEN full_plan_changed THEN 'plan changed but base join unchanged'
   WHEN apart > ln(1.01) THEN 'estimates changed but plan unchanged' ELSE 'no meaningful estimate difference' END AS treatment_category, decision_category,
   CASE WHEN applicable THEN 'ok' ELSE 'not_applicable' END AS status, round(nq, 6) AS native_final_q_error, round(lq, 6) AS learned_final_q_error, round(eq, 6) AS exact_final_q_error FROM x"""
 
 
 def influence_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(joinchoice.influence_summary(_treatments(spark, d)))
+    return rounded(joinchoice.influence_summary(treatments(spark, d)))
 
 
-_SQL_INFLUENCE_SUMMARY = f"""{_TREATED}, g AS (
+_SQL_INFLUENCE_SUMMARY = f"""{SQL_TREATED}, g AS (
   SELECT unnest([{{'d': 'all', 'v': 'all'}}, {{'d': 'relation_count', 'v': coalesce(query_size::VARCHAR, 'None')}}, {{'d': 'query_template', 'v': coalesce(template, 'None')}},
     {{'d': 'estimate_divergence', 'v': CASE {" ".join(f"WHEN apart < ln({e}) THEN '{n}'" for e, n in M.DIVERGENCE_EDGES)} ELSE '>=100x' END}}]) AS s, base_join_changed, full_plan_changed
   FROM x WHERE applicable AND treatment_valid
@@ -712,17 +714,17 @@ SELECT *, {_sql_wilson("changed", "total")}, changed / total >= 0.05 AS practica
 
 
 def decision_quality(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(joinchoice.quality_summary(_treatments(spark, d)))
+    return rounded(joinchoice.quality_summary(treatments(spark, d)))
 
 
-_SQL_QUALITY = f"""{_TREATED}, s AS (SELECT count(*) AS valid_queries, count(*) FILTER (nf = ef) AS na, count(*) FILTER (lf = ef) AS la,
+_SQL_QUALITY = f"""{SQL_TREATED}, s AS (SELECT count(*) AS valid_queries, count(*) FILTER (nf = ef) AS na, count(*) FILTER (lf = ef) AS la,
   {", ".join(f"count(*) FILTER (decision_category = '{c}') AS {c.replace(' ', '_')}" for c in ("improved", "degraded", "both agree", "neither agrees"))} FROM x WHERE applicable AND treatment_valid)
 SELECT valid_queries, na AS native_agreements, la AS learned_agreements, improved, degraded, both_agree, neither_agrees, {_sql_wilson("na", "valid_queries").replace("AS ", "AS native_")}, {_sql_wilson("la", "valid_queries").replace("AS ", "AS learned_")},
   la > na AND improved > degraded AS improved_under_all_criteria FROM s"""
 
 
 def complete_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(joinchoice.complete_summary(_treatments(spark, d)))
+    return rounded(joinchoice.complete_summary(treatments(spark, d)))
 
 
 def _sql_complete() -> str:
@@ -734,7 +736,7 @@ def _sql_complete() -> str:
         cols.append(f"round(exp(avg(ln({c}))), 6) AS {s}_geometric_mean")
         cols += [f"round(quantile_cont({c}, {q}), 6) AS {s}_{n}" for n, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))]
     cols += ["round(median(nq / lq), 6) AS median_learned_improvement", "round(median(nq / eq), 6) AS median_exact_improvement"]
-    return f"{_TREATED} SELECT {', '.join(cols)} FROM x WHERE treatment_valid AND nq IS NOT NULL AND lq IS NOT NULL AND eq IS NOT NULL"
+    return f"{SQL_TREATED} SELECT {', '.join(cols)} FROM x WHERE treatment_valid AND nq IS NOT NULL AND lq IS NOT NULL AND eq IS NOT NULL"
 
 
 def base_join_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -753,7 +755,7 @@ def treatment_estimates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ratios.select("query_key", "relation", "ratio", M.floored(F.element_at("learned_base_estimates", F.col("relation"))).alias("injected")))
 
 
-_SQL_ESTIMATES = f"""{_TREATED.split(", x AS (")[0].replace("JOIN one e ON e.query_key = n.query_key AND e.config = 'exact_base'", "LEFT JOIN one e ON e.query_key = n.query_key AND e.config = 'exact_base'")}
+_SQL_ESTIMATES = f"""{SQL_TREATED.split(", x AS (")[0].replace("JOIN one e ON e.query_key = n.query_key AND e.config = 'exact_base'", "LEFT JOIN one e ON e.query_key = n.query_key AND e.config = 'exact_base'")}
 SELECT query_key, k AS relation, round(CASE WHEN nb[k] <> 0 THEN lb[k] / nb[k] END, 6) AS ratio, round(greatest(lb[k], 1), 6) AS injected FROM (SELECT *, unnest(list_filter(map_keys(lb), lambda k: map_contains(nb, k))) AS k FROM w)"""
 
 
@@ -768,12 +770,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    edges = f"WITH edges AS ({_sql_edges('lineitem', 'l_extendedprice')}), e AS (SELECT list(edge ORDER BY edge) AS es FROM edges)"
+    edges = f"WITH edges AS ({sql_edges('lineitem', 'l_extendedprice')}), e AS (SELECT list(edge ORDER BY edge) AS es FROM edges)"
     literals = ", ".join(f"({x!r}::DOUBLE)" for x in _LITERALS)
     found = {
         "column_profile": _sql_profile(),
         "dictionary_tokens": " UNION ALL ".join(_sql_dictionary(t, c) for t, cs in _DICTIONARY.items() for c in cs),
-        "quantile_edges": " UNION ALL ".join(_sql_edges(t, c) for t, c in _BINNED.items()),
+        "quantile_edges": " UNION ALL ".join(sql_edges(t, c) for t, c in _BINNED.items()),
         "row_bin_encode": f"{edges} SELECT CAST(CASE WHEN l_extendedprice BETWEEN es[1] AND es[-1] THEN greatest(0, len(list_filter(es, lambda x: x < l_extendedprice)) - 1) ELSE 0 END AS INTEGER) AS bin, count(*) AS rows FROM lineitem, e GROUP BY 1",
         "literal_bin_encode": f"{edges} SELECT literal, CAST(least(greatest(len(list_filter(es, lambda x: x <= literal)) - 1, 0), len(es) - 2) AS INTEGER) AS bin FROM (VALUES {literals}) v(literal), e",
         **{f"allowed_tokens_{k}": _sql_allowed_query(k) for k in _PREDICATES},
@@ -782,7 +784,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(token AS INTEGER) AS token, count(*) AS rows FROM o JOIN d ON o.p IS NOT DISTINCT FROM d.p GROUP BY 1""",
         "token_histogram": f"{_ROW_TOKENS} SELECT o_orderstatus_token, o_totalprice_token, o_orderpriority_token, count(*) AS rows FROM coded GROUP BY ALL",
         "histogram_estimates": _sql_estimates(),
-        "exact_base_counts": _sql_base_counts(),
+        "exact_base_counts": sql_base_counts(),
         "join_fragment_counts": _sql_fragments(),
         "normalized_sql_ids": _SQL_NORMAL,
         "workload_formats": _SQL_FORMATS,
@@ -796,7 +798,7 @@ def oracle_sql() -> dict[str, str]:
         "wilson_groups": _SQL_WILSON,
         "bucket_counts": _SQL_BUCKETS,
         "ecdf_q_error": _SQL_ECDF,
-        "error_ratio_histogram": _EVALUATED + _sql_histogram("v", "log10(lr)"),
+        "error_ratio_histogram": _WORST + _sql_histogram("picked", "log10(lr)"),
         "worst_tables": _SQL_WORST_TABLES,
         "runtime_pivot": _SQL_PIVOT,
         "runtime_summary": _SQL_RUNTIME_SUMMARY,
@@ -813,7 +815,7 @@ def oracle_sql() -> dict[str, str]:
         "base_join_keys": _SQL_BASE_JOINS,
         "treatment_estimates": _SQL_ESTIMATES,
     }
-    return {name: _nudged(sql) for name, sql in found.items()}
+    return {name: nudged(sql) for name, sql in found.items()}
 
 
 __all__ = ["oracle_sql", "queries"]

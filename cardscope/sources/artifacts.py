@@ -80,6 +80,15 @@ def write_failures(path: str | Path, failures: list[dict]) -> Path | None:
     return path
 
 
+def write_diagnostics(rows: DataFrame, path: str, key: str = "occurrence_id") -> DataFrame:
+    """rows with `diagnostics_path`: a folder of JSON for each row, below path, by its key; written by all tasks. For reports of
+    bounded size, as the worst queries."""
+    safe = F.regexp_replace(F.coalesce(F.col(key).cast("string"), F.lit("none")), r"[^0-9A-Za-z._-]", "_")
+    named = rows.withColumn("__folder", safe)
+    named.write.mode("overwrite").partitionBy("__folder").json(path)
+    return named.withColumn("diagnostics_path", F.concat(F.lit(f"{path}/__folder="), "__folder")).drop("__folder")
+
+
 def template_map(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, "template string, label string, query_id string")
 
@@ -153,9 +162,9 @@ class Registry:
             return f"{schema}.{table}"
         found = [n for n in self.folders if n.partition(".")[2] == table]
         if len(found) > 1:
-            raise KeyError(f"Ambiguous model lookup for {table!r}: use a schema-qualified name")
+            raise KeyError(f"{table} has models in {', '.join(sorted(found))}; name the schema")
         if not found:
-            raise KeyError(f"No model registered for table {table!r}")
+            raise KeyError(f"{table} has no model below {self.base}")
         return found[0]
 
     def has_model(self, table: str, schema: str | None = None) -> bool:

@@ -151,7 +151,7 @@ def test_workload_helpers(spark):
     lines = ["SELECT COUNT(*) FROM badges as b;||0||79851", "SELECT COUNT(*) FROM users as u, badges as b WHERE b.UserId = u.Id;||0", "79851||SELECT COUNT(*) FROM badges as b, users as u WHERE b.UserId = u.Id;", "x"]
     df = spark.createDataFrame([(x,) for x in lines], "l string")
     assert [r[0] for r in df.select(workload.detect_format(F.col("l"))).collect()] == ["single_table", "subquery", "complete", None]
-    assert one(spark, workload.label(F.lit(" stats_CEB.sql "), F.lit(1)), workload.normalize_label(F.lit("--")), workload.normalize_sql(F.lit(" SELECT\n 1 ;; "))) == ("stats_ceb_sql_00001", "workload", "select 1")
+    assert one(spark, workload.label(F.lit(" My-Load.sql "), F.lit(1)), workload.normalize_label(F.lit("--")), workload.normalize_sql(F.lit(" SELECT\n 1 ;; "))) == ("my_load_sql_00001", "workload", "select 1")
     w = spark.createDataFrame([("a", "1", 3), ("b", "2", 1), ("c", "9", 2)], "label string, query_id string, line_number int")
     t = spark.createDataFrame([("T1", "a", None), ("T2", None, "1"), ("T3", None, "2")], "template string, label string, query_id string")
     assert {r["label"]: r["template"] for r in workload.with_template(w, t, "none").collect()} == {"a": "T1", "b": "T3", "c": "none"}

@@ -197,7 +197,7 @@ def test_reports_registry_and_runs(spark, tmp_path):
     (tmp_path / "models" / "s1" / "half").mkdir()
     r = artifacts.Registry.load(tmp_path / "models")
     assert r.tables == ["s1.orders", "s2.orders"] and not r.has_model("orders") and r.has_model("orders", "s1")
-    with pytest.raises(KeyError, match="Ambiguous"):
+    with pytest.raises(KeyError, match="name the schema"):
         r.resolve("orders")
     got = r.estimate("s1.orders", [Predicate("a", "=", value=1)])
     assert 0 < got.cardinality < 10 and r.estimate("s1.orders", [Predicate("a", "=", value=1)]) is got
