@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Leaves of the universe: 2**BITS. They cover the values from 1 to 2**OCTAVES; larger ones count at the last leaf.
-BITS, OCTAVES = 18, 64
+#: Leaves of the universe: 2**BITS. They cover the values from 1 to 2**OCTAVES, and so every finite double of at least 1.
+BITS, OCTAVES = 20, 1024
 #: Deterministic bound of the rank error as a share of the rows of a group.
 RANK_ERROR = 0.001
-#: Relative error of a value by quantisation: leaves are 2**-(BITS - 6) octaves apart.
+#: Relative error of a value by quantisation: leaves are 2**-(BITS - 10) octaves apart.
 VALUE_ERROR = 2.0 ** (OCTAVES / 2**BITS) - 1
 _FLUSH_ROWS = 200_000
 

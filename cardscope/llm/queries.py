@@ -60,6 +60,12 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture with unequal chances: of the documents of a source, one of known language is twice as likely as any other."""
+    documents = table(spark, d, "documents").withColumn("weight", F.when(F.col("lang").isNull(), 1.0).otherwise(2.0))
+    return mixture.mixture(documents, table(spark, d, "mix_targets"), weight_col="weight")[0]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_records(table(spark, d, "documents"))
 
@@ -69,7 +75,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_statements, p3_percentiles, p3_digests, p6_found, p6_passages, p7_mixture, p7_shares, p8_found, p8_passages)}
+    return {f.__name__: f for f in (p1_found, p1_statements, p3_percentiles, p3_digests, p6_found, p6_passages, p7_mixture, p7_shares, p7_weighted, p8_found, p8_passages)}
 
 
 _CLASSES = """
@@ -78,7 +84,7 @@ WITH records AS (
   UNION ALL SELECT 'base_queries', occurrence_key, run_id, normalized_sql FROM base_queries
 ), tokens AS (
   SELECT record_set, key, run_id, trim(array_to_string(list_transform(string_split(statement, ''''), lambda p, i:
-    CASE WHEN i % 2 = 0 THEN hex(p) ELSE regexp_replace(regexp_replace(lower(p), '[\\s\\x{00A0}"();]+', ' ', 'g'), ' ?([<>=.,:*]+) ?', '\\1', 'g') END), '''')) AS t
+    CASE WHEN i % 2 = 0 THEN hex(p) ELSE regexp_replace(regexp_replace(lower(p), '[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"();]+', ' ', 'g'), ' ?([<>=.,:*]+) ?', '\\1', 'g') END), '''')) AS t
   FROM records
 ), parts AS (
   SELECT record_set, key, run_id, t, regexp_extract(t, '^select ?(.*?) ?from (.*?)(?: where (.*))?$', ['h', 'r', 'c']) AS x FROM tokens
@@ -117,20 +123,20 @@ WITH once AS (
   SELECT query_template, "table", run_day, 'learned_q_error' AS metric, learned_q_error AS x FROM once
   UNION ALL SELECT query_template, "table", run_day, 'native_q_error', native_q_error FROM once
 ), leaves AS (
-  SELECT query_template, "table", run_day, metric, CAST(least(floor(ln(x) / ln(2.0) * 4096 + 1e-9), 262143) AS INTEGER) AS leaf
+  SELECT query_template, "table", run_day, metric, CAST(least(floor(ln(x) / ln(2.0) * 1024 + 1e-9), 1048575) AS INTEGER) AS leaf
   FROM measured WHERE NOT isnan(x) AND x >= 1 AND isfinite(x)
 )"""
-#: Groups of up to 18,000 rows aren't compressed at a rank error of 0.001, so the result is the exact percentile of the leaves.
+#: Groups of up to 20,000 rows aren't compressed at a rank error of 0.001, so the result is the exact percentile of the leaves.
 _P3_PERCENTILES = f"""{_LEAVES}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_template, "table", metric ORDER BY leaf) AS r,
          count(*) OVER (PARTITION BY query_template, "table", metric) AS n FROM leaves
 )
 SELECT query_template, "table", metric, n,
-       {", ".join(f"round(pow(2.0, max(CASE WHEN r = greatest(ceil({q} * n - 1e-9), 1) THEN leaf END) / 4096.0), 6) AS {c}" for c, q in _FRACTIONS.items())},
-       0.001::DOUBLE AS rank_error, pow(2.0, 1 / 4096.0) - 1 AS value_error
+       {", ".join(f"round(pow(2.0, max(CASE WHEN r = greatest(ceil({q} * n - 1e-9), 1) THEN leaf END) / 1024.0), 6) AS {c}" for c, q in _FRACTIONS.items())},
+       0.001::DOUBLE AS rank_error, pow(2.0, 1 / 1024.0) - 1 AS value_error
 FROM ranked GROUP BY query_template, "table", metric, n"""
 _P3_DIGESTS = f"""{_LEAVES}
-SELECT query_template, "table", run_day, metric, CAST(leaf + 262144 AS INTEGER) AS node, count(*) AS n FROM leaves GROUP BY ALL"""
+SELECT query_template, "table", run_day, metric, CAST(leaf + 1048576 AS INTEGER) AS node, count(*) AS n FROM leaves GROUP BY ALL"""
 
 
 def oracle_sql() -> dict[str, str]:

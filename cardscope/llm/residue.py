@@ -1,9 +1,12 @@
 """Template residue and error-page text, by positive-unlabelled naive Bayes.
 
-A record is cut into passages. Passages whose form alone proves them (an error envelope, an unmistakable placeholder) are
-trusted positives; all others are unlabelled. Naive Bayes is fitted to both by expectation-maximisation: unlabelled passages
-start as negative and are re-weighted by their posterior in every round. Every passage of every record is then scored, and
-a record is residue when one of its passages is.
+A record is cut into passages. Passages of a few generic forms (an HTTP status, an error payload, a call to enable JavaScript, a
+placeholder of a template language, Latin filler, one word over and over) are trusted positives; all others are unlabelled. Naive
+Bayes is fitted to both by expectation-maximisation: unlabelled passages start as negative and are re-weighted by their
+posterior in every round. Every passage of every record is then scored, and a record is residue when one of its passages is.
+
+In the first round every unlabelled passage counts as negative. One that stands word for word in several records would there outvote
+the words it shares with others, so its features that no other passage has are left out of its first odds.
 
 Text in quotation marks, back-ticks or code is spoken about, not shown; it is replaced by a mark before anything else, which
 makes its passage one that tells: a known negative of the fit, and residue only by its form. A whole line that is a payload
@@ -26,7 +29,11 @@ from cardscope.session import cut_lineage
 #: Hashed features of the classifier; at most so many weights are broadcast.
 FEATURES = 1 << 18
 #: Documents that the classifier is fitted to, at most; which ones is decided by a hash of the whole text.
-FIT_DOCUMENTS = 20_000
+FIT_DOCUMENTS = 40_000
+#: Occurrences from which a passage counts as repeated.
+REPEATED = 3
+#: Passages of one document that the classifier is fitted to, at most; all are scored.
+FIT_PASSAGES = 500
 #: Log odds beyond which a passage is residue, and the largest prior odds that a fit may find.
 THRESHOLD, MOST_PRIOR = 3.0, 0.25
 
@@ -42,15 +49,11 @@ _PLACEHOLDERS = (
     ("blank", r"(?<!\w)_{4,}(?!\w)"),
 )
 _SURE = ("curly", "dollar", "hash", "erb", "block", "at", "under", "square", "merge", "escaped", "pyformat", "smarty", "insert", "here", "angles", "dollars", "percents")
-# Forms of error messages and script notices that nothing but residue has, in whole passages.
-_ENVELOPES = (
-    r"^status=\d+ reason=.+ trace=\w+$", r"^http \d{3}\b", r"^(?:error|erreur|fehler) \d{3}\b", r"^<error><code>", r'^\{"error"', r"^<html><body>", r"^we are sorry: .+ try again in \d+",
-    r"^[^.§]{0,60}\((?:fehler |error |erreur )?[45]\d\d\)\.?$", r"^[45]\d\d (?:not found|bad gateway|service unavailable|forbidden|internal server error|gateway time-?out)\b",
-    r"^(?:please|you (?:must|need to)|to proceed, ?|notice: ?|sorry!? ?)\s*(?:enable|activate|allow|turn on|unblock|switch on) (?:javascript|js|scripts?|scripting|client-side code|cookies)\b",
-    r"^(?:bitte aktivieren sie (?:javascript|es)|(?:veuillez )?activer? javascript|active javascript|active los scripts)\b", r"^dies\w* \w+ ben[oö]tigt javascript", r"^(?:this|the) \w+ (?:needs|requires|works best with) (?:java)?scripts?\b",
-    r"^if nothing happens, (?:switch|turn) on", r"^javascript is disabled\b", r"^traceback \(most recent call last\)", r"^fatal error: ",
-    r"^(?:internal server error|access denied|page not found|not found|forbidden|bad gateway|service unavailable|gateway time-?out|request time-?out|too many requests)\.?$",
-    r"^(?:(?:tbd|test|blah|xxx)\s*){3,}", r"^text goes here\b", r"^lorem ipsum dolor\b", r"^this is a placeholder\b",
+# Generic forms that are trusted, from the start of a passage: status codes, payloads, script notices, repetition.
+_FORMS = (
+    r"(?:http|error|fehler|erreur|status)\W{0,2}(?:code\W{0,2})?[45]\d\d\b", r"[45]\d\d\W{1,3}(?:bad request|unauthorized|forbidden|not found|internal server error|bad gateway|service unavailable|gateway time-?out)\W*$",
+    r"(?:internal server error|bad gateway|service unavailable|gateway time-?out)\W*$", r'\{\s*"error"\s*:', r"<error\b", r"<html\b", r"traceback \(most recent call last\)", r"fatal error:",
+    r"(?:(?:please|you must|you need to|bitte|veuillez|por favor),? )?(?:enable|activate|allow|turn on|switch on|aktivieren sie|activer|activez|active|activar) (?:java)?script(?:s|ing)?\b", r"javascript is (?:disabled|required)\b", r"(\w+)(?:\W+\1){2,7}\b(?!\W+\1\b)",
 )
 _CHAT = re.compile(r"^\s*(?:\[\d{1,2}:\d{2}\]\s*\w+:\s*|[-*>]\s+|#+\s+|\*\*)")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
@@ -58,12 +61,12 @@ _QUOTES = re.compile(r'`[^`\n]*`|"[{<].*[}>]"|\'[{<].*[}>]\'|"[^"\n]*"|“[^”\
 _PAYLOAD = re.compile(r"^\s*(?:\{\"|<\w|<!|Traceback|  File \"|KeyError)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])")
 _MARKS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _PLACEHOLDERS), re.I)
-_TRUSTED = re.compile("|".join(f"(?:{e[1:]})" for e in _ENVELOPES), re.I)
-_MAY_MARK, _MAY_QUOTE = re.compile(r"[{$#@%]|__|<[<%]|[<\[]\W?[^\W\d_]|\[\[|\*\||&lt;|xxx", re.I), re.compile("[`\"'“„«]")
+_TRUSTED = re.compile("|".join(_FORMS), re.I)
+_MAY_MARK, _MAY_QUOTE = re.compile(r"[{$#@%]|__|[<\[][^\]>\n]|\*\||&lt;|xxx", re.I), re.compile("[`\"'“„«]")
 # Beginnings of the words of the usual Latin filler text.
 _FILLER = frozenset("lore ipsu dolo sit amet cons adip elit sed eius temp inci labo magn aliq enim mini veni quis nost exer ulla nisi comm duis aute irur repr volu veli esse cill fugi null pari exce sint occa cupi non proi sunt culp qui offi dese moll anim est ut et in ex ea id".split())
 _WORD = re.compile(r"[^\W\d_]+|\d+|§\w+")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT = re.compile(r"[1-9]")
 
 
 def passages_of(text: str | None) -> list[str]:
@@ -85,18 +88,14 @@ def passages_of(text: str | None) -> list[str]:
 
 
 def is_filler(passage: str) -> bool:
-    """Whether at least five words, seven in ten and three of the first five are Latin filler."""
-    if sum(w[:4] in _FILLER for w in _WORD.findall(passage[:80].lower())[:5]) < 3:
-        return False
+    """Whether at least five words and seven in ten are Latin filler."""
     words = _WORD.findall(passage.lower())
     return len(words) >= 5 and sum(w[:4] in _FILLER for w in words) >= 0.7 * len(words)
 
 
 def is_trusted(passage: str) -> bool:
-    """Whether the form of a passage proves it residue: an error envelope, a script notice, filler or a sure placeholder."""
-    if _TRUSTED.match(passage) or is_filler(passage):
-        return True
-    return "§" in passage and any(f"§{n}" in passage for n in _SURE) and not quotes(passage)
+    """Whether a passage has one of the generic forms: a sure placeholder, filler, a status, payload or notice. None with quotes."""
+    return not quotes(passage) and (bool(_TRUSTED.match(passage)) or is_filler(passage) or "§" in passage and any(f"§{n}" in passage for n in _SURE))
 
 
 def quotes(passage: str) -> bool:
@@ -107,12 +106,15 @@ def quotes(passage: str) -> bool:
 def _names(passage: str) -> set:
     """The features of a passage by name: words, and pairs of neighbouring words. Numbers count by their length, marks of quotes
     and code not at all."""
-    words = [w if not w.isdigit() else f"0{len(w)}" for w in _WORD.findall(passage.lower())]
-    if "§" in passage:
-        words = [w for w in words if w != "§quote" and w != "§code"]
+    words = _words(passage)
     return {*words, *zip(words, words[1:])}
 
 
+def _words(passage: str) -> list[str]:
+    words = [w if not w.isdigit() else f"0{len(w)}" for w in _WORD.findall(passage.lower())]
+    return [w for w in words if w != "§quote" and w != "§code"] if "§" in passage else words
+
+
 def _slot(name: str | tuple[str, str]) -> int:
     return zlib.crc32((name if isinstance(name, str) else " ".join(name)).encode()) % FEATURES
 
@@ -123,24 +125,31 @@ def features_of(passage: str) -> np.ndarray:
 
 
 class Scorer:
-    """Log odds of passages under fitted weights; remembers the features and the passages, but for their digits, that it met
-    last. A passage without words speaks for nothing."""
+    """Log odds of passages under fitted weights, and whether they are filler; remembers the weights of features and the verdicts
+    on passages, but for their digits, that it met last. A passage without words speaks for nothing."""
 
     def __init__(self, weights: np.ndarray, remember: int = 500_000) -> None:
         self.weights, self.prior, self.remember = weights, float(weights[-1]), remember
         self.known: dict = {}
-        self.scored: dict[str, float] = {}
+        self.judged: dict[str, tuple[float, bool]] = {}
 
-    def __call__(self, passage: str) -> float:
+    def judge(self, passage: str) -> tuple[float, bool]:
+        """(log odds, whether the passage is trusted)"""
         key = _DIGIT.sub("0", passage)
-        if key not in self.scored:
-            if len(self.scored) >= self.remember // 4:
-                self.scored.clear()
-            self.scored[key] = self._score(passage)
-        return self.scored[key]
-
-    def _score(self, passage: str) -> float:
-        total, known, names = self.prior, self.known, _names(passage)
+        if key not in self.judged:
+            if len(self.judged) >= self.remember // 4:
+                self.judged.clear()
+            words = _words(key)
+            self.judged[key] = (self._score(words), is_trusted(key))
+        score, sure = self.judged[key]
+        # of the forms, only status codes read digits
+        return score, sure or key != passage and not quotes(passage) and bool(_TRUSTED.match(passage))
+
+    def __call__(self, passage: str) -> float:
+        return self.judge(passage)[0]
+
+    def _score(self, words: list[str]) -> float:
+        total, known, names = self.prior, self.known, {*words, *zip(words, words[1:])}
         if not names:
             return -np.inf
         for name in names:
@@ -160,7 +169,8 @@ def fit(trusted: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndar
     to speak about residue, and stay negative. The feature frequencies of
     both classes are mixed with those of everything (a share `mixed`), so a feature unseen in both speaks for neither, however
     unequal the classes are, and one seen among unlabelled passages only speaks clearly against. Unlabelled passages start as
-    negative, so one that is like no other speaks against itself. Without trusted passages every weight is 0 and the prior forbids residue.
+    negative; in the first round what only one passage says counts for nothing if it occurs REPEATED times or more. Without trusted passages every weight is 0 and the
+    prior forbids residue.
     """
     weights = np.zeros(FEATURES + 1)
     if not trusted:
@@ -175,14 +185,17 @@ def fit(trusted: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndar
     total = max(every.sum(), 1.0)
 
     common = mixed * (every + 1e-3) / total
+    # a passage that stands in several records is its own only witness where no other says the same
+    own = ((np.bincount(uf, minlength=FEATURES) + (sure > 0) < 2)[uf]) & (counts[ui] >= REPEATED)
     posterior = np.zeros(len(unlabelled))
-    for _ in range(rounds):
+    for turn in range(rounds):
         mass = posterior * counts
         pos, neg = sure + np.bincount(uf, mass[ui], minlength=FEATURES), np.bincount(uf, (counts - mass)[ui], minlength=FEATURES)
         p, n = ((1 - mixed) * c / max(c.sum(), 1.0) + common for c in (pos, neg))
         weights[:-1] = np.log(p / n)
         weights[-1] = np.log(min((len(trusted) + mass.sum()) / max((counts - mass).sum(), 1.0), MOST_PRIOR))
-        odds = np.bincount(ui, weights[uf], minlength=len(unlabelled)) + weights[-1]
+        said = np.where(own, 0.0, weights[uf]) if turn == 0 else weights[uf]
+        odds = np.bincount(ui, said, minlength=len(unlabelled)) + weights[-1]
         posterior = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if told is not None:
             posterior[told] = 0.0
@@ -195,22 +208,24 @@ def score(passage: str, weights: np.ndarray) -> float:
 
 
 def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> np.ndarray:
-    """Weights fitted on the distinct passages of at most about fit_documents documents, chosen by a hash of the text."""
+    """Weights fitted on the distinct passages of at most about fit_documents documents, chosen by a hash of the text. Passages
+    that differ in case or digits only are one. Those of one document are at most FIT_PASSAGES, so the fit is bounded."""
     texts = documents.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
     total = texts.count()
     if total > fit_documents:
-        part = F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1_000_003))
-        texts = texts.where(part < int(1_000_003 * fit_documents / total))
+        # the hash is spread over 2^53 values, so any number of documents leaves a share of it
+        part = F.shiftrightunsigned(F.xxhash64("text", F.lit("fit")), 11)
+        texts = texts.where(part < int(2**53 * fit_documents / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [p for t in batch.column(0) for p in passages_of(t.as_py())]
-            cols = [pa.array([_DIGIT.sub("0", p) for p in found], pa.string()), pa.array([is_trusted(p) for p in found], pa.bool_())]
+            found = [p for t in batch.column(0) for p in passages_of(t.as_py())[:FIT_PASSAGES]]
+            cols = [pa.array([_DIGIT.sub("0", p).lower() for p in found], pa.string()), pa.array([is_trusted(p) for p in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["passage", "trusted"])
 
-    seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage", "trusted").count().orderBy("passage", "trusted").toPandas()
+    seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage").agg(F.count("*").alias("count"), F.bool_or("trusted").alias("trusted")).orderBy("passage").toPandas()
     trusted, rest, counts, told = [], [], [], []
-    for p, sure, n in zip(seen["passage"], seen["trusted"], seen["count"]):
+    for p, n, sure in zip(seen["passage"], seen["count"], seen["trusted"]):
         if sure:
             trusted += [features_of(p)] * min(int(n), 3)
         else:
@@ -235,7 +250,7 @@ def residue_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             at, best, sure, which = [], [], [], []
             for n, text in enumerate(batch.column(1)):
-                judged = [(scorer(p), is_trusted(p), p) for p in passages_of(text.as_py())]
+                judged = [(*scorer.judge(p), p) for p in passages_of(text.as_py())]
                 judged = [j for j in judged if j[1] or j[0] > threshold and not quotes(j[2])]
                 if judged:
                     top = max(judged, key=lambda j: (j[1], j[0]))

@@ -54,3 +54,11 @@ def test_statements_where_order_or_parentheses_matter_stay_apart(spark):
     canon = {r["key"]: r["c"] for r in canonical_statement(df, "sql", "c").collect()}
     assert len(set(canon.values())) == 5 or canon[1] == canon[3]
     assert not any((a, b) in found(spark, rows) for a, b in ((1, 2), (4, 5)))
+
+
+def test_white_space_of_unicode_makes_no_difference(spark):
+    plain = "select count(*) from users as u, posts as p where u.id > 5 and p.owneruserid = u.id and u.name = 'a b'"
+    blanks = [" ", "　", " ", " ", " ", " ", "\x85", "\x0b"]
+    rows = [(i, "r", plain.replace(" from", f"{b}from").replace("u.id > 5", f"u.id{b}>{b}5").replace(" as u", f"{b}As{b}u")) for i, b in enumerate([" ", *blanks])]
+    rows.append((99, "r", plain.replace("'a b'", "'a b'")))  # inside a text value it does
+    assert found(spark, rows) == [(0, i) for i in range(1, len(blanks) + 1)]

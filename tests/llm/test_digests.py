@@ -63,3 +63,11 @@ def test_one_group_in_many_batches(spark):
     assert merged(parts, ["g"], 0.01).count() <= 3 * BITS / 0.01
     p = percentiles(parts, ["g"], {"p50": 0.5}).first()["p50"]
     assert abs(p - 1500) <= 0.01 * 3000 + 2
+
+
+def test_values_of_any_size_have_their_own_leaf(spark):
+    rows = [("a", "d", x, None) for x in (1.0, 2.0**63, 2.0**65, 1e30, 1e300)] + [("b", "d", 1e300, None), ("b", "d", float("inf"), 0.5)]
+    got = {r["g"]: r for r in percentiles(digests(table(spark, rows), ["g", "day"], ["x"]), ["g"], {"p50": 0.5, "p99": 0.99}).collect()}
+    assert got["a"]["n"] == 5 and got["b"]["n"] == 1
+    for answer, x in ((got["a"]["p50"], 2.0**65), (got["a"]["p99"], 1e300), (got["b"]["p50"], 1e300)):
+        assert x / (1 + 2 * VALUE_ERROR) <= answer <= x * (1 + 1e-9)

@@ -70,3 +70,37 @@ def test_nulls_empties_repeats_ties_and_long_texts(spark):
     assert found(spark, docs[:6] + docs[7:], items) == [(d, i) for d in (4, 5) for i in (1, 2)]
     assert {r for r in map(tuple, leaked_items(spark.createDataFrame([(*docs[6], "", 0)], DOC), spark.createDataFrame([(1, item, None, 0)], ITEM)).collect())} == {(None, 1)}
     assert found(spark, [], items) == [] and found(spark, docs[:2], []) == []
+
+
+def test_one_scan_for_many_blocks_and_many_hits(spark, monkeypatch):
+    import time
+
+    from cardscope.llm import leakage
+
+    docs, items = corpus(2)
+    want = brute(docs, items)
+    monkeypatch.setattr(leakage, "KEPT", 2)  # in the driver: documents are then gathered in chunks
+    d = spark.createDataFrame([(*x, "clash", 0) for x in docs], DOC)
+    i = spark.createDataFrame([(*x, None, 0) for x in items], ITEM)
+    found_ = leaked_items(d, i, block_chars=300)
+    assert found_._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, found_.collect())) == want
+    item = " ".join(WORDS[:12])
+    automaton = ItemAutomaton([(1, "t", item), (2, "t", item.upper())])
+    took = []
+    for n in (1000, 8000):
+        began = time.time()
+        got = automaton.passages((item + " and then ") * n)
+        took.append(time.time() - began)
+        assert len(got) == 2 * n
+    assert took[1] < 25 * max(took[0], 0.01)
+
+
+def test_short_answers_stand_near_their_item(spark):
+    item = " ".join(WORDS[:15])
+    docs = [(1, f"{item} and the answer is Forty-Two rows"), (2, "forty two"), (3, item + " x" * 50 + " forty two"), (4, "Forty two: " + item)]
+    d = spark.createDataFrame([(*x, "clash", 0) for x in docs], DOC)
+    i = spark.createDataFrame([(1, item, "forty two", 0), (2, None, "forty two", 0)], ITEM)
+    rows = leaked_passages(d, i).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["field"]) for r in rows) == [(1, 1, "answer"), (1, 1, "item_text"), (3, 1, "item_text"), (4, 1, "answer"), (4, 1, "item_text")]
+    assert [docs[0][1][r["first_char"] : r["end_char"]] for r in rows if (r["doc_id"], r["field"]) == (1, "answer")] == ["Forty-Two"]

@@ -35,12 +35,19 @@ def test_expectation_maximisation_finds_unlabelled_residue_by_its_words():
     assert not any(map(is_trusted, hidden))
 
 
-def test_held_out_accuracy(spark):
-    shown = [f"{a} {b} {c}" for a in ("Please", "You must", "To proceed,", "Notice:") for b in ("enable", "allow", "unblock", "turn on") for c in ("JavaScript to see the plan.", "scripts and reload.", "scripting for the full report.")]
-    w = fit([features_of(p) for p in shown[::2]], [features_of(p) for p in CLEAN[::2]])
+def test_templates_never_seen_and_no_form_are_found_by_their_words(spark):
+    """Held out: no form matches these templates, and none of them is among the fitted texts."""
+    errors = [f"Error {c}: {w}." for c in (500, 502, 503) for w in ("service unavailable", "bad gateway", "the server could not complete your request", "please try again later")]
+    scripts = [f"Please enable JavaScript {t}" for t in ("to view this page.", "in your browser and reload.", "to load the report.", "and cookies to continue.")]
+    fillers = ["Lorem ipsum dolor sit amet consectetur.", "tbd tbd tbd content to be added", "{{title}} sample paragraph goes here", "Dear {{name}}, sample text goes here"]
+    telling = [f"We saw that the {w} for {t} rows came back." for w in ("service", "request", "page", "script") for t in ("users", "posts", "votes")]
+    w = fit_on(corpus(spark, (errors + scripts + fillers) * 3 + CLEAN + telling))
     score = Scorer(w)
-    good = sum(score(p) > 0 for p in shown[1::2]) + sum(score(c) < 0 for c in CLEAN[1::2])
-    assert good / (len(shown[1::2]) + len(CLEAN[1::2])) > 0.97
+    held = ["Service unavailable, please try again later.", "The server could not complete your request.", "Cookies and JavaScript are needed to continue in your browser.", "Sample paragraph, content to be added.", "Sample text goes here"]
+    assert not any(map(is_trusted, held))
+    assert [p for p in held if score(p) <= 0] == []
+    clean = [f"The optimizer joins {t} with {u} over {n} rows of the plan." for t in ("tags", "votes") for u in ("badges", "links") for n in range(20)]
+    assert [p for p in clean + telling if score(p) > 0] == []
 
 
 def test_no_seeds_no_residue_and_bounded_fit(spark):
