@@ -19,6 +19,7 @@ FORMATS = {"complete": ("count", "sql"), "single_table": ("sql", "id", "count"),
 TABLES = ("users", "badges", "comments", "posts", "posthistory", "postlinks", "votes", "tags")
 
 _BLANK = r"[\s ﻿]"
+_BLANKS = " \t\n\x0b\f\r\u00a0\ufeff"
 _QUOTED = r"""'[^']*+'|"[^"]*+\""""
 _FIELD = rf"((?:{_QUOTED}|[^'\"|\u0001]++|\|(?!\|))*+)(?:\|\||\u0001)"
 _NAME = r"[a-z_][a-z0-9_]*+"
@@ -28,7 +29,7 @@ _HEAD = rf"^select count ?\( ?\* ?\) from ({_RELATION}(?: ?, ?{_RELATION})*+)(?:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_BLANK}++|{_BLANK}++$", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -40,14 +41,16 @@ def _odd(c: Column) -> Column:
 
 
 def _separator_inside(line: Column) -> Column:
-    return F.exists(F.regexp_extract_all(line, F.lit("'[^']*+'"), 0), lambda p: p.contains("||"))
+    return line.contains("'") & F.exists(F.regexp_extract_all(line, F.lit("'[^']*+'"), 0), lambda p: p.contains("||"))
 
 
 def unclosed_quote(line: Column) -> Column:
     """Whether a single or double quote is opened and never closed."""
+    # without double quotes the number of the others decides; only lines that have some are looked at piece by piece
+    singles = F.length(line) - F.length(F.replace(line, F.lit("'"), F.lit("")))
     left = F.regexp_replace(line, _QUOTED, "")
     pieces = F.regexp_extract_all(line, F.lit(_QUOTED), 0)
-    return left.rlike("['\"]") | F.exists(pieces, lambda p: p.startswith('"') & _odd(p))
+    return F.when(~line.contains('"'), singles % 2 == 1).otherwise(left.rlike("['\"]") | F.exists(pieces, lambda p: p.startswith('"') & _odd(p)))
 
 
 def quoted_fields(line: Column) -> Column:
@@ -111,7 +114,7 @@ def classify_lines(df: DataFrame, line_col: str = "raw_line", number_col: str =
     twice stay; existing columns with those names are replaced.
     """
     line, kind = F.col("__line"), F.col(format_col)
-    rows = df.withColumn("__line", F.regexp_replace(F.col(line_col), r"[\r\n]", " ")).where(~is_blank(F.col("__line")))
+    rows = df.where(~is_blank(F.col(line_col))).withColumn("__line", F.translate(F.col(line_col), "\r\n", "  "))
     for name, fields in FORMATS.items():
         parsed = F.col(f"__{name}")
         rows = rows.withColumn(f"__{name}", F.when(kind == name, _permissive(line, fields)))
