@@ -43,11 +43,14 @@ _PLACEHOLDERS = (
     ("erb", r"<%=?[^%\n]{1,60}%>"), ("block", r"\{%[^%\n]{1,60}%\}"), ("at", r"@@\w+@@"), ("under", r"(?<!\w)__[A-Za-z]\w*?__(?!\w)"),
     ("square", r"\[\[[^\[\]\n]{1,60}\]\]"), ("angles", r"<<[^<>\n]{1,60}>>"), ("merge", r"\*\|\w+\|\*"), ("escaped", r"&lt;[^&\n]{1,60}&gt;"),
     ("percents", r"(?<![\w%])%%?[A-Za-z_]\w*%%?(?!\w)"), ("pyformat", r"%\(\w+\)[sd]"), ("smarty", r"\{\$\w+\}"),
-    ("insert", r"[\[<](?:insert|insertar|ins[eé]rer|todo|tbd|your|nombre|nom|name|date|title|column|placeholder)\b[^\[\]<>\n]{0,60}[\]>]"),
-    ("here", r"[\[<][^\[\]<>\n]{1,60}\b(?:goes here|here|eintragen|einf[uü]gen|aqu[ií]|ici)[\]>]"),
     ("brace", r"(?<![\w\\$#%{])\{[A-Za-z_]\w*\}(?!\})"), ("number", r"(?<![\w\\$#%{])\{\d\}(?!\})"), ("printf", r"(?<![\w%])%[sd](?!\w)"), ("crosses", r"(?<!\w)[Xx]{3,}(?!\w)"),
     ("blank", r"(?<!\w)_{4,}(?!\w)"),
 )
+# Slots that say what to put there, between brackets.
+_SLOT_WORDS = (
+    ("insert", r"(?:insert|insertar|ins[eé]rer|todo|tbd|your|nombre|nom|name|date|title|column|placeholder)\b[^\[\]<>\n]{0,60}"),
+    ("here", r"[^\[\]<>\n]{1,60}\b(?:goes here|here|eintragen|einf[uü]gen|aqu[ií]|ici)"),
+)
 _SURE = ("curly", "dollar", "hash", "erb", "block", "at", "under", "square", "merge", "escaped", "pyformat", "smarty", "insert", "here", "angles", "dollars", "percents")
 # Generic forms that are trusted, from the start of a passage: status codes, payloads, script notices, repetition.
 _FORMS = (
@@ -62,13 +65,19 @@ _PAYLOAD = re.compile(r"^\s*(?:\{\"|<\w|<!|Traceback|  File \"|KeyError)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\s])")
 _MARKS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in _PLACEHOLDERS), re.I)
 _TRUSTED = re.compile("|".join(_FORMS), re.I)
-_MAY_MARK, _MAY_QUOTE = re.compile(r"[{$#@%]|__|[<\[][^\]>\n]|\*\||&lt;|xxx", re.I), re.compile("[`\"'“„«]")
+_SLOTS = re.compile(r"[\[<](?:" + "|".join(f"(?P<{n}>{p})" for n, p in _SLOT_WORDS) + r")[\]>]", re.I)
+# how placeholders begin; without regard to case a search is far slower, so both cases are named
+_MAY_MARK, _MAY_QUOTE = re.compile(r"\{|\$[{(A-Za-z_]|%[%A-Za-z_(]|@@|__|<[<%]|\[\[|\*\||&[lL][tT];|[xX]{3}"), re.compile("[`\"'“„«]")
 # Beginnings of the words of the usual Latin filler text.
 _FILLER = frozenset("lore ipsu dolo sit amet cons adip elit sed eius temp inci labo magn aliq enim mini veni quis nost exer ulla nisi comm duis aute irur repr volu veli esse cill fugi null pari exce sint occa cupi non proi sunt culp qui offi dese moll anim est ut et in ex ea id".split())
 _WORD = re.compile(r"[^\W\d_]+|\d+|§\w+")
 _DIGIT = re.compile(r"[1-9]")
 
 
+def _marked(m: re.Match) -> str:
+    return f" §{m.lastgroup} "
+
+
 def passages_of(text: str | None) -> list[str]:
     """Sentences of the lines of a text, with quoted text replaced by §quote, code by §code and placeholders by §<notation>."""
     if not text:
@@ -76,26 +85,34 @@ def passages_of(text: str | None) -> list[str]:
     out = []
     text = text.replace("\xa0", " ")
     for line in (_FENCE.sub("\n§code\n", text) if "```" in text else text).split("\n"):
-        line = _CHAT.sub("", line).strip()
+        line = line.strip()
+        if line and line[0] in "[-*>#":
+            line = _CHAT.sub("", line).strip()
         if not line:
             continue
         if _MAY_QUOTE.search(line) and not _PAYLOAD.match(line):
             line = _QUOTES.sub(" §quote ", line)
-        if _MAY_MARK.search(line) and not line.startswith("<html"):
-            line = _MARKS.sub(lambda m: f" §{m.lastgroup} ", line)
+        if not line.startswith("<html"):
+            if ("[" in line or "<" in line) and _SLOTS.search(line):
+                line = _SLOTS.sub(_marked, line)
+            if _MAY_MARK.search(line):
+                line = _MARKS.sub(_marked, line)
         out += [p.strip() for p in _SENTENCE.split(line) if p.strip()]
     return out
 
 
-def is_filler(passage: str) -> bool:
-    """Whether at least five words and seven in ten are Latin filler."""
-    words = _WORD.findall(passage.lower())
+def is_filler(words: list[str]) -> bool:
+    """Whether at least five words and seven in ten are Latin filler; words in lower case."""
     return len(words) >= 5 and sum(w[:4] in _FILLER for w in words) >= 0.7 * len(words)
 
 
-def is_trusted(passage: str) -> bool:
+def is_trusted(passage: str, words: list[str] | None = None) -> bool:
     """Whether a passage has one of the generic forms: a sure placeholder, filler, a status, payload or notice. None with quotes."""
-    return not quotes(passage) and (bool(_TRUSTED.match(passage)) or is_filler(passage) or "§" in passage and any(f"§{n}" in passage for n in _SURE))
+    if quotes(passage):
+        return False
+    if _TRUSTED.match(passage) or "§" in passage and any(f"§{n}" in passage for n in _SURE):
+        return True
+    return is_filler(_words(passage) if words is None else words)
 
 
 def quotes(passage: str) -> bool:
@@ -134,25 +151,27 @@ class Scorer:
         self.judged: dict[str, tuple[float, bool]] = {}
 
     def judge(self, passage: str) -> tuple[float, bool]:
-        """(log odds, whether the passage is trusted)"""
+        """(log odds, whether the passage is trusted); one that quotes tells, whatever its words."""
+        if quotes(passage):
+            return -np.inf, False
         key = _DIGIT.sub("0", passage)
-        if key not in self.judged:
+        found = self.judged.get(key)
+        if found is None:
             if len(self.judged) >= self.remember // 4:
                 self.judged.clear()
             words = _words(key)
-            self.judged[key] = (self._score(words), is_trusted(key))
-        score, sure = self.judged[key]
+            found = self.judged[key] = (self._score(words), is_trusted(key, words))
         # of the forms, only status codes read digits
-        return score, sure or key != passage and not quotes(passage) and bool(_TRUSTED.match(passage))
+        return found if found[1] or key == passage else (found[0], bool(_TRUSTED.match(passage)))
 
     def __call__(self, passage: str) -> float:
         return self.judge(passage)[0]
 
     def _score(self, words: list[str]) -> float:
-        total, known, names = self.prior, self.known, {*words, *zip(words, words[1:])}
-        if not names:
+        if not words:
             return -np.inf
-        for name in names:
+        total, known = self.prior, self.known
+        for name in {*words, *zip(words, words[1:])}:
             w = known.get(name)
             if w is None:
                 if len(known) >= self.remember:
@@ -251,7 +270,7 @@ def residue_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
             at, best, sure, which = [], [], [], []
             for n, text in enumerate(batch.column(1)):
                 judged = [(*scorer.judge(p), p) for p in passages_of(text.as_py())]
-                judged = [j for j in judged if j[1] or j[0] > threshold and not quotes(j[2])]
+                judged = [j for j in judged if j[1] or j[0] > threshold]
                 if judged:
                     top = max(judged, key=lambda j: (j[1], j[0]))
                     at.append(n), best.append(top[0]), sure.append(top[1]), which.append(top[2])

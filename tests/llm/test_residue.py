@@ -67,3 +67,10 @@ def test_nulls_empties_repeats_long_texts_and_exclusion(spark):
 
 def test_passages_hide_quotes_and_mark_placeholders():
     assert passages_of("[10:20] bot: He said \"stop. now\" twice. Value: {{ x }}.") == ["He said  §quote  twice.", "Value:  §curly ."]
+
+
+def test_slots_of_any_beginning_are_marked():
+    for slot in ("[2-3 sentences here]", "<3 items here>", "[1 short example goes here]", "[insert name]", "<Your title>"):
+        assert is_trusted(passages_of(f"Summary: {slot} done")[0]), slot
+    for plain in ("x < 5 and y > 3", "[10:20] was the time", "a[i] = b[j]", "5% of rows", "C# and F#", "rows #3"):
+        assert "§" not in passages_of(plain)[0], plain
