@@ -23,13 +23,14 @@ BUCKETS = 4096
 
 
 def group_percentiles(
-    df: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]], plain: list[Column] | None = None, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT,
+    df: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]], plain: list[Column] | None = None, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT, most: int | None = None,
 ) -> DataFrame:
     """One row per group (nulls in a key form a group): keys, the plain aggregates, and each wanted percentile.
 
     wanted: (name, value column, fraction). A percentile between two ranks is interpolated linearly; nulls are left out, and a
     group without values has null. Values must be finite. Ties and repeated rows count as often as they occur. hot: the keys
-    to treat as hot, a bounded table; found from hot_rows and max_hot if not given. Without keys the whole table is a group,
+    to treat as hot, a bounded table; found from hot_rows and max_hot if not given. most: a number of rows that no group exceeds, where
+    it is known; up to hot_rows there are then no hot keys to look for. Without keys the whole table is a group,
     which is always selected, never gathered.
     """
     plain = plain or []
@@ -48,6 +49,8 @@ def group_percentiles(
         one = df.withColumn("__all", F.lit(True))
         rest = one.groupBy("__all").agg(*plain) if plain else one.select("__all").limit(1)
         return _with_selected(one, rest, ["__all"], wanted).drop("__all")
+    if hot is None and most is not None and most <= hot_rows:
+        return together(df)
     hot = (hot_keys(df, keys, hot_rows, max_hot) if hot is None else hot).select(*keys)
     if hot.isEmpty():
         return together(df)

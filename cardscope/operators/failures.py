@@ -63,19 +63,29 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return first.select("__first.*")
 
 
+def _firsts(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The first row of each statement. One column of numbers as order names rows; their smallest are found by hash and rows
+    come by it, not by statement, so a frequent statement is no hot key."""
+    if len(order) == 1 and dict(rows.dtypes)[order[0]] in ("int", "bigint"):
+        first = rows.groupBy("normalized_sql_id").agg(F.min(order[0]).alias("__first"))
+        return rows.join(first.select("__first"), F.col(order[0]) == F.col("__first"), "left_semi")
+    return keep_first(rows, "normalized_sql_id", order)
+
+
 SECTIONS = ("all_workload_occurrences", "unique_normalized_sql", "filtered_workload_occurrences", "unique_filtered_sql", "unfiltered_full_table_cases")
 
 
 def section_summary(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Error summaries of five overlapping sections of the valid rows: all, one per statement, filtered, one per filtered
-    statement, unfiltered. `order` decides which row stands for a statement. Sections without rows do not appear."""
+    statement, unfiltered. `order` decides which row stands for a statement, and is unique. Sections without rows do not appear."""
     order = order or ["result_id"]
     valid = rows.where("status = 'ok'").select(
         "normalized_sql_id", "is_filtered", "learned_q_error", "native_q_error", "learned_signed_error_ratio", "native_signed_error_ratio", *order
     )
     valid = cut_lineage(valid)  # read by every section and pass
     filtered = F.coalesce("is_filtered", F.lit(False))
-    parts = [valid, keep_first(valid, "normalized_sql_id", order), valid.where(filtered), keep_first(valid.where(filtered), "normalized_sql_id", order), valid.where(~filtered)]
+    most = valid.count()
+    parts = [valid, _firsts(valid, order), valid.where(filtered), _firsts(valid.where(filtered), order), valid.where(~filtered)]
     every = None
     for name, part in zip(SECTIONS, parts):
         part = part.select(F.lit(name).alias("section"), *valid.columns)
@@ -94,7 +104,7 @@ def section_summary(rows: DataFrame, order: list[str] | None = None) -> DataFram
         plain += [F.try_divide(F.count_if(r > 1 + M.EQUALITY_TOLERANCE), F.count(r)).alias(f"{p}_overestimation_rate"), F.try_divide(F.count_if(r < 1 - M.EQUALITY_TOLERANCE), F.count(r)).alias(f"{p}_underestimation_rate")]
         wanted += [(f"{p}_{n}", f"{p}_q_error", q) for n, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
         wanted.append((f"{p}_median_signed_ratio", f"{p}_signed_error_ratio", 0.5))
-    out = group_percentiles(every, ["section"], wanted, plain).join(F.broadcast(statements), "section", "left").fillna(0, ["statements"])
+    out = group_percentiles(every, ["section"], wanted, plain, most=most).join(F.broadcast(statements), "section", "left").fillna(0, ["statements"])
     difference = lambda c: (F.col(f"learned_{c}") - F.col(f"native_{c}")).alias(f"{c}_learned_minus_native")
     return out.select("*", *(difference(c) for c in ("median", "geometric_mean", "le2_fraction")))
 
@@ -145,8 +155,12 @@ def category_metrics(rows: DataFrame) -> DataFrame:
     wanted = [(f"learned_{k}_q_error", "learned_q_error", q) for k, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
     wanted += [("learned_median_signed_ratio", "learned_signed_error_ratio", 0.5), ("native_median_q_error", "native_q_error", 0.5), ("native_p95_q_error", "native_q_error", 0.95)]
     # distinct statements are counted beside the other aggregates: with them, every row would be sent once more
-    named = wide.where("normalized_sql_id is not null").select("dimension", "value", "normalized_sql_id").distinct().groupBy("dimension", "value").agg(F.count("*").alias("unique_query_count"))
-    grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain).join(named, ["dimension", "value"], "left").fillna(0, ["unique_query_count"])
+    # rows of a statement mostly fall in the same groups, so they are made one before they are unpivoted
+    named = valid.where("normalized_sql_id is not null").select("normalized_sql_id", categories(valid).alias("cs")).distinct().select("normalized_sql_id", F.explode("cs").alias("c"))
+    named = named.select("c.dimension", "c.value", "normalized_sql_id").distinct().groupBy("dimension", "value").agg(F.count("*").alias("unique_query_count"))
+    size = valid.agg(F.count("*"), F.max(F.size("involved_columns"))).first()
+    most = size[0] * max(size[1] or 1, 1)  # a row is in a group once, or once for each of its columns
+    grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain, most=most).join(named, ["dimension", "value"], "left").fillna(0, ["unique_query_count"])
     overall = group_percentiles(valid.select(F.lit(1).alias("one"), "learned_q_error"), ["one"], [("overall_learned_median_q_error", "learned_q_error", 0.5)]).drop("one")
     out = grouped.withColumnsRenamed({"dimension": "group_dimension", "value": "group_value"}).join(F.broadcast(overall))
     systematic = (F.col("group_size") >= SYSTEMATIC_ROWS) & (F.col("overall_learned_median_q_error") > 0) & (F.col("learned_median_q_error") >= SYSTEMATIC_FACTOR * F.col("overall_learned_median_q_error"))
@@ -165,7 +179,8 @@ def worst_queries(rows: DataFrame, limit: int = WORST, id_col: str = "result_id"
     with flags for both lists, the systematic categories they fall in, and a candidate classification.
 
     Ties are decided by id. A top-k report: the limit is the feature, so its result is small by definition."""
-    valid = rows.where("status = 'ok'").withColumn("learned_native_q_error_ratio", F.col("learned_q_error") / F.col("native_q_error"))
+    rows = cut_lineage(rows.where("status = 'ok'"))  # read by both lists and the category metrics
+    valid = rows.withColumn("learned_native_q_error_ratio", F.col("learned_q_error") / F.col("native_q_error"))
     tops = [valid.orderBy(F.col(c).desc(), id_col).limit(limit) for c in ("learned_q_error", "learned_native_q_error_ratio")]
     flags = ("worst_learned_q_error", "worst_learned_native_disadvantage")
     both = tops[0].withColumns({flags[0]: F.lit(True), flags[1]: F.lit(False)}).unionByName(tops[1].withColumns({flags[0]: F.lit(False), flags[1]: F.lit(True)}))

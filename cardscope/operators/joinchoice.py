@@ -28,6 +28,18 @@ def base_join_keys(all_joins: Column) -> Column:
     return F.transform(base, lambda j: F.coalesce(j["base_join_key"], join_key(j["relations"])))
 
 
+def key_relations(key: str, known: list[str]) -> tuple[str, str]:
+    """The two relations that the key of a first join names; a key of another number, or of unknown ones, is an error."""
+    parts = key.split("|")
+    if len(parts) != 2 or missing_of(parts, known):
+        raise ValueError(f"{key} does not name two of {', '.join(known)}")
+    return parts[0], parts[1]
+
+
+def missing_of(wanted: list[str], known: list[str]) -> list[str]:
+    return [w for w in dict.fromkeys(wanted) if w not in set(known)]
+
+
 def cardinality_maps(rows: DataFrame, key: str, relation: str, value: str) -> DataFrame:
     """(key, raw, injected): {relation: rows} of each key out of a row per relation, in order of the relations; injected ones are
     at least 1. A missing value is left out."""

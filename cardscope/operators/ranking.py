@@ -27,15 +27,18 @@ def with_running(df: DataFrame, keys: list[str], order: list[Column], rank: str
     sums = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), *(F.sum(f"__v_{t}").alias(f"__s_{t}") for t in totals))
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    shift = sums.select(
+    # only a group that reaches over several parts is shifted, and those are no more than parts, so their sums are broadcast
+    shift = sums.withColumn("__parts", F.count("*").over(whole)).where("__parts > 1").select(
         *keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("__whole"),
         *(F.coalesce(F.sum(f"__s_{t}").over(earlier), F.lit(0.0)).alias(f"__b_{t}") for t in totals),
     )
     out = placed.withColumns({"__r": F.row_number().over(here)} | {f"__t_{t}": F.sum(f"__v_{t}").over(here) for t in totals})
-    out = keyed_join(out, shift, [*keys, "__part"])
-    out = out.withColumns({rank: F.col("__r") + F.col("__before")} | {t: F.col(f"__t_{t}") + F.col(f"__b_{t}") for t in totals})
     if count:
-        out = out.withColumn(count, F.col("__whole"))
+        out = out.withColumn("__here", F.count("*").over(Window.partitionBy(*keys, "__part")))
+    out = keyed_join(out, shift, [*keys, "__part"], "left", small=True)
+    out = out.withColumns({rank: F.col("__r") + F.coalesce("__before", F.lit(0))} | {t: F.col(f"__t_{t}") + F.coalesce(f"__b_{t}", F.lit(0.0)) for t in totals})
+    if count:
+        out = out.withColumn(count, F.coalesce("__whole", "__here")).drop("__here")
     return out.drop("__part", "__r", "__before", "__whole", *orders, *(f"__{p}_{t}" for p in "vtb" for t in totals))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cardscope.operators import density, encoding
 from cardscope.session import at_once
@@ -37,9 +38,18 @@ def read(spark: SparkSession, schema: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{schema}/{bare}.parquet") if "/" in schema else spark.table(name)
 
 
-def train_all(spark: SparkSession, schema: str, base: str | Path, only: list[str] | None = None, skip: list[str] | None = None, columns: dict[str, list[str]] | None = None, **options) -> DataFrame:
+def training_rows(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """The columns that can be encoded, and at most `limit` rows, the same ones every time: the smallest by a hash."""
+    names = [c["column"] for c in encoding.column_table(df, "") if c["supported"]]
+    rows = df.select(*names)
+    return rows if limit is None else rows.orderBy(F.xxhash64(*names), *names).limit(limit)
+
+
+def train_all(
+    spark: SparkSession, schema: str, base: str | Path, only: list[str] | None = None, skip: list[str] | None = None, columns: dict[str, list[str]] | None = None, max_rows: int | None = None, **options,
+) -> DataFrame:
     """Trains and saves a model of every kept table; (table, status, reason, rows, columns, skipped, epochs, best_epoch,
-    validation_loss) of each. A table without a column that can be encoded, or without rows, is no error of the others."""
+    validation_loss) of each. max_rows: train on so many rows of each table; estimates are still of all of its rows. A table without a column that can be encoded, or without rows, is no error of the others."""
     names = [n for n in schema_tables(spark, schema) if kept(n, only, skip)]
     frames = {n: read(spark, schema, n) for n in names}
     encoders: dict[str, encoding.TableEncoder] = {}
@@ -47,9 +57,12 @@ def train_all(spark: SparkSession, schema: str, base: str | Path, only: list[str
 
     def fit(n: str) -> None:
         try:
+            whole = frames[n].count() if max_rows is not None else None
+            frames[n] = training_rows(frames[n], max_rows)
             e = encoding.TableEncoder.fit(frames[n], n.rpartition(".")[2], (columns or {}).get(n.rpartition(".")[2]), oversize="skip")
             if not e.row_count or not e.columns:
                 raise ValueError("no rows" if not e.row_count else "no column that can be encoded")
+            e.row_count = e.row_count if whole is None else whole
             encoders[n] = e
         except ValueError as x:
             said[n] = (n, "failed", str(x), None, None, None, None, None, None)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from cardscope.functions import metrics as M
 from cardscope.operators import bootstrap, density, encoding, failures, implausible, workload
 from cardscope.operators.encoding import Predicate
+from cardscope.operators.joinchoice import key_relations
 from cardscope.plans import explain
 from cardscope.plans.data_queries import PLAN_TREE
 from cardscope.plans.native import Catalog, roundtrip_ok
@@ -171,7 +172,7 @@ def catalyst_join_choice(spark: SparkSession, d: str) -> DataFrame:
             s.inject({r.alias: float(counts.count(g, frozenset((r.alias,)))[0]) for r in g.relations})
             exact = s.first_base_join()
             by_key = {r.key: r.alias for r in g.relations}
-            size = {k: counts.count(g, frozenset(by_key[x] for x in k.split("|")))[0] if k else None for k in (native, exact)}
+            size = {k: counts.count(g, frozenset(by_key[x] for x in key_relations(k, list(by_key))))[0] if k else None for k in (native, exact)}
             rows.append((n, native, exact, size[native], size[exact]))
     out = spark.createDataFrame(rows, "query_id string, native_first_join string, exact_first_join string, native_output bigint, exact_output bigint")
     return out.withColumns({"changed": F.col("native_first_join") != F.col("exact_first_join"), "native_relative_output": M.relative_output(F.col("native_output"), F.col("exact_output"))})

@@ -16,7 +16,7 @@ from cardscope.plans import reference_queries as R
 from cardscope.plans.model_queries import estimators
 from cardscope.plans.requests import QueryGraph
 from cardscope.plans.seed_workload import STATEMENTS
-from cardscope.sources.tables import table
+from cardscope.sources.tables import scalar, scan, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -201,6 +201,17 @@ def _sql_metadata() -> str:
       FROM information_schema.columns JOIN ({counts}) c ON c.t = table_name AND c.name = column_name"""
 
 
+def table_scans(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, by the scan builder, of a table, of a filter, and of a filter under a limit."""
+    orders = table(spark, d, "orders")
+    wanted = {"all": {}, "filtered": {"predicate": "o_totalprice > 300000"}, "limited": {"predicate": "o_orderstatus = 'F'", "columns": ["o_orderkey"], "limit": 17}}
+    return spark.createDataFrame([(n, int(scalar(scan(orders, count_star=True, **w)))) for n, w in wanted.items()], "scan string, rows bigint")
+
+
+_SQL_SCANS = """SELECT 'all' AS scan, count(*) AS rows FROM orders UNION ALL SELECT 'filtered', count(*) FROM orders WHERE o_totalprice > 300000
+UNION ALL SELECT 'limited', count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' LIMIT 17)"""
+
+
 def workload_selection(spark: SparkSession, d: str) -> DataFrame:
     """The first queries, by line, of some labels; the limit is the feature."""
     rows = table(spark, d, "workload_queries")
@@ -339,7 +350,7 @@ def _sql_propagation() -> str:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         treatment_runs, treatment_failures, treatment_cardinalities, first_join_candidates, live_influence, live_join_outputs, live_join_quality, live_accuracy, live_exact_counts, timed_statements, timed_summary, run_schedule,
-        preflight_checks, single_table_evaluation, single_table_errors, single_table_sections, evaluation_failures, request_translation, column_metadata, workload_selection, workload_joins, workload_templates, normalized_labels,
+        preflight_checks, single_table_evaluation, single_table_errors, single_table_sections, evaluation_failures, request_translation, column_metadata, table_scans, workload_selection, workload_joins, workload_templates, normalized_labels,
         hint_cardinalities, cardinality_maps, encoder_domains, token_digests, complete_accuracy_rows, improvement_propagation,
     )}
 
@@ -401,6 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "evaluation_failures": f"SELECT * FROM (VALUES {faults}) v(label, stage, sql)",
         "request_translation": _SQL_TRANSLATED,
         "column_metadata": _sql_metadata(),
+        "table_scans": _SQL_SCANS,
         "workload_selection": _SQL_SELECTION,
         "workload_joins": _SQL_JOINS,
         "workload_templates": _SQL_TEMPLATES,

@@ -24,6 +24,7 @@ def local_session(cpus: int = 4, name: str = "cardscope", **conf: str) -> SparkS
     settings = {
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",  # exact percentiles of some hundred groups stay hashed
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -60,7 +61,8 @@ def at_once(tasks: list[Callable[[], T]], threads: int = 4) -> list[T]:
     if len(tasks) < 2:
         return [t() for t in tasks]
     with ThreadPoolExecutor(min(threads, len(tasks))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        spark = SparkSession.getActiveSession()
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(t) if spark else t) for t in tasks]]
 
 
 def hot_of(counts: DataFrame, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:

@@ -52,6 +52,9 @@ def test_all_tables_of_a_folder_are_trained_or_say_why_not(spark, tmp_path):
     rows = {r["table"]: r for r in catalogue.train_all(spark, str(data), tmp_path / "m", skip=["d"], epochs=2).collect()}
     assert {t: r["status"] for t, r in rows.items()} == {"s.a": "trained", "s.b": "failed", "s.c": "failed"}
     assert rows["s.a"]["rows"] == 300 and artifacts.Registry.load(tmp_path / "m").tables == ["s.a"]
+    few = catalogue.train_all(spark, str(data), tmp_path / "few", only=["a"], max_rows=50, epochs=1).first()
+    assert (few["rows"], few["status"]) == (300, "trained")
+    assert catalogue.training_rows(spark.range(100), 7).collect() == catalogue.training_rows(spark.range(100).repartition(5), 7).collect()
     assert catalogue.kept("s.a", only=["a"]) and not catalogue.kept("s.a", only=["s.b"])
 
 
@@ -109,3 +112,17 @@ def test_diagnostics_and_command_line(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "p5_found" in capsys.readouterr().out
     assert cli.main(["query", "runtime_timeouts", SMALL, "--out", str(tmp_path / "q"), "--kind", "json"]) == 0
     assert spark.read.json(str(tmp_path / "q")).count() == table(spark, SMALL, "experiment_5_runtime").select("configuration").distinct().count()
+
+
+def test_scans_scalars_and_keys(spark):
+    from cardscope.operators.joinchoice import key_relations
+    from cardscope.sources.tables import scalar, scan
+
+    df = spark.range(20).withColumnRenamed("id", "a")
+    assert scalar(scan(df, count_star=True)) == 20 and scalar(scan(df, ["a"], "a > 15", 2, True)) == 2 and scalar(df.where("false")) is None
+    with pytest.raises(ValueError):
+        scan(df, limit=-1)
+    assert key_relations("a:x|b", ["b", "a:x"]) == ("a:x", "b")
+    for bad in ("a", "a|b|c", "a|z"):
+        with pytest.raises(ValueError):
+            key_relations(bad, ["a", "b", "c"])
