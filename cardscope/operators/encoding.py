@@ -108,17 +108,18 @@ def dictionary_tokens(counts: DataFrame, profile: DataFrame | None = None) -> Da
     return rows.withColumn("token", F.row_number().over(order) - 1).select("column", token.alias("token"), "value", "num")
 
 
-def quantile_edges(df: DataFrame, columns: list[str], points: int = BIN_POINTS) -> DataFrame:
+def quantile_edges(df: DataFrame, columns: list[str], points: int = BIN_POINTS, about: dict[str, int] | None = None) -> DataFrame:
     """(column, edges): the distinct linear quantiles at min(points, distinct values) even fractions. One edge v becomes
     [v, v + 1]; a column without numbers gets [0, 1]. Values that are not finite are left out.
 
-    Columns of few values are counted by value; the others are never shuffled whole, their quantiles are selected."""
+    Columns of few values are counted by value; the others are never shuffled whole, their quantiles are selected. about: estimated
+    numbers of values where they are known."""
     spark, schema = df.sparkSession, "column string, edges array<double>"
     if not columns:
         return spark.createDataFrame([], schema)
     double = {c: F.col(c).cast("double") for c in columns}
     numbers = df.select(*(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x).alias(c) for c, x in double.items()))
-    _, about = _sketched(numbers, columns)
+    about = _sketched(numbers, columns)[1] if about is None else about
     wide = [c for c in columns if about[c] > max(SKETCH_SURE, 2 * points)]
     found: dict[str, list[float]] = {}
     if wide:
@@ -226,7 +227,7 @@ class TableEncoder:
                 words.setdefault(r["column"], []).append(r["value"])
         if large and oversize != "skip":
             raise ValueError(f"{table}: {', '.join(large)} would need a dictionary of more than {MAX_TOKENS} values")
-        edges = {r["column"]: list(r["edges"]) for r in quantile_edges(df, wide).collect()}
+        edges = {r["column"]: list(r["edges"]) for r in quantile_edges(df, wide, about=about).collect()}
         encoders, skipped = [], {f.name: "unsupported type" for f in df.schema if kind_of(f.dataType) == "unknown" and (columns is None or f.name in columns)}
         for name, kind in known:
             if name in edges:
