@@ -284,35 +284,53 @@ class _Table:
         return out
 
 
-def paired_bootstrap(spark, pairs: DataFrame, left: str, right: str, metrics: dict[str, Metric] | None = None, clusters: str | None = None, samples: int = 10_000, seed: int = 42, confidence: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(metric, sample_count, cluster_count, bootstrap_samples, observed_delta, ci_low, ci_high): the difference left - right
-    of each metric with its percentile interval. Rows are resampled with replacement, or whole clusters where given; null is
-    a cluster. Without pairs the difference and its interval are null. Equal seeds and block_rows give equal results, however
-    the work is parted."""
-    if samples <= 0 or not 0 < confidence < 1:
-        raise ValueError("samples must be positive and confidence between 0 and 1")
+def observed_deltas(spark, pairs: DataFrame, left: str, right: str, metrics: dict[str, Metric] | None = None, clusters: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(metric, sample_count, cluster_count, observed_delta): the differences themselves, without resampling."""
     metrics = metrics or {k: METRICS[k] for k in ("median_q_error", "geometric_mean_q_error", "fraction_q_error_le2")}
-    schema = "metric string, sample_count bigint, cluster_count bigint, bootstrap_samples int, random_seed bigint, observed_delta double, ci_low double, ci_high double, confidence double"
+    rows, units, found = _resampled(pairs, left, right, metrics, clusters, 0, 0, block_rows)
+    out = [(m, rows, units if clusters else None, float(found[m][0]) if rows else None) for m in metrics]
+    return spark.createDataFrame(out, "metric string, sample_count bigint, cluster_count bigint, observed_delta double")
+
+
+def _resampled(pairs: DataFrame, left: str, right: str, metrics: dict[str, Metric], clusters: str | None, samples: int, seed: int, block_rows: int) -> tuple[int, int, dict[str, np.ndarray]]:
+    """Rows, units, and of each metric its differences: of the data as they are, then of every resample."""
     table = cut_lineage(cells(pairs, left, right, clusters))
     if table.isEmpty():
-        return spark.createDataFrame([(m, 0, 0 if clusters else None, samples, seed, None, None, None, confidence) for m in metrics], schema)
+        return 0, 0, {}
     blocks, groups, number = _blocks(table, clusters is not None, block_rows)
     data = _Table(cut_lineage(blocks), groups, number, clusters is not None, seed)
     features = [m for m in metrics.values() if isinstance(m, Mean)]
     middle = any(isinstance(m, Median) for m in metrics.values())
     units = sum(g[2] for g in groups)
     ranks = (lambda n: [(n - 1) // 2, n // 2]) if middle else (lambda n: [])
-    sums, values = data.search(np.arange(-1, samples), features, ranks, data.near(units) if middle else [np.zeros(0)] * 2)
-    out, alpha, column = [], (1 - confidence) / 2, 1
+    edges = [np.zeros(0)] * 2 if not middle else data.near(units) if samples else _cuts(data.blocks, [[(-np.inf, np.inf)]] * 2)
+    sums, values = data.search(np.arange(-1, samples), features, ranks, edges)
+    out, column = {}, 1
     for name, m in metrics.items():
         if isinstance(m, Mean):
             both = [np.array([m.back(x) for x in sums[:, column + side] / sums[:, 0]]) for side in (0, 1)]
             column += 2
         else:
             both = [values[:, side].mean(axis=1) for side in (0, 1)]
-        deltas = both[0] - both[1]
-        if not np.isfinite(deltas).all():
+        out[name] = both[0] - both[1]
+        if not np.isfinite(out[name]).all():
             raise ValueError(f"{name} has a difference that is not finite")
-        low, high = np.quantile(deltas[1:], [alpha, 1 - alpha])
-        out.append((name, int(sums[0, 0]), units if clusters else None, samples, seed, float(deltas[0]), float(low), float(high), confidence))
+    return int(sums[0, 0]), units, out
+
+
+def paired_bootstrap(spark, pairs: DataFrame, left: str, right: str, metrics: dict[str, Metric] | None = None, clusters: str | None = None, samples: int = 10_000, seed: int = 42, confidence: float = 0.95, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(metric, sample_count, cluster_count, bootstrap_samples, observed_delta, ci_low, ci_high): the difference left - right
+    of each metric with its percentile interval. Rows are resampled with replacement, or whole clusters where given; null is
+    a cluster. Without pairs the difference and its interval are null. Equal seeds and block_rows give equal results, however
+    the work is parted."""
+    if samples <= 0 or not 0 < confidence < 1:
+        raise ValueError("samples must be positive and confidence between 0 and 1")
+    metrics = metrics or {k: METRICS[k] for k in ("median_q_error", "geometric_mean_q_error", "fraction_q_error_le2")}
+    schema = "metric string, sample_count bigint, cluster_count bigint, bootstrap_samples int, random_seed bigint, observed_delta double, ci_low double, ci_high double, confidence double"
+    rows, units, found = _resampled(pairs, left, right, metrics, clusters, samples, seed, block_rows)
+    out, alpha = [], (1 - confidence) / 2
+    for name in metrics:
+        deltas = found.get(name)
+        low, high = np.quantile(deltas[1:], [alpha, 1 - alpha]) if rows else (None, None)
+        out.append((name, rows, units if clusters else None, samples, seed, *(None if x is None else float(x) for x in (deltas[0] if rows else None, low, high)), confidence))
     return spark.createDataFrame(out, schema)

@@ -373,20 +373,32 @@ def allowed_tokens(tokens: DataFrame, predicates: DataFrame) -> DataFrame:
     that touches none selects bin 0. A predicate on a column without tokens selects nothing.
     """
     t = tokens.withColumnsRenamed({"value": "t_value", "column": "t_column"})
-    rows = predicates.join(F.broadcast(t), F.col("column") == F.col("t_column"))
+    words, bins = t.where("encoding = 'dictionary'"), t.where("encoding = 'bins'")
     number = lambda c: F.col(c).try_cast("double")
-    mine = lambda c, n: F.when(F.col("numeric"), number(c)).otherwise(None) if n else F.col(c)
     op = F.col("op")
-
-    def fits(n: bool) -> Column:
-        x = F.col("num") if n else F.col("t_value")
-        v, lo, hi = mine("value", n), mine("lower", n), mine("upper", n)
-        several = F.transform("values", lambda s: s.try_cast("double")) if n else F.col("values")
-        return (
-            F.when(op == "=", x.eqNullSafe(v)).when(op == "<", x < v).when(op == "<=", x <= v).when(op == ">", x > v).when(op == ">=", x >= v)
-            .when(op == "between", (x >= lo) & (x <= hi)).when(op == "in", F.exists(several, lambda s: s.eqNullSafe(x)))
-        )
-
+    out = ["query_id", "predicate_id", "column", "token"]
+
+    # equality and IN meet their words by an equi-join
+    wanted = F.when(op == "=", F.array("value")).when(op == "in", F.col("values"))
+    points = predicates.where(op.isin("=", "in")).select(*out[:3], F.explode(F.array_distinct(wanted)).alias("w"))
+    same = F.when(F.col("numeric"), F.col("num").eqNullSafe(number("w"))).otherwise(F.col("t_value").eqNullSafe(F.col("w")))
+    key = F.when(F.col("numeric"), F.col("num").cast("string")).otherwise(F.col("t_value"))
+    texts, numbers = words.where("not numeric").withColumn("k", key), words.where("numeric").withColumn("k", key)
+    on = lambda w: (F.col("column") == F.col("t_column")) & F.col("k").eqNullSafe(w)
+    found = points.join(F.broadcast(texts), on(F.col("w"))).where(same).select(*out)
+    found = found.unionByName(points.join(F.broadcast(numbers), on((number("w") + 0.0).cast("string"))).where(same).select(*out)).distinct()
+
+    # a range of words is compared with the words of its column; what it does not select is left in the join
+    def between(x: Column, v: Column, lo: Column, hi: Column) -> Column:
+        return F.when(op == "<", x < v).when(op == "<=", x <= v).when(op == ">", x > v).when(op == ">=", x >= v).when(op == "between", (x >= lo) & (x <= hi))
+
+    by_number = between(F.col("num"), number("value"), number("lower"), number("upper"))
+    by_text = between(F.col("t_value"), F.col("value"), F.col("lower"), F.col("upper"))
+    ranges = predicates.where(~op.isin("=", "in"))
+    inside = (F.col("column") == F.col("t_column")) & F.coalesce(F.when(F.col("numeric"), by_number).otherwise(by_text), F.lit(False))
+    found = found.unionByName(ranges.join(F.broadcast(words), inside).select(*out))
+
+    # bins, of which a column has fewer than BIN_POINTS
     a, b, first = F.col("lo"), F.col("hi"), F.col("token") == 0
 
     def holds(v: Column) -> Column:
@@ -397,12 +409,11 @@ def allowed_tokens(tokens: DataFrame, predicates: DataFrame) -> DataFrame:
         F.when(op == "=", holds(v)).when(op == "<", a < v).when(op == "<=", a <= v).when(op == ">", b > v).when(op == ">=", b >= v)
         .when(op == "between", (b >= lo) & (a <= hi)).when(op == "in", F.exists("values", lambda s: holds(s.try_cast("double"))))
     )
-    hit = F.when(F.col("encoding") == "bins", binned).when(F.col("numeric"), fits(True)).otherwise(fits(False))
-    rows = rows.withColumn("hit", F.coalesce(hit, F.lit(False)))
-    none = F.max(F.col("hit").cast("int")).over(Window.partitionBy("query_id", "predicate_id", "column")) == 0  # at most MAX_TOKENS rows
+    rows = predicates.join(F.broadcast(bins), F.col("column") == F.col("t_column")).withColumn("hit", F.coalesce(binned, F.lit(False)))
+    none = F.max(F.col("hit").cast("int")).over(Window.partitionBy("query_id", "predicate_id", "column")) == 0
     rows = rows.withColumn("none", none)
-    empty_range = F.col("none") & (F.col("encoding") == "bins") & first & op.isin("<", "<=", ">", ">=", "between")
-    return rows.where(F.col("hit") | empty_range).select("query_id", "predicate_id", "column", "token")
+    empty_range = F.col("none") & first & op.isin("<", "<=", ">", ">=", "between")
+    return found.unionByName(rows.where(F.col("hit") | empty_range).select(*out))
 
 
 def intersected(allowed: DataFrame, predicates: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from cardscope.operators.encoding import Predicate
 from cardscope.operators.joinchoice import key_relations
 from cardscope.plans import explain
 from cardscope.plans.data_queries import PLAN_TREE
+from cardscope.plans.reference_queries import SQL_EVALUATED
 from cardscope.plans.native import Catalog, roundtrip_ok
 from cardscope.plans.requests import QueryGraph
 from cardscope.plans.seed_workload import STATEMENTS
@@ -107,6 +108,17 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def observed_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """The differences learned - native that `bootstrap_ci` gives intervals for, in all three units."""
+    rows = failures.evaluated(table(spark, d, "experiment_2_failures"), table(spark, d, "base_queries")).where("status = 'ok'")
+    rows = cut_lineage(rows.select("learned_q_error", "native_q_error", "normalized_sql_id", "query_template"))
+    out = None
+    for unit in ("occurrence", "normalized_sql_id", "query_template"):
+        part = bootstrap.observed_deltas(spark, rows, "learned_q_error", "native_q_error", clusters=None if unit == "occurrence" else unit).withColumn("unit", F.lit(unit))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("observed_delta", F.round(F.col("observed_delta") + F.signum("observed_delta") * 1e-8, 6))
+
+
 def plan_facts(spark: SparkSession, d: str) -> DataFrame:
     facts = explain.plan_facts(table(spark, d, "treatment_results"), "treatment_id", "document")
     return facts.withColumn("all_base_joins", F.array_join("all_base_joins", ";"))
@@ -179,7 +191,7 @@ def catalyst_join_choice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (made_estimates, seed_sensitivity, bootstrap_ci, plan_facts, plan_joins, plan_scans, plan_hashes, native_estimates, injection_roundtrip, catalyst_join_choice, impossible_readings)}
+    return {f.__name__: f for f in (made_estimates, seed_sensitivity, bootstrap_ci, observed_deltas, plan_facts, plan_joins, plan_scans, plan_hashes, native_estimates, injection_roundtrip, catalyst_join_choice, impossible_readings)}
 
 
 _IMPOSSIBLE = """SELECT configuration, count(*) FILTER (coalesce(NOT isfinite(execution_time_ms) OR execution_time_ms <= 0, false) OR coalesce(NOT isfinite(wall_clock_duration_ms) OR wall_clock_duration_ms <= 0, false)
@@ -220,5 +232,14 @@ _PLAN_SCANS = f"""{_FACTS} SELECT treatment_id, (row_number() OVER (PARTITION BY
   TRY_CAST(plan ->> '$."Plan Rows"' AS DOUBLE) AS plan_rows, plan ->> '$.Filter' AS filter, plan ->> '$."Index Cond"' AS index_cond FROM scans"""
 
 
+_DELTAS = f"""{SQL_EVALUATED}, units AS (
+  SELECT 'occurrence' AS unit, NULL AS clusters UNION ALL SELECT 'normalized_sql_id', (SELECT count(DISTINCT normalized_sql_id) + max((normalized_sql_id IS NULL)::INTEGER) FROM v) UNION ALL SELECT 'query_template', (SELECT count(DISTINCT query_template) + max((query_template IS NULL)::INTEGER) FROM v)
+), deltas AS (
+  SELECT 'median_q_error' AS metric, count(*) AS n, median(learned_q_error) - median(native_q_error) AS x FROM v UNION ALL SELECT 'geometric_mean_q_error', count(*), exp(avg(ln(learned_q_error))) - exp(avg(ln(native_q_error))) FROM v
+  UNION ALL SELECT 'fraction_q_error_le2', count(*), count(*) FILTER (learned_q_error <= 2) / count(*) - count(*) FILTER (native_q_error <= 2) / count(*) FROM v
+)
+SELECT metric, n AS sample_count, clusters::BIGINT AS cluster_count, round(x + sign(x) * 1e-8, 6) AS observed_delta, unit FROM deltas, units"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"impossible_readings": _IMPOSSIBLE, "plan_facts": _PLAN_FACTS, "plan_joins": _PLAN_JOINS, "plan_scans": _PLAN_SCANS}
+    return {"observed_deltas": _DELTAS, "impossible_readings": _IMPOSSIBLE, "plan_facts": _PLAN_FACTS, "plan_joins": _PLAN_JOINS, "plan_scans": _PLAN_SCANS}
