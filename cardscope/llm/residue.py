@@ -32,8 +32,8 @@ FEATURES = 1 << 18
 FIT_DOCUMENTS = 40_000
 #: Occurrences from which a passage counts as repeated.
 REPEATED = 3
-#: Passages of one document that the classifier is fitted to, at most; all are scored.
-FIT_PASSAGES = 500
+#: Passages of one document that the classifier is fitted to, and characters of each, at most; all are scored whole.
+FIT_PASSAGES, FIT_CHARS = 200, 1000
 #: Log odds beyond which a passage is residue, and the largest prior odds that a fit may find.
 THRESHOLD, MOST_PRIOR = 3.0, 0.25
 
@@ -228,7 +228,8 @@ def score(passage: str, weights: np.ndarray) -> float:
 
 def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> np.ndarray:
     """Weights fitted on the distinct passages of at most about fit_documents documents, chosen by a hash of the text. Passages
-    that differ in case or digits only are one. Those of one document are at most FIT_PASSAGES, so the fit is bounded."""
+    that differ in case or digits only are one. Those of one document are at most FIT_PASSAGES, and FIT_CHARS of each, so the fit is
+    bounded; whether a passage is trusted is decided on the whole of it. Features are made by the executors."""
     texts = documents.select(F.col(text_col).alias("text")).where("text is not null and text <> ''")
     total = texts.count()
     if total > fit_documents:
@@ -239,18 +240,27 @@ def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [p for t in batch.column(0) for p in passages_of(t.as_py())[:FIT_PASSAGES]]
-            cols = [pa.array([_DIGIT.sub("0", p).lower() for p in found], pa.string()), pa.array([is_trusted(p) for p in found], pa.bool_())]
+            cols = [pa.array([_DIGIT.sub("0", p).lower()[:FIT_CHARS] for p in found], pa.string()), pa.array([is_trusted(p) for p in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["passage", "trusted"])
 
-    seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage").agg(F.count("*").alias("count"), F.bool_or("trusted").alias("trusted")).orderBy("passage").toPandas()
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [p.as_py() for p in batch.column(0)]
+            cols = [pa.array([features_of(p).tolist() for p in found], pa.list_(pa.int32())), pa.array([quotes(p) for p in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["passage", "count", "trusted", "features", "told"])
+
+    seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage").agg(F.count("*").alias("count"), F.bool_or("trusted").alias("trusted"))
+    seen = seen.mapInArrow(named, "passage string, count bigint, trusted boolean, features array<int>, told boolean")
+    rows = seen.orderBy("passage").select("features", "count", "trusted", "told").toPandas()
     trusted, rest, counts, told = [], [], [], []
-    for p, n, sure in zip(seen["passage"], seen["count"], seen["trusted"]):
+    for f, n, sure, tells in zip(rows["features"], rows["count"], rows["trusted"], rows["told"]):
+        f = np.asarray(f, dtype=np.int32)
         if sure:
-            trusted += [features_of(p)] * min(int(n), 3)
+            trusted += [f] * min(int(n), 3)
         else:
-            rest.append(features_of(p))
+            rest.append(f)
             counts.append(float(n))
-            told.append(quotes(p))
+            told.append(tells)
     return fit(trusted, rest, np.array(counts), np.array(told, dtype=bool))
 
 
