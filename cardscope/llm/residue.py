@@ -250,8 +250,8 @@ def fit_on(documents: DataFrame, text_col: str = "text", fit_documents: int = FI
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], ["passage", "count", "trusted", "features", "told"])
 
     seen = texts.mapInArrow(run, "passage string, trusted boolean").groupBy("passage").agg(F.count("*").alias("count"), F.bool_or("trusted").alias("trusted"))
-    seen = seen.mapInArrow(named, "passage string, count bigint, trusted boolean, features array<int>, told boolean")
-    rows = seen.orderBy("passage").select("features", "count", "trusted", "told").toPandas()
+    # ordered first: the samples of a sort would make the features once more
+    rows = seen.orderBy("passage").mapInArrow(named, "passage string, count bigint, trusted boolean, features array<int>, told boolean").drop("passage").toPandas()
     trusted, rest, counts, told = [], [], [], []
     for f, n, sure, tells in zip(rows["features"], rows["count"], rows["trusted"], rows["told"]):
         f = np.asarray(f, dtype=np.int32)
