@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 from pathlib import Path
 
@@ -28,6 +29,7 @@ def _names(text: str | None) -> list[str] | None:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cardscope")
     p.add_argument("--cpus", type=int, default=4)
+    p.add_argument("--log", default="WARNING", choices=("DEBUG", "INFO", "WARNING", "ERROR"))
     sub = p.add_subparsers(dest="command", required=True)
     t = sub.add_parser("train", help="a model of every table")
     t.add_argument("data"), t.add_argument("models"), t.add_argument("--only"), t.add_argument("--skip"), t.add_argument("--epochs", type=int, default=20), t.add_argument("--hidden", default="64,64")
@@ -43,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    logging.basicConfig(level=a.log, format="%(asctime)s %(levelname)s %(name)s %(message)s")
     if a.command == "list":
         print("\n".join(_queries()))
         return 0

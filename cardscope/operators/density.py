@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import pickle
 import time
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from cardscope.operators.encoding import Predicate, TableEncoder, enumeration_size, token_digest
 from cardscope.session import at_once, cut_lineage
 
+_LOG = logging.getLogger(__name__)
 #: Different rows of tokens that are trained on the driver, and that a part holds otherwise; draws of an epoch, from all rows.
 LOCAL_CELLS, EPOCH_DRAWS = 200_000, 200_000
 #: Predicates that one pass over a histogram evaluates.
@@ -213,6 +215,7 @@ def train(tokens: np.ndarray, domains: list[int], epochs: int = 20, batch: int =
 
 def _noted(note: TrainingSummary, epoch: int, trained: float, now: float) -> bool:
     """Keeps the losses of an epoch; whether it is the best so far."""
+    _LOG.info("epoch %d: train loss %.5f, validation loss %.5f", epoch, trained, now)
     note.history.append({"epoch": epoch, "train_loss": trained, "validation_loss": now})
     note.epochs = epoch
     if now < note.best_validation_loss:

@@ -39,6 +39,16 @@ def write_text(path: str | Path, text: str) -> Path:
     return path
 
 
+def write_plan(path: str | Path, document: str) -> Path:
+    """An EXPLAIN document, indented; one that is not complete JSON is an error."""
+    return write_text(path, json.dumps(json.loads(document), indent=2))
+
+
+def write_sql(path: str | Path, sql: str) -> Path:
+    """A statement with one closing semicolon."""
+    return write_text(path, sql.strip().rstrip("; \n") + ";")
+
+
 def finite_only(df: DataFrame, fields: list[str]) -> DataFrame:
     """df with these columns; a floating value that is NaN or infinite is an error, named by its column."""
     out = []
@@ -138,8 +148,8 @@ class Registry:
     _known: dict[tuple, Estimate] = field(default_factory=dict)
 
     @classmethod
-    def load(cls, base: str | Path, **options) -> Registry:
-        """Folders that are incomplete or whose metadata cannot be read are passed over."""
+    def load(cls, base: str | Path, required: bool = False, **options) -> Registry:
+        """Folders that are incomplete or whose metadata cannot be read are passed over; with required, no model at all is an error."""
         out = cls(Path(base), **options)
         for meta in sorted(out.base.glob("*/*/metadata.json")) if out.base.is_dir() else []:
             try:
@@ -148,6 +158,8 @@ class Registry:
                 continue
             if all((meta.parent / f).exists() for f in FILES):
                 out.folders[name] = meta.parent
+        if required and not out.folders:
+            raise FileNotFoundError(f"no model below {out.base}")
         return out
 
     @property

@@ -109,6 +109,12 @@ def test_diagnostics_and_command_line(spark, tmp_path, capsys):
     df = spark.createDataFrame([("a/b", 1.0), (None, 2.0)], "occurrence_id string, x double")
     rows = artifacts.write_diagnostics(df, str(tmp_path / "d")).collect()
     assert {r["x"]: spark.read.json(r["diagnostics_path"]).first()["x"] for r in rows} == {1.0: 1.0, 2.0: 2.0}
+    assert artifacts.write_plan(tmp_path / "p.json", '{"Plan":{"a":1}}').read_text() == '{\n  "Plan": {\n    "a": 1\n  }\n}\n'
+    assert artifacts.write_sql(tmp_path / "q.sql", " SELECT 1 ; ;\n").read_text() == "SELECT 1;\n"
+    with pytest.raises(ValueError):
+        artifacts.write_plan(tmp_path / "p.json", "{")
+    with pytest.raises(FileNotFoundError):
+        artifacts.Registry.load(tmp_path / "none", required=True)
     assert cli.main(["list"]) == 0 and "p5_found" in capsys.readouterr().out
     assert cli.main(["query", "runtime_timeouts", SMALL, "--out", str(tmp_path / "q"), "--kind", "json"]) == 0
     assert spark.read.json(str(tmp_path / "q")).count() == table(spark, SMALL, "experiment_5_runtime").select("configuration").distinct().count()
