@@ -121,6 +121,47 @@ _P4_ATTRIBUTES = f"""{PLAN_TREE}, records AS (
   SELECT treatment_id, record_kind, path, plan, unnest(json_keys(plan)) AS name FROM records
 ), named AS (SELECT *, plan -> ('$."' || name || '"') AS v FROM members WHERE name NOT IN ('Plans', 'Workers'))
 SELECT treatment_id, record_kind, path, name, CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN coalesce(v ->> '$', 'null') END AS value FROM named"""
+_B = r"[\s\x{00A0}\x{FEFF}]"
+_TRIM = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279))"
+_NAME = "[a-z_][a-z0-9_]*"
+_RELATION = f"(?:{'|'.join(workload_lines.TABLES)})(?: as)? {_NAME}"
+_COMPARISON = rf"{_NAME}\.{_NAME} ?(?:<=|>=|=|<|>) ?(?:{_NAME}\.{_NAME}|[-+]?[0-9]+(?:\.[0-9]+)?|§(?: ?:: ?[a-z]+)?)"
+_HEAD = rf"^select count ?\( ?\* ?\) from ({_RELATION}(?: ?, ?{_RELATION})*)(?: where (.+?))?[ ;]*$"
+_QUOTED = "''[^'']*''|\"[^\"]*\""
+#: Lines cut at the separators outside quoted pieces, and judged as TESTDATA.md lays down.
+_LINES = rf"""
+WITH lines AS (
+  SELECT line_id, file_name, file_format, line_number, translate(raw_line, chr(10) || chr(13), '  ') AS raw FROM workload_lines WHERE {_TRIM.format(x="raw_line")} <> ''
+), cut AS (
+  SELECT *, string_split_regex(raw, '{_QUOTED}') AS outside, regexp_extract_all(raw, '{_QUOTED}') AS quoted FROM lines
+), split AS (
+  SELECT *, string_split(array_to_string(list_transform(list_zip(list_transform(outside, lambda o: replace(o, '||', chr(1))), quoted), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), ''), chr(1)) AS parts,
+    len(list_filter(outside, lambda o: contains(o, '''') OR contains(o, '"'))) > 0 OR len(list_filter(quoted, lambda q: starts_with(q, '"') AND (len(q) - len(replace(q, '''', ''))) % 2 = 1)) > 0 AS open_quote
+  FROM cut
+), fields AS (
+  SELECT *, list_transform(list_transform(parts, lambda f: {_TRIM.format(x="f")}), lambda t: CASE WHEN len(t) > 1 AND starts_with(t, '"') AND ends_with(t, '"') THEN {_TRIM.format(x="replace(t[2:-2], '\"\"', '\"')")} ELSE t END) AS f FROM split
+), named AS (
+  SELECT *, CASE file_format WHEN 'complete' THEN 2 WHEN 'single_table' THEN 3 WHEN 'subquery' THEN 2 ELSE -1 END AS width, CASE file_format WHEN 'complete' THEN f[1] WHEN 'single_table' THEN f[3] END AS counted,
+    CASE file_format WHEN 'complete' THEN f[2] ELSE f[1] END AS sql, CASE WHEN file_format IN ('single_table', 'subquery') THEN f[2] END AS id FROM fields
+), texts AS (
+  SELECT *, trim(regexp_replace(regexp_replace(lower(regexp_replace(sql, '''[^'']*''(?:''[^'']*'')*', '§', 'g')), '"({_NAME})"', '\1', 'g'), '{_B}+', ' ', 'g')) AS t FROM named
+), heads AS (
+  SELECT *, regexp_extract(t, '{_HEAD}', 1) AS rels, regexp_extract(t, '{_HEAD}', 2) AS conds FROM texts
+), marks AS (
+  SELECT *, regexp_replace(conds, '{_COMPARISON}', 'C', 'g') AS m, list_transform(string_split_regex(rels, ' ?, ?'), lambda r: string_split(r, ' ')[-1]) AS aliases,
+    regexp_extract_all(conds, '({_NAME})\.{_NAME}', 1) AS used, regexp_extract_all(sql, '''([^'']*)''{_B}*::{_B}*(?i:timestamp)', 1) AS times FROM heads
+), flat AS (
+  SELECT *, list_reduce(list_prepend(m, list_transform(range(0, len(m) - len(replace(m, '(', '')) + 1), lambda i: '')), lambda acc, x: regexp_replace(acc, '\( ?C(?: and C)* ?\)', 'C', 'g')) AS c FROM marks
+), judged AS (
+  SELECT *, CASE WHEN open_quote THEN 'quoting' WHEN coalesce(len(f), -2) <> width THEN 'columns'
+    WHEN coalesce((counted IS NULL OR regexp_full_match(counted, '(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(counted AS DOUBLE)), false)) AND (id IS NULL OR regexp_full_match(id, '[0-9]+'))
+      AND coalesce(regexp_full_match(line_number, '{_B}*0*[1-9][0-9]*{_B}*'), false) AND rels <> '' AND (conds = '' OR regexp_full_match(c, 'C(?: and C)*')) AND len(list_filter(used, lambda u: NOT list_contains(aliases, u))) = 0
+      AND len(list_filter(times, lambda x: NOT (regexp_full_match(x, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}(?:[ T][0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}}(?:\.[0-9]+)?)?)?') AND TRY_CAST(x AS TIMESTAMP) IS NOT NULL))) = 0, false) THEN NULL ELSE 'value' END AS reason
+  FROM flat
+)"""
+_P2_FOUND = f"{_LINES} SELECT DISTINCT line_id, reason FROM judged WHERE reason IS NOT NULL"
+_P2_LOADED = f"""{_LINES} SELECT DISTINCT ON (line_id) line_id, file_name, file_format, TRY_CAST({_TRIM.format(x="line_number")} AS BIGINT) AS query_line, coalesce(id, regexp_replace({_TRIM.format(x="line_number")}, '^0+', '')) AS query_id, sql AS query_sql,
+  TRY_CAST(counted AS DOUBLE) AS actual_cardinality FROM judged WHERE reason IS NULL"""
 _P5_FOUND = """
 WITH once AS (
   SELECT DISTINCT ON (measurement_id) * FROM experiment_5_runtime
@@ -155,4 +196,4 @@ FROM sized WHERE coalesce(ea > 9 * es, false) OR coalesce(wa > 9 * ws, false) OR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p4_nodes": _P4_NODES, "p4_workers": _P4_WORKERS, "p4_attributes": _P4_ATTRIBUTES, "p4_joins": _JOINS, "p4_relations": _RELATIONS, "p5_found": _P5_FOUND}
+    return {"p2_found": _P2_FOUND, "p2_loaded": _P2_LOADED, "p4_found": _P4_FOUND, "p4_nodes": _P4_NODES, "p4_workers": _P4_WORKERS, "p4_attributes": _P4_ATTRIBUTES, "p4_joins": _JOINS, "p4_relations": _RELATIONS, "p5_found": _P5_FOUND}
