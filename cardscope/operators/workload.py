@@ -105,7 +105,7 @@ def select_workload(workload: DataFrame, only: str | None = None, limit: int | N
         workload = workload.where(hit)
         if workload.isEmpty():
             raise ValueError(f"no query matches {only}")
-    return workload.orderBy("line_number").limit(limit) if limit else workload
+    return workload.orderBy("line_number", "label").limit(limit) if limit else workload
 
 
 def exact_base_counts(tables: dict[str, DataFrame], graphs: dict[str, QueryGraph]) -> DataFrame:

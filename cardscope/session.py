@@ -25,6 +25,8 @@ def local_session(cpus: int = 4, name: str = "cardscope", **conf: str) -> SparkS
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",  # exact percentiles of some hundred groups stay hashed
+        "spark.executorEnv.OMP_NUM_THREADS": "1",  # Python workers run side by side already
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
