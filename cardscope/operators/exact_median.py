@@ -24,13 +24,15 @@ BUCKETS = 4096
 
 def group_percentiles(
     df: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]], plain: list[Column] | None = None, hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT, most: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """One row per group (nulls in a key form a group): keys, the plain aggregates, and each wanted percentile.
 
     wanted: (name, value column, fraction). A percentile between two ranks is interpolated linearly; nulls are left out, and a
     group without values has null. Values must be finite. Ties and repeated rows count as often as they occur. hot: the keys
     to treat as hot, a bounded table; found from hot_rows and max_hot if not given. most: a number of rows that no group exceeds, where
-    it is known; up to hot_rows there are then no hot keys to look for. Without keys the whole table is a group,
+    it is known; up to hot_rows there are then no hot keys to look for. written: df is read from
+    written tables without a shuffle, so that hot rows are read again for each pass rather than written once more. Without keys the whole table is a group,
     which is always selected, never gathered.
     """
     plain = plain or []
@@ -46,18 +48,20 @@ def group_percentiles(
         return done.select(*(c for c in done.columns if not c.startswith("__p_")), *spread)
 
     if not keys:
-        one = df.withColumn("__all", F.lit(True))
-        rest = one.groupBy("__all").agg(*plain) if plain else one.select("__all").limit(1)
-        return _with_selected(one, rest, ["__all"], wanted).drop("__all")
+        one = df.withColumn("__g", F.lit(0).cast("bigint"))
+        rest = one.groupBy("__g").agg(*plain) if plain else one.select("__g").limit(1)
+        return _with_selected(one, rest, wanted, written)
     if hot is None and most is not None and most <= hot_rows:
         return together(df)
     hot = (hot_keys(df, keys, hot_rows, max_hot) if hot is None else hot).select(*keys)
     if hot.isEmpty():
         return together(df)
+    # hot groups go by number: keys may have any names, and long texts would be written and sent with every value
+    hot = cut_lineage(hot.withColumn("__g", F.monotonically_increasing_id()))
     cold = together(keyed_join(df, hot, keys, "left_anti", small=True))
-    rows = keyed_join(df, hot, keys, "left_semi", small=True)
-    found = rows.groupBy(*keys).agg(*plain) if plain else hot
-    return cold.unionByName(_with_selected(rows, found, keys, wanted))
+    rows = keyed_join(df, hot, keys, small=True)
+    found = rows.groupBy(*keys, "__g").agg(*plain) if plain else hot
+    return cold.unionByName(_with_selected(rows, found, wanted, written))
 
 
 def group_medians(df: DataFrame, keys: list[str], values: list[str], hot: DataFrame | None = None, hot_rows: int = HOT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
@@ -65,18 +69,20 @@ def group_medians(df: DataFrame, keys: list[str], values: list[str], hot: DataFr
     return group_percentiles(df, keys, [(f"{v}_median", v, 0.5) for v in values], None, hot, hot_rows, max_hot)
 
 
-def _with_selected(rows: DataFrame, found: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
-    """found with the wanted percentiles of hot groups."""
+def _with_selected(rows: DataFrame, found: DataFrame, wanted: list[tuple[str, str, float]], written: bool) -> DataFrame:
+    """found, a row per hot group, with the wanted percentiles of its rows; `__g` numbers groups in both, and is left out."""
     values = list(dict.fromkeys(v for _, v, _ in wanted))
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.col(v).cast("double").alias("x")) for i, v in enumerate(values))))
-    x = cut_lineage(rows.select(*keys, cells.alias("c")).select(*keys, "c.v", "c.x").where("x is not null").withColumn("n", F.lit(1)))
-    by = [*keys, "v"]
-    sizes = cut_lineage(x.groupBy(*by).agg(F.count("*").alias("size")))
+    narrow = rows.select("__g", *(F.col(v).cast("double").alias(f"__x{i}") for i, v in enumerate(values)))
+    narrow = narrow if written else cut_lineage(narrow)
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.col(f"__x{i}").alias("x")) for i in range(len(values)))))
+    x = narrow.select("__g", cells.alias("c")).select("__g", "c.v", "c.x").where("x is not null").withColumn("n", F.lit(1))
+    by = ["__g", "v"]
+    sizes = cut_lineage(x.groupBy(*by).agg(F.count("*").alias("size"), F.min("x").alias("__lo"), F.max("x").alias("__hi")))
     each = [(values.index(v), q, f) for _, v, q in wanted for f in (F.floor, F.ceil)]
     ranks = F.array(*(F.struct(F.lit(i).alias("target"), F.lit(v).alias("of"), f(F.lit(q) * (F.col("size") - 1)).alias("rank")) for i, (v, q, f) in enumerate(each)))
     targets = sizes.select(*by, F.explode(ranks).alias("t")).select(*by, "t.*").where("of = v").drop("of")
-    got = at_ranks(x, by, targets)
-    got = keyed_join(got, sizes, by, small=True)
+    got = at_ranks(x, by, targets, ends=sizes.drop("size"))
+    got = keyed_join(got, sizes.select(*by, "size"), by, small=True)
 
     def between(i: int, q: float) -> Column:
         low, high = (F.max(F.when(F.col("target") == k, F.col("value"))) for k in (2 * i, 2 * i + 1))
@@ -84,19 +90,23 @@ def _with_selected(rows: DataFrame, found: DataFrame, keys: list[str], wanted: l
         share = F.lit(q) * (size - 1) - F.floor(F.lit(q) * (size - 1))
         return low * (1 - share) + high * share
 
-    ends = got.groupBy(*keys).agg(*(between(i, q).alias(name) for i, (name, _, q) in enumerate(wanted)))
-    found = keyed_join(found, ends, keys, "left", small=True)
-    return found.select(*keys, *(c for c in found.columns if c not in keys and c not in {n for n, _, _ in wanted}), *(n for n, _, _ in wanted))
+    names = [name for name, _, _ in wanted]
+    kept = [c for c in found.columns if c not in ("__g", *names)]
+    ends = got.groupBy("__g").agg(*(between(i, q).alias(f"__e{i}") for i, (_, _, q) in enumerate(wanted)))
+    found = keyed_join(found, ends, ["__g"], "left", small=True)
+    return found.select(*kept, *(F.col(f"__e{i}").alias(n) for i, n in enumerate(names)))
 
 
-def at_ranks(x: DataFrame, keys: list[str], targets: DataFrame, few: int = HOT_ROWS) -> DataFrame:
+def at_ranks(x: DataFrame, keys: list[str], targets: DataFrame, few: int = HOT_ROWS, ends: DataFrame | None = None) -> DataFrame:
     """(keys, target, value): the value at each wanted rank, counted from 0, of the rows of each group in order.
 
     x: (keys, x, n), n equal rows each; targets: (keys, target, rank), a bounded table, its ranks within the group. No group is
     gathered: a round counts the rows of a range by parts and goes on with the parts that hold a rank. Once at most `few` rows are
-    left of all, they are ordered. Every round but the last reads x, or what is left of it, twice.
+    left of all, they are ordered. Every round but the last reads x, or what is left of it, twice. The parts of the first round are
+    equal on a logarithmic scale, so that a long tail does not leave nearly all rows in one part. Equal values go on as one row.
+    ends: (keys, __lo, __hi), the least and the largest x, where they are known.
     """
-    ends = x.groupBy(*keys).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+    ends = ends if ends is not None else x.groupBy(*keys).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
     state = cut_lineage(keyed_join(targets, ends, keys, small=True).withColumn("__range", F.lit("")))
     done = state.where("__lo >= __hi").select(*keys, "target", F.col("__lo").alias("value"))
     state, rows = state.where("__lo < __hi"), x
@@ -104,8 +114,10 @@ def at_ranks(x: DataFrame, keys: list[str], targets: DataFrame, few: int = HOT_R
         ranges = state.select(*keys, "__range", "__lo", "__hi").distinct()
         inside = rows if "__range" in rows.columns else rows.withColumn("__range", F.lit(""))
         placed = keyed_join(inside, ranges, [*keys, "__range"], small=True)
-        width = F.col("__hi") / 2 - F.col("__lo") / 2  # halved, as the difference of two doubles may be too large for one
-        equal = F.floor((F.col("x") / 2 - F.col("__lo") / 2) / width * BUCKETS)
+        # halved, as the difference of two doubles may be too large for one
+        at, lo, hi = ((F.col(c) / 2 if "__range" in rows.columns else F.signum(c) * F.log1p(F.abs(c))) for c in ("x", "__lo", "__hi"))
+        width = hi - lo
+        equal = F.floor((at - lo) / width * BUCKETS)
         part = F.when(width > 0, F.least(equal, F.lit(BUCKETS - 1))).otherwise((F.col("x") > F.col("__lo")).cast("bigint"))
         placed = placed.withColumn("__part", part)
         parts = placed.groupBy(*keys, "__range", "__part").agg(F.sum("n").alias("n"), F.min("x").alias("__lo"), F.max("x").alias("__hi"))
@@ -113,13 +125,14 @@ def at_ranks(x: DataFrame, keys: list[str], targets: DataFrame, few: int = HOT_R
         parts = parts.withColumns({"__upto": upto, "__before": upto - F.col("n")})
         hits = keyed_join(parts, state.select(*keys, "__range", "target", "rank"), [*keys, "__range"], small=True).where("rank >= __before and rank < __upto")
         next_ = F.concat_ws(".", "__range", "__part")
-        state = cut_lineage(hits.select(*keys, "target", (F.col("rank") - F.col("__before")).alias("rank"), "__lo", "__hi", next_.alias("__range"), F.col("n").alias("__left")))
+        state = cut_lineage(hits.select(*keys, "target", (F.col("rank") - F.col("__before")).alias("rank"), "__lo", "__hi", next_.alias("__range")))
         done = done.unionByName(state.where("__lo >= __hi").select(*keys, "target", F.col("__lo").alias("value")))
         state = state.where("__lo < __hi")
-        open_ = state.select(*keys, "__range", "__left").distinct()
+        open_ = state.select(*keys, "__range").distinct()
         rows = placed.withColumn("__range", next_).select(*keys, "__range", "x", "n")
-        rows = cut_lineage(keyed_join(rows, open_.drop("__left"), [*keys, "__range"], "left_semi", small=True))
-        if (open_.agg(F.sum("__left")).first()[0] or 0) <= few:
+        rows = keyed_join(rows, open_, [*keys, "__range"], "left_semi", small=True)
+        rows = cut_lineage(rows.groupBy(*keys, "__range", "x").agg(F.sum("n").alias("n")))
+        if rows.count() <= few:
             order = Window.partitionBy(*keys, "__range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
             ordered = rows.withColumn("__upto", F.sum("n").over(order)).withColumn("__before", F.col("__upto") - F.col("n"))
             last = keyed_join(ordered, state.select(*keys, "__range", "target", "rank"), [*keys, "__range"], small=True).where("rank >= __before and rank < __upto")

@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from cardscope.functions import metrics as M
 from cardscope.operators.exact_median import group_percentiles
-from cardscope.session import cut_lineage
+from cardscope.session import HOT_ROWS, cut_lineage, hot_of
 
 # When a category is a systematic failure, and the conclusions about a single failure.
 SYSTEMATIC_ROWS, SYSTEMATIC_FACTOR = 5, 2.0
 WORST = 50
+#: Categories with more rows than this have their percentiles selected, at most so many of them; those of others are made of all values.
+SELECTED_ROWS, MAX_SELECTED = 20_000, 5_000
 _MASK = r"'[^']*+'(?:'[^']*+')*+"
 _OPERATOR = r"(<=|>=|=|<|>|\bbetween\b|\bin\b)"
 
@@ -158,9 +160,10 @@ def category_metrics(rows: DataFrame) -> DataFrame:
     # rows of a statement mostly fall in the same groups, so they are made one before they are unpivoted
     named = valid.where("normalized_sql_id is not null").select("normalized_sql_id", categories(valid).alias("cs")).distinct().select("normalized_sql_id", F.explode("cs").alias("c"))
     named = named.select("c.dimension", "c.value", "normalized_sql_id").distinct().groupBy("dimension", "value").agg(F.count("*").alias("unique_query_count"))
-    size = valid.agg(F.count("*"), F.max(F.size("involved_columns"))).first()
-    most = size[0] * max(size[1] or 1, 1)  # a row is in a group once, or once for each of its columns
-    grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain, most=most).join(named, ["dimension", "value"], "left").fillna(0, ["unique_query_count"])
+    # a row is in many groups, so together even groups that are not hot are more than memory holds, unless the table is small
+    spread = valid.agg(F.sum(F.size(categories(valid)))).first()[0] or 0
+    hot = None if spread <= HOT_ROWS else hot_of(wide.groupBy("dimension", "value").count(), SELECTED_ROWS, MAX_SELECTED)
+    grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain, hot, most=spread, written=True).join(named, ["dimension", "value"], "left").fillna(0, ["unique_query_count"])
     overall = group_percentiles(valid.select(F.lit(1).alias("one"), "learned_q_error"), ["one"], [("overall_learned_median_q_error", "learned_q_error", 0.5)]).drop("one")
     out = grouped.withColumnsRenamed({"dimension": "group_dimension", "value": "group_value"}).join(F.broadcast(overall))
     systematic = (F.col("group_size") >= SYSTEMATIC_ROWS) & (F.col("overall_learned_median_q_error") > 0) & (F.col("learned_median_q_error") >= SYSTEMATIC_FACTOR * F.col("overall_learned_median_q_error"))

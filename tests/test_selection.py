@@ -5,7 +5,7 @@ import pytest
 
 from cardscope.operators import encoding
 from cardscope.operators.encoding import ColumnEncoder, TableEncoder
-from cardscope.operators.exact_median import at_ranks, column_percentiles
+from cardscope.operators.exact_median import at_ranks, column_percentiles, group_percentiles
 
 
 @pytest.mark.parametrize("few", [10**6, 50])
@@ -63,3 +63,34 @@ def test_large_dictionaries_are_refused_or_left_out_by_intent(spark, monkeypatch
 def test_a_text_like_the_old_null_mark_survives_a_round_trip():
     e = TableEncoder("t", [ColumnEncoder("a", "text", values=["__NULL__", "x", None])], 3)
     assert TableEncoder.from_json(e.to_json()) == e
+
+
+def test_percentiles_of_hot_groups_whatever_the_names_of_keys(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.choice(["c", None, None]), rng.choice([1.0, rng.lognormvariate(0, 9), -rng.lognormvariate(0, 9), None])) for _ in range(3000)]
+    for keys in (["dimension", "value"], ["x", "v"], ["n", "target"], ["rank", "size"]):
+        df = spark.createDataFrame(rows, f"{keys[0]} string, {keys[1]} string, y double")
+        got = group_percentiles(df, keys, [("low", "y", 0.0), ("median", "y", 0.5), ("p99", "y", 0.99)], [encoding.F.count("*").alias("rows")], hot_rows=600).collect()
+        assert len(got) == 4
+        for r in got:
+            mine = [y for a, b, y in rows if (a, b) == (r[keys[0]], r[keys[1]])]
+            assert r["rows"] == len(mine) and np.allclose([r["low"], r["median"], r["p99"]], np.quantile([y for y in mine if y is not None], [0.0, 0.5, 0.99]), rtol=1e-12)
+
+
+def test_categories_whose_percentiles_are_selected(spark, monkeypatch):
+    from cardscope.operators import failures
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["t", "u"]), rng.choice(["a", "b", None]), rng.choice(["t.x = 1", "t.x > 1 and t.y = 2", None]), rng.choice([1.0, 1 + rng.expovariate(1), 1e9])) for i in range(900)]
+    df = spark.createDataFrame([(*r[:4], f"s{r[0] % 50}", "ok", 5, 100, 7.0, r[4], 2.0) for r in rows], "result_id bigint, table string, query_template string, predicate_text string, normalized_sql_id string, status string, exact_cardinality bigint, table_cardinality bigint, learned_estimate double, learned_q_error double, native_q_error double")
+    df = failures.with_shape(df).selectExpr("*", "0.05D as selectivity", "'over' as estimate_direction", "'exact' as inference_mode", "1.4D as learned_signed_error_ratio", "false as fallback_used")
+    want = {(r["group_dimension"], r["group_value"]): r.asDict() for r in failures.category_metrics(df).collect()}
+    listed = sorted(map(str, failures.worst_queries(df).select("result_id", "candidate_classification").collect()))
+    assert want["constrained_column", "t.y"]["group_size"] == sum(r[1] == "t" and "y" in (r[3] or "") for r in rows) and want["encoding_type", "unknown"]["unique_query_count"] == 50
+    monkeypatch.setattr(failures, "HOT_ROWS", 1000)
+    monkeypatch.setattr(failures, "SELECTED_ROWS", 300)
+    got = {(r["group_dimension"], r["group_value"]): r.asDict() for r in failures.category_metrics(df).collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert all(got[k][c] == (pytest.approx(v, rel=1e-12) if isinstance(v, float) else v) for c, v in w.items()), k
+    assert sorted(map(str, failures.worst_queries(df).select("result_id", "candidate_classification").collect())) == listed
