@@ -154,3 +154,14 @@ def test_decomposition_finds_season_wall_clock_and_pieces_by_rank(spark, monkeyp
     assert many.count() == 1000 and many.select("id").distinct().count() == 1000
     inner = [r for r in many.collect() if 20 < r["id"] < 980]
     assert all(r["residual"] == 0 for r in inner)  # neighbours across the cuts are seen, so a straight line has no residual
+
+
+def test_spikes_are_decided_by_the_limit_of_the_protocol_alone(spark):
+    xs = [100.0 + i % 5 for i in range(60)] + [108.0, 95.0, 150.0]
+    rows = [row(i, x, wall=1000.0) for i, x in enumerate(xs)]
+    m = statistics.median(xs)
+    spread = statistics.median(abs(x - m) for x in xs)
+    for limit in (1.5, 3.0, 5.0, 9.0):
+        want = [(i, "spike") for i, x in enumerate(xs) if abs(x - m) > limit * spread]
+        assert want and flags(spark, rows, spike_limit=limit) == want
+        assert flags(spark, rows, spike_limit=limit, hot_rows=20, piece_rows=16) == want
