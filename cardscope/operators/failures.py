@@ -177,17 +177,22 @@ def candidate_classification(matching: Column, fallback: Column, mode: Column, l
     )
 
 
+def worst_rows(rows: DataFrame, limit: int = WORST, id_col: str = "result_id") -> DataFrame:
+    """The valid rows of both lists of `worst_queries`, with their ratio and flags; ties by id."""
+    valid = rows.where("status = 'ok'").withColumn("learned_native_q_error_ratio", F.col("learned_q_error") / F.col("native_q_error"))
+    tops = [valid.orderBy(F.col(c).desc(), id_col).limit(limit) for c in ("learned_q_error", "learned_native_q_error_ratio")]
+    flags = ("worst_learned_q_error", "worst_learned_native_disadvantage")
+    both = tops[0].withColumns({flags[0]: F.lit(True), flags[1]: F.lit(False)}).unionByName(tops[1].withColumns({flags[0]: F.lit(False), flags[1]: F.lit(True)}))
+    return both.groupBy(id_col).agg(F.first(F.struct(*valid.columns)).alias("r"), *(F.max(f).alias(f) for f in flags)).select("r.*", *flags)
+
+
 def worst_queries(rows: DataFrame, limit: int = WORST, id_col: str = "result_id", metrics: DataFrame | None = None) -> DataFrame:
     """The `limit` rows with the largest learned q-error and the `limit` with the largest learned over native ratio, merged,
     with flags for both lists, the systematic categories they fall in, and a candidate classification.
 
     Ties are decided by id. A top-k report: the limit is the feature, so its result is small by definition."""
     rows = cut_lineage(rows.where("status = 'ok'"))  # read by both lists and the category metrics
-    valid = rows.withColumn("learned_native_q_error_ratio", F.col("learned_q_error") / F.col("native_q_error"))
-    tops = [valid.orderBy(F.col(c).desc(), id_col).limit(limit) for c in ("learned_q_error", "learned_native_q_error_ratio")]
-    flags = ("worst_learned_q_error", "worst_learned_native_disadvantage")
-    both = tops[0].withColumns({flags[0]: F.lit(True), flags[1]: F.lit(False)}).unionByName(tops[1].withColumns({flags[0]: F.lit(False), flags[1]: F.lit(True)}))
-    picked = both.groupBy(id_col).agg(F.first(F.struct(*valid.columns)).alias("r"), *(F.max(f).alias(f) for f in flags)).select("r.*", *flags)
+    picked = worst_rows(rows, limit, id_col)
     bad = (category_metrics(rows) if metrics is None else metrics).where("systematic_failure_candidate")
     bad = bad.select(F.col("group_dimension").alias("dimension"), F.col("group_value").alias("value"))
     wide = picked.select(id_col, F.explode(categories(picked)).alias("c")).select(id_col, "c.dimension", "c.value")

@@ -14,7 +14,7 @@ from cardscope.operators import density, encoding, failures, joinchoice, ranking
 from cardscope.operators.encoding import Predicate
 from cardscope.plans.requests import QueryGraph
 from cardscope.plans.seed_workload import STATEMENTS
-from cardscope.session import at_once
+from cardscope.session import at_once, cut_lineage
 from cardscope.sources.tables import table
 from cardscope.sources.workload_lines import trimmed
 
@@ -556,7 +556,8 @@ SELECT series, round(q_error, 9) AS q_error, round(row_number() OVER (PARTITION
 
 def error_ratio_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Of the worst queries, as their report shows it."""
-    rows = failures.worst_queries(evaluated(spark, d)).select(F.log10("learned_signed_error_ratio").alias("x"))
+    valid = cut_lineage(evaluated(spark, d).select("status", "result_id", "learned_q_error", "native_q_error", "learned_signed_error_ratio"))
+    rows = failures.worst_rows(valid).select(F.log10("learned_signed_error_ratio").alias("x"))
     return rounded(ranking.histogram(rows, "x"))
 
 

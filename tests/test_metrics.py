@@ -167,3 +167,17 @@ def test_workload_helpers(spark):
 
 def test_join_keys(spark):
     assert one(spark, joinchoice.join_key(F.array(F.lit("posts:p"), F.lit("badges:b"), F.lit("posts:p"))), joinchoice.relation_key(F.lit("posts"), F.lit("posts")), joinchoice.relation_key(F.lit("posts"), F.lit("p"))) == ("badges:b|posts:p", "posts", "posts:p")
+
+
+def test_worst_rows_need_no_categories(spark, monkeypatch):
+    from cardscope.plans import reference_queries
+
+    rows = [(i, "ok" if i % 7 else "invalid", float(1 + i * 37 % 101), float(1 + i % 5), 10.0 ** (i % 9 - 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "result_id bigint, status string, learned_q_error double, native_q_error double, learned_signed_error_ratio double")
+    monkeypatch.setattr(reference_queries, "evaluated", lambda *_: df)
+    monkeypatch.setattr(failures, "category_metrics", lambda *_: pytest.fail("categories are not asked for"))
+    ok = [r for r in rows if r[1] == "ok"]
+    first, second = (sorted(ok, key=k)[:50] for k in (lambda r: (-r[2], r[0]), lambda r: (-r[2] / r[3], r[0])))
+    assert {r["result_id"] for r in failures.worst_rows(df).collect()} == {r[0] for r in first + second}
+    got = reference_queries.error_ratio_histogram(spark, "").collect()
+    assert sum(r["rows"] for r in got) == len({r[0] for r in first + second})
