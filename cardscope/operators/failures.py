@@ -140,12 +140,13 @@ _CATEGORY_COLUMNS = frozenset((
 ))
 
 
-def category_metrics(rows: DataFrame) -> DataFrame:
+def category_metrics(rows: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     """Error metrics of every (dimension, value) among the valid rows, and whether it is a systematic failure: at least
-    SYSTEMATIC_ROWS rows and a median of at least SYSTEMATIC_FACTOR times the overall one."""
+    SYSTEMATIC_ROWS rows and a median of at least SYSTEMATIC_FACTOR times the overall one. only: the dimensions to make; all if empty."""
     valid = rows.where("status = 'ok'")
     valid = cut_lineage(valid.select([c for c in valid.columns if c in _CATEGORY_COLUMNS]))  # read by every pass below
-    wide = valid.select("normalized_sql_id", "learned_q_error", "native_q_error", "learned_signed_error_ratio", F.explode(categories(valid)).alias("c"))
+    groups = F.filter(categories(valid), lambda c: c["dimension"].isin(*only)) if only else categories(valid)
+    wide = valid.select("normalized_sql_id", "learned_q_error", "native_q_error", "learned_signed_error_ratio", F.explode(groups).alias("c"))
     wide = wide.select("c.dimension", "c.value", *wide.columns[:-1])
     x, n, r = F.col("learned_q_error"), F.col("native_q_error"), F.col("learned_signed_error_ratio")
     share = lambda c, edge: (F.count_if(c > edge) * 100.0 / F.count("*"))
@@ -158,10 +159,10 @@ def category_metrics(rows: DataFrame) -> DataFrame:
     wanted += [("learned_median_signed_ratio", "learned_signed_error_ratio", 0.5), ("native_median_q_error", "native_q_error", 0.5), ("native_p95_q_error", "native_q_error", 0.95)]
     # distinct statements are counted beside the other aggregates: with them, every row would be sent once more
     # rows of a statement mostly fall in the same groups, so they are made one before they are unpivoted
-    named = valid.where("normalized_sql_id is not null").select("normalized_sql_id", categories(valid).alias("cs")).distinct().select("normalized_sql_id", F.explode("cs").alias("c"))
+    named = valid.where("normalized_sql_id is not null").select("normalized_sql_id", groups.alias("cs")).distinct().select("normalized_sql_id", F.explode("cs").alias("c"))
     named = named.select("c.dimension", "c.value", "normalized_sql_id").distinct().groupBy("dimension", "value").agg(F.count("*").alias("unique_query_count"))
     # a row is in many groups, so together even groups that are not hot are more than memory holds, unless the table is small
-    spread = valid.agg(F.sum(F.size(categories(valid)))).first()[0] or 0
+    spread = valid.agg(F.sum(F.size(groups))).first()[0] or 0
     hot = None if spread <= HOT_ROWS else hot_of(wide.groupBy("dimension", "value").count(), SELECTED_ROWS, MAX_SELECTED)
     grouped = group_percentiles(wide, ["dimension", "value"], wanted, plain, hot, most=spread, written=True).join(named, ["dimension", "value"], "left").fillna(0, ["unique_query_count"])
     overall = group_percentiles(valid.select(F.lit(1).alias("one"), "learned_q_error"), ["one"], [("overall_learned_median_q_error", "learned_q_error", 0.5)]).drop("one")

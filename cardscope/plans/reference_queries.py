@@ -569,7 +569,7 @@ SELECT CAST(e.bin AS INTEGER) AS bin, round(lo + e.bin * ((hi - lo) / k), 6) AS
 
 
 def worst_tables(spark: SparkSession, d: str) -> DataFrame:
-    rows = failures.category_metrics(evaluated(spark, d)).where("group_dimension in ('table', 'constrained_column')")
+    rows = failures.category_metrics(evaluated(spark, d), ("table", "constrained_column"))
     return rounded(rows.orderBy(F.col("learned_median_q_error").desc(), "group_dimension", "group_value").limit(15).select("group_dimension", "group_value", "learned_median_q_error"))
 
 

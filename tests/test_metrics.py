@@ -181,3 +181,12 @@ def test_worst_rows_need_no_categories(spark, monkeypatch):
     assert {r["result_id"] for r in failures.worst_rows(df).collect()} == {r[0] for r in first + second}
     got = reference_queries.error_ratio_histogram(spark, "").collect()
     assert sum(r["rows"] for r in got) == len({r[0] for r in first + second})
+
+
+def test_categories_of_some_dimensions(spark):
+    rows = [(i, "t" if i % 3 else None, "t.a = 1 and t.b > 2" if i % 2 else "t.b > 2", f"s{i % 7}", float(1 + i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "result_id bigint, table string, predicate_text string, normalized_sql_id string, learned_q_error double")
+    df = failures.with_shape(df).selectExpr("*", "'ok' as status", "'q' as query_template", "5L as exact_cardinality", "0.1D as selectivity", "'over' as estimate_direction", "'exact' as inference_mode", "2.0D as native_q_error", "1.5D as learned_signed_error_ratio")
+    only = ("table", "constrained_column")
+    want = sorted(str(r) for r in failures.category_metrics(df).collect() if r["group_dimension"] in only)
+    assert len(want) == 6 and sorted(map(str, failures.category_metrics(df, only).collect())) == want
