@@ -171,6 +171,26 @@ def category_metrics(rows: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumns({"systematic_failure_candidate": systematic, "systematic_min_group_size": F.lit(SYSTEMATIC_ROWS), "systematic_median_multiplier": F.lit(SYSTEMATIC_FACTOR)})
 
 
+def systematic_groups(rows: DataFrame, among: DataFrame) -> DataFrame:
+    """Those (dimension, value) of `among`, a table small enough to broadcast, that `category_metrics` calls systematic failures
+    among the valid rows. rows come from a written table, as they are read in several passes.
+
+    Whether a median reaches the limit is known from the number of values below it and, where these are half of them, from the
+    values on both sides of it: all are combined map-side, so no group's values are gathered or sent."""
+    valid = rows.where("status = 'ok'")
+    overall = group_percentiles(valid, [], [("median", "learned_q_error", 0.5)], written=True).first()
+    if overall is None or not (overall[0] or 0) > 0:
+        return among.limit(0)
+    x, limit = F.col("learned_q_error"), F.lit(SYSTEMATIC_FACTOR * overall[0])
+    wide = valid.select("learned_q_error", F.explode(categories(valid)).alias("c")).select("c.dimension", "c.value", "learned_q_error")
+    facts = wide.join(F.broadcast(among), ["dimension", "value"], "left_semi").groupBy("dimension", "value").agg(
+        F.count("*").alias("size"), F.count(x).alias("n"), F.count_if(x < limit).alias("below"), F.max(F.when(x < limit, x)).alias("low"), F.min(F.when(x >= limit, x)).alias("high")
+    )
+    twice = F.col("below") * 2
+    reached = (twice < F.col("n")) | ((twice == F.col("n")) & (F.col("low") * 0.5 + F.col("high") * 0.5 >= limit))
+    return facts.where((F.col("size") >= SYSTEMATIC_ROWS) & reached).select("dimension", "value")
+
+
 def candidate_classification(matching: Column, fallback: Column, mode: Column, learned: Column, native: Column) -> Column:
     return (
         F.when(F.size(matching) > 0, "systematic category failure").when(F.coalesce(fallback, F.lit(False)), "preprocessing/translation issue")
@@ -192,11 +212,14 @@ def worst_queries(rows: DataFrame, limit: int = WORST, id_col: str = "result_id"
     with flags for both lists, the systematic categories they fall in, and a candidate classification.
 
     Ties are decided by id. A top-k report: the limit is the feature, so its result is small by definition."""
-    rows = cut_lineage(rows.where("status = 'ok'"))  # read by both lists and the category metrics
-    picked = worst_rows(rows, limit, id_col)
-    bad = (category_metrics(rows) if metrics is None else metrics).where("systematic_failure_candidate")
-    bad = bad.select(F.col("group_dimension").alias("dimension"), F.col("group_value").alias("value"))
+    rows = cut_lineage(rows.where("status = 'ok'"))  # read by both lists and the categories
+    picked = cut_lineage(worst_rows(rows, limit, id_col))
     wide = picked.select(id_col, F.explode(categories(picked)).alias("c")).select(id_col, "c.dimension", "c.value")
+    # other categories than those of the picked rows are not asked for, nor more of them than whether they are systematic failures
+    if metrics is None:
+        bad = systematic_groups(rows, wide.select("dimension", "value").distinct())
+    else:
+        bad = metrics.where("systematic_failure_candidate").select(F.col("group_dimension").alias("dimension"), F.col("group_value").alias("value"))
     hits = F.broadcast(wide).join(bad, ["dimension", "value"]).groupBy(id_col).agg(F.array_sort(F.collect_set(F.struct("dimension", "value"))).alias("matching_systematic_groups"))
     out = picked.join(hits, id_col, "left")
     matching = F.coalesce("matching_systematic_groups", F.array().cast("array<struct<dimension:string,value:string>>"))

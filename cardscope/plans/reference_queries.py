@@ -466,7 +466,11 @@ _SQL_CATEGORIES = f"""{_CATEGORIES} SELECT group_dimension, group_value, group_s
 
 
 def worst_queries(spark: SparkSession, d: str) -> DataFrame:
-    out = failures.worst_queries(evaluated(spark, d))
+    rows = evaluated(spark, d).select(
+        "status", "result_id", "occurrence_id", "learned_q_error", "native_q_error", "fallback_used", "table", "query_template", "predicate_count", "operator_class", "equality_range_shape", "involved_columns",
+        "exact_cardinality", "selectivity", "estimate_direction", "inference_mode",
+    )
+    out = failures.worst_queries(rows)
     return rounded(out.select(
         "result_id", "occurrence_id", "learned_q_error", "native_q_error", _round(F.col("learned_native_q_error_ratio"), 2).alias("learned_native_q_error_ratio"), "worst_learned_q_error", "worst_learned_native_disadvantage", "candidate_classification", "classification_status",
         F.array_join(F.transform("matching_systematic_groups", lambda g: F.concat_ws("=", g["dimension"], g["value"])), ";").alias("systematic_groups"),

@@ -190,3 +190,28 @@ def test_categories_of_some_dimensions(spark):
     only = ("table", "constrained_column")
     want = sorted(str(r) for r in failures.category_metrics(df).collect() if r["group_dimension"] in only)
     assert len(want) == 6 and sorted(map(str, failures.category_metrics(df, only).collect())) == want
+
+
+def test_worst_queries_ask_only_whether_their_categories_are_systematic(spark, monkeypatch):
+    rng = random.Random(3)
+    # groups of all sizes up to 14, with medians below, at and above twice the overall one, and between two values around it
+    values = {f"t{k}": [rng.choice([[1.0, 2.0], [2.0, 4.0], [3.0, 5.0], [3.0, 4.9], [1.0, 4.0, 9.0]][k % 5]) for _ in range(1 + k % 14)] for k in range(60)}
+    values["even"], values["under"], values["four"] = [3.0] * 3 + [5.0] * 3, [3.0] * 3 + [4.9] * 3, [9.0] * 4
+    values["rest"] = [2.0] * 900
+    rows = [(i, t if t != "t9" else None, x, 1.0 + i % 3) for i, (t, x) in enumerate((t, x) for t, xs in values.items() for x in xs)]
+    df = spark.createDataFrame(rows, "result_id bigint, table string, learned_q_error double, native_q_error double")
+    df = failures.with_shape(df.withColumn("predicate_text", F.expr("if(result_id % 2 = 0, 't.a = 1 and t.b > 2', null)"))).selectExpr(
+        "*", "'ok' as status", "concat('q', result_id % 7) as query_template", "5L as exact_cardinality", "0.1D as selectivity", "'over' as estimate_direction", "'exact' as inference_mode", "false as fallback_used", "'s' as normalized_sql_id", "1.5D as learned_signed_error_ratio"
+    )
+    among = df.select(F.explode(failures.categories(df)).alias("c")).select("c.dimension", "c.value").distinct()
+    every = failures.category_metrics(df).where("systematic_failure_candidate").selectExpr("group_dimension as dimension", "group_value as value")
+    bad = sorted(map(tuple, every.collect()))
+    assert {v for d, v in bad if d == "table"} == {t if t != "t9" else "None" for t, xs in values.items() if len(xs) >= 5 and np.median(xs) >= 4}
+    assert ("table", "even") in bad and not {("table", "under"), ("table", "four"), ("table", "rest")} & set(bad)
+    assert sorted(map(tuple, failures.systematic_groups(df, among).collect())) == bad
+    assert failures.systematic_groups(df.where("false"), among).collect() == []
+    monkeypatch.setattr(failures, "category_metrics", lambda *_: pytest.fail("metrics are not asked for"))
+    got = failures.worst_queries(df, limit=len(rows)).collect()
+    assert len(got) == len(rows) and {tuple(g) for r in got for g in r["matching_systematic_groups"]} == set(bad)
+    for r in got:
+        assert (("table", str(r["table"])) in map(tuple, r["matching_systematic_groups"])) == (("table", str(r["table"])) in bad)
